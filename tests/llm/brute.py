@@ -30,3 +30,29 @@ def substring(docs, size=13):
                 gone[k : k + size] = [True] * size
         out[i] = (len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g)))
     return out
+
+
+def simhash(docs, shingle=3, max_bits=3):
+    """doc_id -> (fingerprint, component_id)."""
+    import xxhash
+
+    fps = {}
+    for i, text in docs:
+        w = words((text or "").encode().lower().decode())
+        parts = [b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))] if w else []
+        hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+        fps[i] = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    root = {i: i for i in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(fps)
+    for a in ids:
+        for b in ids:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= max_bits and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (f"{fps[i]:016x}", find(i)) for i in ids}
