@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digests
 from .common import table
 from .simhash import simhash_groups
 from .substring import substring_dedup
@@ -13,11 +16,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file that the queries use: $BPE_VOCABULARY, or the one of the installed public tokenizers."""
+    if path := os.environ.get("BPE_VOCABULARY"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
 }
