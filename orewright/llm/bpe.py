@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -167,7 +168,7 @@ def _library(path: str):
 
 def _pieces(column: pa.Array, size: int) -> Iterator[slice]:
     """Slices of about `size` bytes of text, whole rows."""
-    lengths = pa.compute.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False)
     group = np.cumsum(lengths) // size
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
     return (slice(a, b) for a, b in zip(edges, edges[1:]) if b > a)

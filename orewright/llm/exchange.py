@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def reply_table(kind: int, piece: int, chunks: list, answers: np.ndarray, total:
 
 def answered(replies: pa.Table, kind: int, dtype) -> np.ndarray:
     """The answers to a chunk's keys of one kind, in the keys' order."""
-    own = replies.filter(pa.compute.equal(replies["kind"], kind)).sort_by("slice")
+    own = replies.filter(pc.equal(replies["kind"], kind)).sort_by("slice")
     parts = [unpack(x, dtype) for x in own["reply"].to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 

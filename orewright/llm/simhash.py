@@ -24,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def near_links(entries: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) ->
             lists = batch["entries"]
             inner = lists.flatten()
             rep, fp = inner.field("rep").to_numpy(), inner.field("fp").to_numpy().view(np.uint64)
-            ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             links = []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                 links += forest(rep[a:b], fp[a:b], max_bits, 8 - max_bits)

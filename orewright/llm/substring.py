@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,8 +173,8 @@ def kept(rows: pa.Table, replies: pa.Table, size: int, width: int) -> pa.Table:
     if not len(rows):
         return pa.table({"doc_id": pa.array([], pa.int64())})
     rows = X.sorted_chunk(rows)
-    flags = replies.filter(pa.compute.less(replies["kind"], ROWS))
-    least = replies.filter(pa.compute.equal(replies["kind"], ROWS))
+    flags = replies.filter(pc.less(replies["kind"], ROWS))
+    least = replies.filter(pc.equal(replies["kind"], ROWS))
     least = least.set_column(1, "kind", pa.array([0] * len(least), pa.int32()))
     words, gone = _removed(rows, flags, least, size, width)
     gone_before = np.concatenate([[0], np.cumsum(gone)])
