@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import widened
+
 MAX_NODES = 600_000
 #: Fixed: the word pattern of byte-level BPE of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,7 +178,7 @@ def _pieces(column: pa.Array, size: int) -> Iterator[slice]:
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", batch_bytes: int = 4 << 20) -> DataFrame:
     """The documents with one more column: the ids of each text, array<int>."""
-    schema = docs.schema.add(ids, "array<int>")
+    schema = widened(docs.schema, **{ids: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -191,7 +193,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with one more column: the text of each list of ids (null: empty)."""
-    schema = encoded.schema.add(text, "string")
+    schema = widened(encoded.schema, **{text: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widened(schema: StructType, **columns: str) -> StructType:
+    """A schema with more columns at its end: names and types."""
+    return StructType([*schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in columns.items())])
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as zstd over its byte planes: sorted keys and small counts have planes that are nearly constant."""
     if not len(values):

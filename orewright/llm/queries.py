@@ -10,10 +10,15 @@ from .bpe import bpe_digests
 from .common import table
 from .lines import REPORT_SQL, line_report
 from .packing import pack
+from .quality import quality_scores
 from .simhash import simhash_groups
 from .substring import substring_dedup
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents")).select("doc.doc_id", "score", "keep")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -44,6 +49,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op8_length_packing": op8_length_packing,
     "op9_line_dedup": op9_line_dedup,
     "op1_bpe": op1_bpe,
