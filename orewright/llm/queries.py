@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import table
+from .html import extract
 from .lines import REPORT_SQL, line_report
 from .packing import pack
 from .quality import quality_scores
@@ -40,6 +41,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_html_extraction": op5_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op8_length_packing": op8_length_packing,
     "op9_line_dedup": op9_line_dedup,
