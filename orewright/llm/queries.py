@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .common import table
@@ -14,6 +15,7 @@ from .packing import pack
 from .quality import quality_scores
 from .simhash import simhash_groups
 from .substring import substring_dedup
+from .topk import top_k
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+TOP_K_SQL = """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM s q JOIN s c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
 QUERIES = {
+    "op10_exact_top_k": op10_exact_top_k,
     "op5_html_extraction": op5_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op8_length_packing": op8_length_packing,
@@ -63,4 +79,4 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_line_dedup": REPORT_SQL}
+ORACLES: dict[str, str] = {"op10_exact_top_k": TOP_K_SQL, "op9_line_dedup": REPORT_SQL}
