@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .common import table
+from .embeddings import near_duplicates
 from .html import extract
 from .lines import REPORT_SQL, line_report
 from .packing import pack
@@ -47,6 +48,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 QUERIES = {
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
     "op5_html_extraction": op5_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
