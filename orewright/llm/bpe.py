@@ -25,11 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import widened
+from .words import pieces_of
 
 MAX_NODES = 600_000
 #: Fixed: the word pattern of byte-level BPE of this family.
@@ -168,14 +168,6 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def _pieces(column: pa.Array, size: int) -> Iterator[slice]:
-    """Slices of about `size` bytes of text, whole rows."""
-    lengths = pc.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False)
-    group = np.cumsum(lengths) // size
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
-    return (slice(a, b) for a, b in zip(edges, edges[1:]) if b > a)
-
-
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", batch_bytes: int = 4 << 20) -> DataFrame:
     """The documents with one more column: the ids of each text, array<int>."""
     schema = widened(docs.schema, **{ids: "array<int>"})
@@ -183,7 +175,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for piece in _pieces(batch[text], batch_bytes):
+            for piece in pieces_of(batch[text], batch_bytes):
                 part = batch.slice(piece.start, piece.stop - piece.start)
                 made = pa.array(bpe.encode_batch(part[text].to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=schema.names)
@@ -210,7 +202,7 @@ def bpe_digests(docs: DataFrame, path: str, batch_bytes: int = 4 << 20) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, digest = load(path), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for piece in _pieces(batch["text"], batch_bytes):
+            for piece in pieces_of(batch["text"], batch_bytes):
                 part = batch.slice(piece.start, piece.stop - piece.start)
                 ids = bpe.encode_batch(part["text"].to_pylist())
                 yield pa.record_batch(

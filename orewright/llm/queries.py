@@ -13,6 +13,7 @@ from .embeddings import near_duplicates
 from .html import extract
 from .lines import REPORT_SQL, line_report
 from .packing import pack
+from .ppm import ppm_scores
 from .quality import quality_scores
 from .simhash import simhash_groups
 from .substring import substring_dedup
@@ -52,6 +53,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 QUERIES = {
+    "op7_ppm_scoring": op7_ppm_scoring,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
     "op5_html_extraction": op5_html_extraction,

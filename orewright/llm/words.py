@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW_BASE = 0xD6E8FEB86659FD93
 SECOND_BASE = 0xA0761D6478BD642F
@@ -32,6 +34,14 @@ class Words:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
 
+def pieces_of(column: pa.Array, size: int) -> Iterator[slice]:
+    """Slices of about `size` bytes of text, whole rows."""
+    lengths = pc.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def text_bytes(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: empty) and the offset at which each begins."""
     if isinstance(texts, pa.ChunkedArray):
