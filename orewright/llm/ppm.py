@@ -54,10 +54,10 @@ class Stream:
 
 def stream_of(texts: list[str | None], order: int) -> Stream:
     bodies = [b" ".join((t or "").encode().lower().split()) for t in texts]
-    pad = bytes([END]) * order
-    raw = np.frombuffer(pad + b"".join(b + pad for b in bodies) if order else b"\n".join([*bodies, b""]), np.uint8)
+    pad = bytes([END]) * max(order, 1)
+    raw = np.frombuffer(b"".join([pad[:order], *(b + pad for b in bodies)]), np.uint8)
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    begin = order + np.concatenate([[0], np.cumsum(sizes + order)[:-1]]) if len(bodies) else sizes
+    begin = order + np.concatenate([[0], np.cumsum(sizes + len(pad))[:-1]]) if len(bodies) else sizes
     doc = np.repeat(np.arange(len(bodies)), sizes + 1)
     first = np.concatenate([[0], np.cumsum(sizes + 1)])
     scored = np.arange(first[-1]) + np.repeat(begin - first[:-1], sizes + 1)
