@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the shared checkpoint folder, so that a lost executor costs a re-read only.
-
-    The folder is the session's `spark.checkpoint.dir`. Where that is unset, a plain local master (as in tests)
-    gets a temporary folder; a cluster without a shared folder is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where `spark.checkpoint.dir` is unset, a plain local master (as in tests) gets
+    a temporary folder; a cluster without a shared folder is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder, so that a lost executor costs a re-read only."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def widened(schema: StructType, **columns: str) -> StructType:
     """A schema with more columns at its end: names and types."""
     return StructType([*schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in columns.items())])

@@ -77,9 +77,10 @@ def _left() -> Column:
 
 
 def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents, all columns, with the text that is left; n_chars, where there is one, follows it."""
+    """The documents, all columns, with the text that is left (n_chars, where there is one, follows it), less those of
+    which lines went and no word is left."""
     text = F.when(F.size("gone") > 0, _left()).otherwise(F.col("doc.text"))
-    out = _judged(docs, run).withColumn("left", text)
+    out = _judged(docs, run).withColumn("left", text).where((F.size("gone") == 0) | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
     fresh = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
     return out.select(*[(fresh.get(c, F.col("doc")[c])).alias(c) for c in docs.columns])
 

@@ -223,3 +223,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = X.
         .cogroup(flags.unionByName(least).groupBy("chunk"))
         .applyInArrow(lambda t, r: kept(t, r, window, width), RESULT)
     )
+
+
+def substring_filter(docs: DataFrame, **how) -> DataFrame:
+    """The documents, all columns, with the text that is left (n_chars, where there is one, follows it), less those of
+    which no word is left. doc_id must tell the documents apart."""
+    report = substring_dedup(docs, **how).select(F.col("doc_id").alias("__id"), "n_words", "n_removed", F.col("text").alias("__left"))
+    report = report.where("n_removed > 0").select("__id", "__left", (F.col("n_removed") == F.col("n_words")).alias("__none"))
+    joined = docs.select(F.col("doc_id").alias("__key"), F.struct(*docs.columns).alias("__doc")).join(report, F.col("__key") == F.col("__id"), "left")
+    text = F.when(F.col("__id").isNotNull(), F.col("__left")).otherwise(F.col("__doc.text"))
+    kept = joined.where(~F.coalesce("__none", F.lit(False)))
+    fresh = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*[fresh.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])
