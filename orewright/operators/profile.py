@@ -29,7 +29,7 @@ def route(profiles: DataFrame, floor: float = QUALITY_FLOOR) -> DataFrame:
     """Adds tier (null: to review) and the reason."""
     good = F.col("has_text_layer") & (F.col("quality") >= floor)
     reason = (
-        F.when("aspect_anomaly", F.lit("aspect anomaly"))
+        F.when(F.col("aspect_anomaly"), F.lit("aspect anomaly"))
         .when(good, F.lit("text layer"))
         .otherwise(F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(" without a usable text layer")))
     )

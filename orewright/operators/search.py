@@ -66,8 +66,8 @@ def bm25(chunks: DataFrame, query: str, text: str = "indexed_text", key: str = "
     """
     phrase = tokens(F.lit(query))
     counted = chunks.select("*", F.size(tokens(F.col(text))).alias("__len"), phrase_count(tokens(F.col(text)), phrase).alias("__f"))
-    corpus = counted.agg(F.count("*").alias("__N"), F.avg("__len").alias("__avg"), F.count_if(F.col("__f") > 0).alias("__n"))
-    idf = F.greatest(F.ln((F.col("__N") - F.col("__n") + 0.5) / (F.col("__n") + 0.5)), F.lit(IDF_FLOOR))
+    corpus = counted.agg(F.count("*").alias("__big"), F.avg("__len").alias("__avg"), F.count_if(F.col("__f") > 0).alias("__n"))
+    idf = F.greatest(F.ln((F.col("__big") - F.col("__n") + 0.5) / (F.col("__n") + 0.5)), F.lit(IDF_FLOOR))
     f = F.col("__f").cast("double")
     score = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
     found = counted.where("__f > 0").crossJoin(F.broadcast(corpus))  # one row
@@ -78,7 +78,7 @@ def bm25_many(chunks: DataFrame, queries: DataFrame, text: str = "indexed_text",
     """query_id, chunk_id, score for many queries (query_id, query) at once: chunks meet the queries through the index
     entry of the query's rarest term, so no chunk is compared with a query whose terms it lacks."""
     words = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words")).withColumn("len", F.size("words"))
-    corpus = words.agg(F.count("*").alias("N"), F.avg("len").alias("avg"))
+    corpus = words.agg(F.count("*").alias("big"), F.avg("len").alias("avg"))
     terms = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("term"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", tokens(F.col("query")).alias("phrase")).where(F.size("phrase") > 0)
@@ -87,7 +87,7 @@ def bm25_many(chunks: DataFrame, queries: DataFrame, text: str = "indexed_text",
     met = terms.join(rare, "term").join(words, "chunk_id").withColumn("f", phrase_count(F.col("words"), F.col("phrase")).cast("double")).where("f > 0")
     n = met.groupBy("query_id").agg(F.count("*").alias("n"))
     scored = met.join(n, "query_id").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.greatest(F.ln((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_FLOOR))
+    idf = F.greatest(F.ln((F.col("big") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_FLOOR))
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     return scored.select("query_id", "chunk_id", score.alias("score"))
 

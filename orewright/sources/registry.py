@@ -51,7 +51,7 @@ def plan_manifest(manifest: DataFrame, registry: DataFrame, asts: DataFrame) ->
     """Each entry (doc_id, title, source_url, page_range) in one bucket: skipped (read already), no_source, or ready."""
     done, known = asts.select("doc_id", F.lit(True).alias("done")).distinct(), registry.select("doc_id", F.lit(True).alias("known")).distinct()
     joined = manifest.join(done, "doc_id", "left").join(known, "doc_id", "left")
-    bucket = F.when("done", "skipped").when(F.col("known").isNull() & F.col("source_url").isNull(), "no_source").otherwise("ready")
+    bucket = F.when(F.col("done"), "skipped").when(F.col("known").isNull() & F.col("source_url").isNull(), "no_source").otherwise("ready")
     return joined.withColumn("bucket", bucket).drop("done", "known")
 
 
