@@ -108,18 +108,19 @@ def features(text: str | None, stats: np.ndarray, buckets: int = BUCKETS) -> np.
 
 def train(x: np.ndarray, target: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets, by accelerated gradient steps."""
-    w, bias = np.zeros(x.shape[1]), 0.0
+    w, bias = np.zeros(x.shape[1], np.float32), 0.0
     if not len(x):
         return w, bias
-    step = 4 / (np.square(x).sum(1).max() + 1)
+    step = np.float32(4 / (np.square(x).sum(1).max() + 1))
+    target, across = target.astype(np.float32), np.ascontiguousarray(x.T)
     past, past_bias = w, bias
     for k in range(rounds):
-        push = k / (k + 3)
-        at, at_bias = w + push * (w - past), bias + push * (bias - past_bias)
-        off = 1 / (1 + np.exp(-np.clip(x @ at + at_bias, -500, 500))) - target
+        push = np.float32(k / (k + 3))
+        at, at_bias = w + push * (w - past), bias + float(push) * (bias - past_bias)
+        off = 1 / (1 + np.exp(-np.clip(x @ at + np.float32(at_bias), -80, 80))) - target
         past, past_bias = w, bias
-        w = at - step * (x.T @ off / len(x) + penalty * at)
-        bias = at_bias - step * off.mean()
+        w = at - step * (across @ off / np.float32(len(x)) + np.float32(penalty) * at)
+        bias = at_bias - float(step * off.mean())
     return w, float(bias)
 
 
