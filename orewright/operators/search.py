@@ -65,7 +65,8 @@ def bm25(chunks: DataFrame, query: str, text: str = "indexed_text", key: str = "
     One pass makes the three corpus numbers (one row); a second one scores. Both read only the text column.
     """
     phrase = tokens(F.lit(query))
-    counted = chunks.select("*", F.size(tokens(F.col(text))).alias("__len"), phrase_count(tokens(F.col(text)), phrase).alias("__f"))
+    # The words are a column of their own: inside the counting they would be cut again at every place.
+    counted = chunks.select("*", tokens(F.col(text)).alias("__words")).select(*chunks.columns, F.size("__words").alias("__len"), phrase_count(F.col("__words"), phrase).alias("__f"))
     corpus = counted.agg(F.count("*").alias("__big"), F.avg("__len").alias("__avg"), F.count_if(F.col("__f") > 0).alias("__n"))
     idf = F.greatest(F.ln((F.col("__big") - F.col("__n") + 0.5) / (F.col("__n") + 0.5)), F.lit(IDF_FLOOR))
     f = F.col("__f").cast("double")
