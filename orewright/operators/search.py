@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,10 @@ def bm25(chunks: DataFrame, query: str, text: str = "indexed_text", key: str = "
 
     One pass makes the three corpus numbers (one row); a second one scores. Both read only the text column.
     """
-    phrase = tokens(F.lit(query))
-    # The words are a column of their own: inside the counting they would be cut again at every place.
-    counted = chunks.select("*", tokens(F.col(text)).alias("__words")).select(*chunks.columns, F.size("__words").alias("__len"), phrase_count(F.col("__words"), phrase).alias("__f"))
+    # The query's words are literals, and a text's words a lambda's variable: as a column they would be put back into
+    # the counting when its filter is pushed down, and cut again at every place.
+    phrase = F.array(*map(F.lit, re.findall(r"[^\W_]+", query.lower()))).cast("array<string>")
+    counted = chunks.select("*", F.size(tokens(F.col(text))).alias("__len"), F.get(F.transform(F.array(tokens(F.col(text))), lambda w: phrase_count(w, phrase)), F.lit(0)).alias("__f"))
     corpus = counted.agg(F.count("*").alias("__big"), F.avg("__len").alias("__avg"), F.count_if(F.col("__f") > 0).alias("__n"))
     idf = F.greatest(F.ln((F.col("__big") - F.col("__n") + 0.5) / (F.col("__n") + 0.5)), F.lit(IDF_FLOOR))
     f = F.col("__f").cast("double")
@@ -129,5 +132,5 @@ def hit_at_k(chunks: DataFrame, questions: DataFrame, k: int = 5, text: str = "i
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     shown = top.join(chunks.select("chunk_id", F.col(text).alias("shown")), "chunk_id").join(questions.select("query_id", "expected"), "query_id")
-    hits = shown.groupBy("query_id").agg(F.bool_or(F.contains("shown", "expected")).alias("found"))
-    return questions.join(hits, "query_id", "left").select("query_id", F.when(F.col("expected").isNull(), F.col("found").isNull()).otherwise(F.coalesce("found", F.lit(False))).alias("hit"))
+    hits = shown.groupBy("query_id").agg(F.count("*").alias("n"), F.bool_or(F.contains("shown", "expected")).alias("found"))
+    return questions.join(hits, "query_id", "left").select("query_id", F.when(F.col("expected").isNull(), F.col("n").isNull()).otherwise(F.coalesce("found", F.lit(False))).alias("hit"))
