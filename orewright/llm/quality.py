@@ -101,8 +101,8 @@ def features(text: str | None, stats: np.ndarray, buckets: int = BUCKETS) -> np.
         grams = (raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * _TRIGRAM >> shift
         out += np.sqrt(np.bincount(grams, minlength=buckets) / len(grams))
     for k, x in enumerate(stats):
-        mark = np.uint32(0x01000000 + k * 16 + (11 if np.isnan(x) else int(min(max(x, 0), 1) * 10)))
-        out[int(mark * _TRIGRAM >> shift)] += 1
+        mark = np.array([0x01000000 + k * 16 + (11 if np.isnan(x) else int(min(max(x, 0), 1) * 10))], np.uint32)
+        out[(mark * _TRIGRAM >> shift)[0]] += 1
     return out
 
 
@@ -163,7 +163,8 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t, statistics(t), buckets) @ w + bias for t in batch["doc"].field("text").to_pylist()]
+            texts = (x.as_py() for x in batch["doc"].field("text"))
+            made = [features(t, statistics(t), buckets) @ w + bias for t in texts]
             p = 1 / (1 + np.exp(-np.clip(np.array(made, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(p, pa.float64()), pa.array(p >= threshold)], names=["doc", "score", "keep"])
 

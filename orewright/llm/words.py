@@ -16,6 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+KEPT_POWERS = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -78,15 +79,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64, for i up to n."""
+    """base ** i and base ** -i modulo 2 ** 64, for i up to n. Only short tables are kept: a worker lives on after its
+    task, and a chunk's tables would stay with it."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(n, KEPT_POWERS)
         have = tuple(
             np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))])
             for b in (base, pow(base, -1, 1 << 64))
         )
-        if size <= 1 << 23:
+        if size == KEPT_POWERS:
             _powers[base] = have
     return have
 
