@@ -56,3 +56,61 @@ def simhash(docs, shingle=3, max_bits=3):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (f"{fps[i]:016x}", find(i)) for i in ids}
+
+
+def base(docs):
+    """doc_id -> held_out, n_tokens, n_known, train_tokens, base_score."""
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    tokens = {i: [*words((t or "").encode().lower().decode()), None] for i, t in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    count = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    n, v = sum(count.values()), len(count)
+    return {i: (held[i], len(t), sum(count[w] > 0 for w in t), n, sum(log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for i, t in tokens.items()}
+
+
+def cosine_groups(rows, threshold):
+    import numpy as np
+
+    def unit(v):
+        if not v or any(x is None or x != x for x in v) or not any(v):
+            return None
+        v = np.array(v, np.float32).astype(float)
+        return v / np.sqrt((v * v).sum())
+
+    u = {i: (unit(v), label) for i, v, label, _ in rows}
+    root, n = {i: i for i in u}, dict.fromkeys(u, 0)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in u:
+        for b in u:
+            (x, la), (y, lb) = u[a], u[b]
+            if a < b and x is not None and y is not None and la is not None and la == lb and len(x) == len(y) and x @ y >= threshold:
+                n[a] += 1
+                n[b] += 1
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: (n[i], find(i), find(i) == i) for i in u}
+
+
+def top_k(rows, every, k):
+    import math
+
+    import numpy as np
+
+    whole = {}
+    for i, v, *_ in rows:
+        if v and all(x is not None and x == x for x in v):
+            whole[i] = [math.floor(1024 * float(np.float32(x))) for x in v]
+    out = []
+    for q in whole:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[q], c)), i) for i, c in whole.items() if i != q and len(c) == len(whole[q]))
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
