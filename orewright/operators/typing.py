@@ -75,8 +75,9 @@ def emit_candidates(tables: DataFrame, texts: DataFrame, cells: DataFrame, pack:
     """
     plain = cells.withColumn("text", strip_footnote(F.coalesce("text", F.lit(""))))
     counts = header_counts(plain)
-    kinds = classify_tables(tables, texts, plain, counts, pack)
-    rules = match_columns(header_chains(plain, counts), kinds, pack)
+    # Headers keep their ends: "(m)" is a unit there, though it looks like a mark.
+    kinds = classify_tables(tables, texts, cells, counts, pack)
+    rules = match_columns(header_chains(cells, counts), kinds, pack)
     data = plain.join(counts, TABLE).where("row >= header_rows").join(rules, [*TABLE, "col"])
     identity = F.col("rule.role").isin("entity", "qualifier")
     filled = F.col("text") != ""
