@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import widened
 
-SAMPLE = 4096
+SAMPLE = 2048
 BUCKETS = 4096
 THRESHOLD = 0.5
 GOOD, BAD, ABSTAIN = 1, 0, 2

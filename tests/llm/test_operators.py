@@ -94,7 +94,7 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     def clean(k):
         return "\n".join(" ".join(r.choice(VOCABULARY[:5]) + str(r.randint(0, 400)) for _ in range(9)) + "." for _ in range(6))
 
-    docs = [(i, clean(i)) for i in range(60)] + [(100 + i, clean(i).replace(" ", "%%% ")) for i in range(20)]
+    docs = [(i, clean(i)) for i in range(60)] + [(100 + i, clean(i).upper().replace(" ", "!%%% ")) for i in range(20)]
     kept = {x.doc_id for x in quality.quality_filter(frame(spark, docs)).collect()}
     assert kept == set(range(60))
     posterior, accuracy = quality.estimate(np.array([[1, 1, 0], [0, 0, 1], [1, 2, 1]]), np.array([50.0, 10.0, 40.0]))
