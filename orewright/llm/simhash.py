@@ -107,9 +107,9 @@ def posting_lists(entries: DataFrame, hot: int = HOT) -> DataFrame:
 
 def forest(rep: np.ndarray, fp: np.ndarray, max_bits: int, min_bytes: int) -> list[tuple[int, int]]:
     """Links that connect what the qualifying pairs of one posting list connect."""
-    links, left = [], np.arange(len(fp))
+    links, left = [], np.argsort(rep, kind="stable")  # stars at the least entry: lists of one group then agree on most links
     while len(left):
-        frontier, left = [left[0]], left[1:]
+        root, frontier, left = int(rep[left[0]]), [left[0]], left[1:]
         while frontier and len(left):
             node = frontier.pop()
             differ = fp[left] ^ fp[node]
@@ -117,7 +117,7 @@ def forest(rep: np.ndarray, fp: np.ndarray, max_bits: int, min_bytes: int) -> li
             near = tally >= min_bytes
             near[near] = np.bitwise_count(differ[near]) <= max_bits
             reached = left[near]
-            links += [(int(rep[node]), int(rep[x])) for x in reached]
+            links += [(root, int(rep[x])) for x in reached]
             frontier += reached.tolist()
             left = left[~near]
     return links
@@ -241,16 +241,16 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT) -> Data
 
 def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links that connect the fingerprints of one list that share three positional bytes and differ in `most` bits at most."""
-    links, left = [], np.arange(len(fp))
+    links, left = [], np.argsort(rep, kind="stable")  # stars at the least entry: lists of one group then agree on most links
     while len(left):
-        frontier, left = [left[0]], left[1:]
+        root, frontier, left = int(rep[left[0]]), [left[0]], left[1:]
         while frontier and len(left):
             node = frontier.pop()
             differ = fp[left] ^ fp[node]
             near = (differ.view(np.uint8) == 0).sum(axis=1) >= 3
             near &= np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most
             reached = left[near]
-            links += [(int(rep[node]), int(rep[x])) for x in reached]
+            links += [(root, int(rep[x])) for x in reached]
             frontier += reached.tolist()
             left = left[~near]
     return links
