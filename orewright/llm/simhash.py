@@ -232,10 +232,14 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT) -> Data
 
     keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long")
     sizes = keyed.groupBy("key").count().where("count > 1")
-    # A long list is dealt into shares, by another hash for each key, so that entries parted under one key meet under others.
-    share = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("count") / hot)).cast("int").alias("share")
-    shared = keyed.join(sizes, "key").select("rep", "key", share).join(entries.select("rep", "fp"), "rep")
-    lists = shared.groupBy("key", "share").agg(F.collect_list(F.struct("rep", "fp")).alias("entries")).where(F.size("entries") > 1)
+    # A long list is cut into blocks, and each two blocks of a list meet in a task of their own.
+    blocks = F.ceil(F.col("count") / hot).cast("int")
+    block = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int").alias("block")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
+    meets = F.explode(F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
+    shared = keyed.join(sizes, "key").select("rep", "key", blocks.alias("blocks"), block).join(entries.select("rep", "fp"), "rep")
+    lists = shared.select("rep", "fp", "key", meets.alias("meet")).groupBy("key", "meet").agg(F.collect_list(F.struct("rep", "fp")).alias("entries"))
+    lists = lists.where(F.size("entries") > 1)
     return lists.select("entries").mapInArrow(link, "u long, v long").distinct()
 
 

@@ -52,6 +52,20 @@ def test_simhash(spark):
     assert 4 in ids and not ids & {6, 8} and 3 in ids
 
 
+def test_similar_links_of_hot_lists_are_whole(spark):
+    """Every pair of a long list is compared, however long a list may be before it is cut."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 64, np.uint8)
+    rows = []
+    for i in range(0, 120, 2):  # pairs of near fingerprints; all 120 share 12 positional bytes, other pairs are far apart
+        one = np.concatenate([base[:12], rng.integers(0, 256, 52, np.uint8)])
+        two = one.copy()
+        two[12:] ^= (1 << rng.integers(0, 8, 52)).astype(np.uint8)  # no byte but the shared ones agrees
+        rows += [(i, bytearray(one)), (i + 1, bytearray(two))]
+    links = simhash.similar_links(spark.createDataFrame(rows, "rep long, fp binary"), 0.8, hot=8).collect()
+    assert {tuple(sorted(x)) for x in links} == {(i, i + 1) for i in range(0, 120, 2)}
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
