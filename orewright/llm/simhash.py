@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -174,20 +174,30 @@ def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
 WORDS64 = 8
 SIMILAR = 0.8
 #: Offsets of the positions of a key's second and third byte from its first, which runs over all positions.
-KEY_SHAPES = ((1, 3), (5, 16))
+KEY_SHAPES = ((1, 3), (5, 16), (7, 26), (11, 29), (4, 13), (6, 20))
+#: Sets of so few shingles meet under their least hashes too: of two at 0.8, a fifth and one more of each surely share one.
+FEW = 20
+FEW_BITS = 160
+FEW_KEY = 1 << 62
+#: Shingle hashes that a block of an exact comparison holds.
+BLOCK_HASHES = 1 << 20
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """A SimHash of 512 bits; each shingle's hash is mixed into eight."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The set of a text's shingles: sorted hashes; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * WORDS64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     digest, last = xxhash.xxh64_intdigest, ends[min(shingle, len(words)) - 1 :]
-    hashes = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A SimHash of 512 bits; each shingle's hash is mixed into eight."""
     set_bits = np.zeros((WORDS64, 64), np.int64)
     for part in range(0, len(hashes), 8192):
         block = hashes[part : part + 8192]
@@ -198,14 +208,15 @@ def wide_fingerprint(text: str | None, shingle: int) -> bytes:
 
 
 def max_distance(similarity: float) -> int:
-    """Differing bits that fingerprints of sets at this Jaccard similarity have on average."""
-    return int(512 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits that few fingerprints of sets at this Jaccard similarity pass: their average and four deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(512 * share + 4 * math.sqrt(512 * share * (1 - share)))
 
 
-def similar_links(entries: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
-    """Links (u, v) that connect the representatives whose fingerprints differ in no more bits than sets of this
-    similarity do; found where three positional bytes agree, under any of 128 choices of positions (two sets at 0.85
-    agree under one of them in 99 of 100 cases, at 0.9 practically always)."""
+def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
+    """Links (u, v) that connect the representatives whose fingerprints differ in no more bits than `max_distance`;
+    found where three positional bytes agree, under any of 384 choices of positions. more: other keys (rep, key) of
+    sets too small for the fingerprints' averages; under these, twice as far above the average is near."""
     size = 8 * WORDS64
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,35 +234,37 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT) -> Data
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for entry in batch["entries"]:
+            for key, entry in zip(batch["key"].to_pylist(), batch["entries"]):
                 reps = np.array([x["rep"].as_py() for x in entry.values])
                 fp = np.frombuffer(b"".join(x["fp"].as_py() for x in entry.values), np.uint64).reshape(-1, WORDS64)
-                links += wide_forest(reps, fp, most)
+                links += wide_forest(reps, fp, most, 3) if key < FEW_KEY else wide_forest(reps, fp, FEW_BITS, 0)
             u, v = zip(*links) if links else ((), ())
             yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long")
-    sizes = keyed.groupBy("key").count().where("count > 1")
+    if more is not None:
+        keyed = keyed.unionByName(more)
+    keyed = keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
     # A long list is cut into blocks, and each two blocks of a list meet in a task of their own.
     blocks = F.ceil(F.col("count") / hot).cast("int")
     block = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int").alias("block")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
     meets = F.explode(F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    shared = keyed.join(sizes, "key").select("rep", "key", blocks.alias("blocks"), block).join(entries.select("rep", "fp"), "rep")
+    shared = keyed.select("rep", "key", blocks.alias("blocks"), block).join(entries.select("rep", "fp"), "rep")
     lists = shared.select("rep", "fp", "key", meets.alias("meet")).groupBy("key", "meet").agg(F.collect_list(F.struct("rep", "fp")).alias("entries"))
     lists = lists.where(F.size("entries") > 1)
-    return lists.select("entries").mapInArrow(link, "u long, v long").distinct()
+    return lists.select("key", "entries").mapInArrow(link, "u long, v long").distinct()
 
 
-def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect the fingerprints of one list that share three positional bytes and differ in `most` bits at most."""
+def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int, min_bytes: int) -> list[tuple[int, int]]:
+    """Links that connect the fingerprints of one list that share `min_bytes` positional bytes and differ in `most` bits at most."""
     links, left = [], np.argsort(rep, kind="stable")  # stars at the least entry: lists of one group then agree on most links
     while len(left):
         root, frontier, left = int(rep[left[0]]), [left[0]], left[1:]
         while frontier and len(left):
             node = frontier.pop()
             differ = fp[left] ^ fp[node]
-            near = (differ.view(np.uint8) == 0).sum(axis=1) >= 3
+            near = (differ.view(np.uint8) == 0).sum(axis=1) >= min_bytes
             near &= np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most
             reached = left[near]
             links += [(root, int(rep[x])) for x in reached]
@@ -260,21 +273,125 @@ def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int) -> list[tuple[int, i
     return links
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets is at least `similarity`."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def exact_links(sets: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """Links (u, v) that connect what the pairs of one group with a Jaccard value of `similarity` connect.
+
+    sets: grp (the least node of the group), node, set (sorted hashes, as bytes) and n. A group is first compared with
+    its least node, then what is not like that node with every member, block against block. Members that are like the
+    least node are connected already and are not compared among themselves.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch["set"].to_pylist(), batch["hub"].to_pylist())
+            ok = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in pairs]
+            yield pa.record_batch({"grp": batch["grp"], "node": batch["node"], "ok": pa.array(ok, pa.bool_())})
+
+    def cross(t: pa.Table) -> pa.Table:
+        u, v = cross_links(t, similarity)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        needed = F.ceil(F.greatest(F.count("*") / hot, F.sum("n") / BLOCK_HASHES)).cast("int")
+        return rows.groupBy("grp").agg(F.greatest(needed, F.lit(1)).alias(name))
+
+    def part(name: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+
+    def every(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    parts = cut(blocks(sets, "parts"))
+    hubs = sets.where("node = grp").join(parts, "grp").select("grp", F.col("set").alias("hub"), every("parts").alias("part"))
+    shared = sets.where("node != grp").join(parts, "grp").select("grp", "node", "set", part("parts").alias("part"))
+    star = cut(shared.join(hubs, ["grp", "part"]).select("grp", "node", "set", "hub").mapInArrow(compare, "grp long, node long, ok boolean"))
+    rest = sets.join(star.where("not ok").select("node"), "node", "left_semi")
+    todo = cut(blocks(rest, "rests").join(parts, "grp"))
+    known = star.where("ok").select("node", F.lit(True).alias("known"))
+    asking = rest.join(todo, "grp").select("grp", "node", "set", F.lit(False).alias("known"), F.lit(True).alias("asks"), part("rests").alias("i"), every("parts").alias("j"))
+    held = sets.join(todo, "grp").join(known, "node", "left").select("grp", "node", "set", F.coalesce("known", F.col("node") == F.col("grp")).alias("known"), F.lit(False).alias("asks"), every("rests").alias("i"), part("parts").alias("j"))
+    found = asking.unionByName(held).groupBy("grp", "i", "j").applyInArrow(cross, "u long, v long")
+    return star.where("ok").select(F.col("grp").alias("u"), F.col("node").alias("v")).unionByName(found)
+
+
+def cross_links(t: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """Links between the rows that ask and all rows of a block, fewer than rows; rows known to be alike are one from the start."""
+    node, asks, known = t["node"].to_numpy(), t["asks"].to_numpy(), t["known"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    _, label = np.unique(node, return_inverse=True)  # a row that asks is in its block a second time
+    label = np.where(known, -1, label)
+    u, v = [], []
+    for i in np.flatnonzero(asks):
+        lo, hi = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+        lengths = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for x in np.flatnonzero((both >= similarity * (size + size[i] - both) - 1e-9) & (both > 0)):
+            if label[x] != label[i]:
+                u.append(int(node[i]))
+                v.append(int(node[x]))
+                label[label == label[x]] = label[i]
+    return u, v
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
-    """doc_id and component_id: documents whose sets of shingles are similar, by the estimate of their fingerprints."""
+    """doc_id, text_md5 and `least`, the doc_id (nulls last) and text_md5 of the first document of its component: documents
+    linked by a Jaccard value of their sets of shingle hashes of `similarity` or more.
+
+    The fingerprints' index finds candidates by a looser bound; the sets of those alone are then compared exactly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_fingerprint(x.as_py(), shingle) for x in batch["text"]]
-            yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), "fp": pa.array(fps, pa.binary())})
-
-    made = cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary"))
-    entries = cut(made.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")))
-    linked = components(similar_links(entries, similarity, hot))
-    groups = entries.join(linked, entries.rep == linked.node, "left").select("fp", F.nullif(F.coalesce("component", "rep"), F.lit(NO_ID)).alias("component_id"))
-    return made.join(groups, "fp").select("doc_id", "component_id")
+            sets = [shingle_hashes(x.as_py(), shingle) for x in batch["text"]]
+            few = [x[: len(x) // 5 + 1].view(np.int64) & (FEW_KEY - 1) | FEW_KEY if len(x) <= FEW else [] for x in sets]
+            made = {
+                "doc_id": batch["doc_id"].cast(pa.int64()),
+                "text_md5": batch["text_md5"],
+                "fp": pa.array([wide_fingerprint(x) for x in sets], pa.binary()),
+                "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                "n": pa.array([len(x) for x in sets], pa.int64()),
+                "few": pa.array(few, pa.list_(pa.int64())),
+            }
+            yield pa.record_batch(made)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py(), shingle).tobytes() for x in batch["text"]]
+            yield pa.record_batch({"grp": batch["grp"], "node": batch["node"], "n": batch["n"], "set": pa.array(sets, pa.binary())})
+
+    keyed = docs.select("doc_id", F.md5("text").alias("text_md5"), "text")
+    schema = "doc_id long, text_md5 string, fp binary, digest binary, n long, few array<long>"
+    made = cut(keyed.mapInArrow(run, schema))
+    # Equal sets are one entry. Nodes are numbers of entries, as ids may be null or stand at several texts.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("least")
+    entries = made.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("few").alias("few"), least)
+    entries = cut(entries.withColumn("rep", F.monotonically_increasing_id()))
+    few = entries.select("rep", F.explode("few").alias("key"))
+    loose = cut(components(similar_links(entries, similarity, hot, few)).select("node", F.col("component").alias("grp")))
+    asked = loose.join(entries, F.col("rep") == F.col("node")).select("grp", "node", "n", "least.doc_id", "least.text_md5")
+    same = F.col("a.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("a.text_md5").eqNullSafe(F.col("k.text_md5"))
+    texts = keyed.alias("k").join(asked.alias("a"), same).select("grp", "node", "n", "text")
+    sets = cut(texts.mapInArrow(read, "grp long, node long, n long, set binary").dropDuplicates(["node"]))
+    linked = components(exact_links(sets, similarity, hot))
+    groups = entries.join(linked, entries.rep == linked.node, "left").select("digest", "least", F.coalesce("component", "rep").alias("component"))
+    firsts = groups.groupBy("component").agg(F.min("least").alias("least"))
+    return made.join(groups.select("digest", "component"), "digest").join(firsts, "component").select("doc_id", "text_md5", "least")
 
 
 def similar_dedup(docs: DataFrame, **how) -> DataFrame:
     """The documents, all columns, one of each group of similar documents: the one with the smallest doc_id."""
-    return _first_of(docs, similar_groups(docs, **how))
+    groups = similar_groups(docs, **how).select("doc_id", F.col("least.doc_id").alias("component_id"))
+    return _first_of(docs, groups)
