@@ -78,17 +78,28 @@ def votes(stats: np.ndarray) -> np.ndarray:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Dawid and Skene's model by EM: the posterior of `good` for each vote pattern, and each labeller's accuracy."""
-    good, bad = (patterns == GOOD).sum(1), (patterns == BAD).sum(1)
-    posterior = (good + 1.0) / (good + bad + 2.0)
+    """Dawid and Skene's model by EM: the posterior of `good` for each vote pattern, and each labeller's accuracy.
+
+    Patterns without a bad vote anchor the good class; a labeller that calls most documents bad is not asked there. Others
+    start from their votes, each by how rare it is for its labeller, and the rates of the classes are smoothed towards those
+    of the anchors and of the others. So labellers that are good on everything do not outvote a bad vote of one that tells.
+    """
     cast = np.stack([patterns == BAD, patterns == GOOD], axis=2).astype(float)  # no vote tells nothing
+    seen = np.einsum("p,pjv->jv", counts, cast) + 1
+    overall = seen / seen.sum(1, keepdims=True)
+    told = np.einsum("pjv,jv->pv", cast, -np.log(overall))
+    asked = seen[:, 0] <= seen[:, 1]
+    anchor = ((patterns == GOOD) & asked).any(1) & ~((patterns == BAD) & asked).any(1)
+    posterior = np.where(anchor, 1.0, 1 / (1 + np.exp(told[:, 0] - told[:, 1])))
+    near = np.einsum("yp,pjv->yjv", np.stack([~anchor, anchor]) * counts, cast) + overall
+    near /= near.sum(2, keepdims=True)
     for _ in range(rounds):
         share = np.stack([1 - posterior, posterior]) * counts
         prior = (share.sum(1) + 1) / (counts.sum() + 2)
-        rate = np.einsum("yp,pjv->yjv", share, cast) + 0.5
+        rate = np.einsum("yp,pjv->yjv", share, cast) + near
         rate /= rate.sum(2, keepdims=True)
         log = np.log(prior)[:, None] + np.einsum("pjv,yjv->yp", cast, np.log(rate))
-        posterior = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        posterior = np.where(anchor, 1.0, 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700))))
     return posterior, prior[0] * rate[0, :, BAD] + prior[1] * rate[1, :, GOOD]
 
 

@@ -147,6 +147,18 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert posterior[0] > 0.5 > posterior[1] and accuracy[0] > 0.8
 
 
+def test_quality_drops_junk_of_one_bad_vote(spark):
+    def clean(k):
+        return "\n".join(" ".join(r.choice(VOCABULARY[:5]) + str(r.randint(0, 400)) for _ in range(9)) + "." for _ in range(6))
+
+    docs = [(i, clean(i)) for i in range(60)] + [(100 + i, clean(i).replace(" ", "%%% ")) for i in range(20)]
+    kept = {x.doc_id for x in quality.quality_filter(frame(spark, docs)).collect()}
+    assert kept == set(range(60))
+    for n in (20.0, 600.0, 3000.0):
+        posterior, _ = quality.estimate(np.array([[1] * 7, [0] + [1] * 6]), np.array([6000.0, n]))
+        assert posterior[0] > 0.9 and posterior[1] < 0.3
+
+
 PAGES = [
     ("<body><nav><a>m</a></nav><div class=ad>buy</div><article><h1>T &amp; t</h1><p>a  b\n c<br>d<p>e <b>f</b></article><footer>z</footer>", "T & t\na b c d\ne f"),
     ("<div id=content><h1>Title here</h1><p>Many words of text stand here in a row.</p><form><input>x</form></div><div id=comments><p>me too</p></div>", "Title here\nMany words of text stand here in a row."),
