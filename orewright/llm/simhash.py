@@ -392,6 +392,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
 
 
 def similar_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, one of each group of similar documents: the one with the smallest doc_id."""
-    groups = similar_groups(docs, **how).select("doc_id", F.col("least.doc_id").alias("component_id"))
-    return _first_of(docs, groups)
+    """The documents, all columns, one row of each group of similar documents: the one with the smallest doc_id (nulls
+    last) and then the least hash of its text, whether or not other rows repeat its doc_id."""
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_md5").eqNullSafe(F.col("least.text_md5"))
+    groups = similar_groups(docs, **how)
+    drop = groups.where(~same).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
+    # Rows alike in both are one text, of which one row stays.
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__key"), F.md5("text").alias("__hash"))
+    left = rows.join(drop, F.col("__key").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__md5")), "left_anti")
+    number = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key"))
+    return left.withColumn("__number", number).where("__number = 1").select("__doc.*")

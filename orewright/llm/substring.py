@@ -166,7 +166,7 @@ def _removed(rows: pa.Table, flags: pa.Table, least: pa.Table, size: int, width:
     return words, np.cumsum(change[:-1]) > 0
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, source_md5 string"
 
 
 def kept(rows: pa.Table, replies: pa.Table, size: int, width: int) -> pa.Table:
@@ -179,8 +179,9 @@ def kept(rows: pa.Table, replies: pa.Table, size: int, width: int) -> pa.Table:
     words, gone = _removed(rows, flags, least, size, width)
     gone_before = np.concatenate([[0], np.cumsum(gone)])
     removed = np.diff(gone_before[words.ptr])
-    texts, digests = [], []
+    texts, digests, sources = [], [], []
     for d, (old, n) in enumerate(zip(rows["text"].to_pylist(), removed.tolist())):
+        sources.append(None if old is None else hashlib.md5(old.encode()).hexdigest())
         if n:
             a, b = words.ptr[d], words.ptr[d + 1]
             # A kept word takes along the white space up to the next word, and the first one what stands before it.
@@ -197,12 +198,13 @@ def kept(rows: pa.Table, replies: pa.Table, size: int, width: int) -> pa.Table:
             "n_removed": pa.array(removed, pa.int64()),
             "kept_sha256": pa.array(digests, pa.string()),
             "text": pa.array(texts, pa.string()),
+            "source_md5": pa.array(sources, pa.string()),
         }
     )
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and the text that is left."""
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), the text that is left and source_md5, of the text that was."""
     size = X.text_size(docs)
     chunks = X.chunk_count(size, chunk_bytes)
     bits = X.slice_bits(chunks)
@@ -227,11 +229,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = X.
 
 def substring_filter(docs: DataFrame, **how) -> DataFrame:
     """The documents, all columns, with the text that is left (n_chars, where there is one, follows it), less those of
-    which no word is left. doc_id must tell the documents apart."""
-    report = substring_dedup(docs, **how).select(F.col("doc_id").alias("__id"), "n_words", "n_removed", F.col("text").alias("__left"))
-    report = report.where("n_removed > 0").select("__id", "__left", (F.col("n_removed") == F.col("n_words")).alias("__none"))
-    joined = docs.select(F.col("doc_id").alias("__key"), F.struct(*docs.columns).alias("__doc")).join(report, F.col("__key") == F.col("__id"), "left")
-    text = F.when(F.col("__id").isNotNull(), F.col("__left")).otherwise(F.col("__doc.text"))
+    which no word is left. Rows that repeat a doc_id are told apart by their texts; equal texts of one id lose the same."""
+    report = substring_dedup(docs, **how).where("n_removed > 0")
+    none = (F.col("n_removed") == F.col("n_words")).alias("__none")
+    report = report.select(F.col("doc_id").alias("__id"), F.col("source_md5").alias("__source"), F.col("text").alias("__left"), none, F.lit(True).alias("__found")).dropDuplicates(["__id", "__source"])
+    rows = docs.select(F.col("doc_id").alias("__key"), F.md5("text").alias("__hash"), F.struct(*docs.columns).alias("__doc"))
+    joined = rows.join(report, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__source")), "left")
+    text = F.when(F.col("__found"), F.col("__left")).otherwise(F.col("__doc.text"))
     kept = joined.where(~F.coalesce("__none", F.lit(False)))
     fresh = {"text": text, "n_chars": F.length(text).cast("long")}
     return kept.select(*[fresh.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])

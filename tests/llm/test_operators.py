@@ -88,6 +88,17 @@ def test_similar_dedup_is_by_exact_jaccard(spark):
     assert kept >= want and not kept & few and 120 < len(want) < 200 and len(kept - want) <= 4
 
 
+def test_repeated_rows_in_pipeline_stages(spark):
+    """A doc_id that stands at several texts, repeated rows and null ids: rows are dropped and changed, not ids."""
+    a, b, c = (" ".join(f"{x}{j}" for j in range(30)) for x in "abc")
+    docs = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, "null one"), (None, "null one"), (None, "null two")]
+    kept = sorted((x.doc_id or 0, x.text) for x in simhash.similar_dedup(frame(spark, docs)).collect())
+    assert kept == [(0, "null one"), (0, "null two"), (1, a), (2, b), (3, c)]
+    docs = [(1, a + " " + b), (2, "x " + a + " y"), (2, "z " + b + " w")]
+    left = sorted((x.doc_id, x.text) for x in substring.substring_filter(frame(spark, docs)).collect())
+    assert left == [(1, a + " " + b), (2, "x y"), (2, "z w")]
+
+
 def test_exact_links_of_a_long_group(spark):
     """A chain of sets, each like the next only, in a group of many blocks; one set is like none."""
     rows = [(0, i, bytearray(np.arange(10 * i, 10 * i + 100, dtype=np.uint64).tobytes()), 100) for i in range(40)]
