@@ -68,7 +68,7 @@ def test_similar_links_of_hot_lists_are_whole(spark):
 
 def test_similar_dedup_is_by_exact_jaccard(spark):
     """Documents of 4 to 112 shingles, each with a partner just at 0.8 or just under it. Pairs under 0.8 are never linked,
-    pairs of few shingles at 0.8 always, others but for what the fingerprints' index misses there (some 2%; the old estimate lost half)."""
+    pairs of few shingles at 0.8 always, others but for what the fingerprints' index misses there (some 2%)."""
     docs, want, few = [], set(), set()
     for k in range(120):
         shared, own = (4, 0) if k % 8 == 7 else (80 + k % 9, 10)  # 4 of 5, or 80/100 and above
