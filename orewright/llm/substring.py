@@ -62,6 +62,8 @@ def sketch(rows: pa.Table, size: int, width: int, bits: int) -> pa.Table:
 
 
 def _touched(one: np.ndarray, ids: np.ndarray, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    if not len(one):  # no text of the chunk has a window
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     cells = _cells(one, row, width)
     order = np.argsort(cells, kind="stable")  # stable: a cell's ids stay in ascending order
     cells, ids = cells[order], ids[order]
@@ -237,5 +239,5 @@ def substring_filter(docs: DataFrame, **how) -> DataFrame:
     joined = rows.join(report, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__source")), "left")
     text = F.when(F.col("__found"), F.col("__left")).otherwise(F.col("__doc.text"))
     kept = joined.where(~F.coalesce("__none", F.lit(False)))
-    fresh = {"text": text, "n_chars": F.length(text).cast("long")}
+    fresh = {"text": text, "n_chars": F.when(F.col("__found"), F.length("__left").cast("long")).otherwise(F.col("__doc.n_chars"))} if "n_chars" in docs.columns else {"text": text}
     return kept.select(*[fresh.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])
