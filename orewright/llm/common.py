@@ -41,6 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: A table goes to every executor only up to this size, which is worked out from its row count.
+BROADCAST_BYTES = 16 << 20
+SALTS = 64
+
+
+def attach(rows: DataFrame, small: DataFrame, on: list[str], spread: str, row_bytes: int = 256) -> DataFrame:
+    """`rows` joined with a table of one row per key. That is broadcast if its size is within bounds; else each key's
+    rows are dealt over `SALTS` tasks by the column `spread`, so a frequent key burdens no task alone either way."""
+    if small.count() * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on)
+    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(every, [*on, "__salt"]).drop("__salt")
+
+
 def widened(schema: StructType, **columns: str) -> StructType:
     """A schema with more columns at its end: names and types."""
     return StructType([*schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in columns.items())])
