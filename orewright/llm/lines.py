@@ -10,9 +10,9 @@ other place, so a line that a third of all documents hold makes one row per plac
 All of it is DataFrame expressions. Runs are grouped by 128 bits of hash.
 
 Results for odd input: null counts as the empty text, which is one empty line, and stays null; texts of fewer lines
-than a run lose nothing; blank lines are lines; of equal texts the smallest doc_id keeps its lines; rows that repeat a
-doc_id are judged alike and do not remove each other's lines; rows without doc_id lose nothing; an empty table gives
-an empty result.
+than a run lose nothing; blank lines are lines; of equal texts the smallest doc_id keeps its lines; of several texts under
+one doc_id, that of the least hash stands first, and rows alike in both are judged as one row and lose the same lines; rows
+without doc_id lose nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ def _lines(text: Column) -> Column:
 
 
 def _marks(docs: DataFrame, run: int) -> DataFrame:
-    """One row per fingerprint: its hash h, document d, the lines around it as hashes, and the number of the first."""
+    """One row per fingerprint: its hash h, document (d and t, its id and its text's hash), place p, the lines around it as
+    hashes, and the number of the first of them."""
     hashed = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("d"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hs")
+        F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hs")
     )
-    hashed = hashed.where(F.size("hs") >= run).select("d", "hs", F.size("hs").alias("n"))
+    hashed = hashed.where(F.size("hs") >= run).select("d", "t", "hs", F.size("hs").alias("n"))
 
     def least(i: Column) -> Column:
         window = F.slice("hs", i + 1, run)
@@ -42,33 +43,40 @@ def _marks(docs: DataFrame, run: int) -> DataFrame:
 
     def around(p: Column) -> Column:
         lo = F.greatest(p - (run - 1), F.lit(0))
-        return F.struct(F.get("hs", p).alias("h"), lo.alias("lo"), F.slice("hs", lo + 1, F.least(p + run, F.col("n")) - lo).alias("near"))
+        return F.struct(p.alias("p"), F.get("hs", p).alias("h"), lo.alias("lo"), F.slice("hs", lo + 1, F.least(p + run, F.col("n")) - lo).alias("near"))
 
     picked = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - run), least))
-    return hashed.select("d", F.explode(F.transform(picked, around)).alias("m")).select("d", "m.h", "m.lo", "m.near")
+    return hashed.select("d", "t", F.explode(F.transform(picked, around)).alias("m")).select("d", "t", "m.*")
 
 
 def late_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """d and start: each run of lines that also stands at an earlier position."""
+    """d, t and start: each run of lines that also stands at an earlier position.
+
+    No row is joined by a fingerprint or a run: fingerprints that stand at one place, and then the first places of runs, are
+    found by aggregates, which meet in part before the shuffle, and taken away by their places. A line that every document
+    holds so burdens no task.
+    """
     marks = _marks(docs, run)
-    shared = marks.groupBy("h").count().where("count > 1").select("h")
+    spot = F.struct("d", "t", "p")
+    places_of = marks.groupBy("h").agg(F.min(spot).alias("least"), F.max(spot).alias("most"))
+    lone = places_of.where("least = most").select("least.*")
     places = F.transform(F.sequence(F.lit(0), F.size("near") - run), lambda j: F.struct((F.col("lo") + j).alias("start"), F.slice("near", j + 1, run).alias("lines")))
     runs = cut(
-        marks.join(shared, "h", "left_semi")
-        .select("d", F.explode(places).alias("p"))
-        .select("d", "p.start", F.xxhash64("p.lines").alias("k1"), F.xxhash64(F.lit(1), F.reverse("p.lines")).alias("k2"))
+        marks.join(lone, ["d", "t", "p"], "left_anti")
+        .select("d", "t", F.explode(places).alias("p"))
+        .select("d", "t", "p.start", F.xxhash64("p.lines").alias("k1"), F.xxhash64(F.lit(1), F.reverse("p.lines")).alias("k2"))
     )
-    first = runs.groupBy("k1", "k2").agg(F.min(F.struct("d", "start")).alias("first"))
-    return runs.join(first, ["k1", "k2"]).where(F.struct("d", "start") > F.col("first")).select("d", "start")
+    first = runs.groupBy("k1", "k2").agg(F.min(F.struct("d", "t", "start")).alias("first")).select("first.*")
+    return runs.select("d", "t", "start").join(first, ["d", "t", "start"], "left_anti")
 
 
 def _judged(docs: DataFrame, run: int) -> DataFrame:
     """The documents as one struct, their lines, and the numbers of the lines that go."""
-    late = late_runs(docs, run).groupBy("d").agg(F.collect_set("start").alias("starts"))
-    rows = docs.select(F.col("doc_id").alias("d"), F.struct(*docs.columns).alias("doc"))
+    late = late_runs(docs, run).groupBy("d", "t").agg(F.collect_set("start").alias("starts"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.struct(*docs.columns).alias("doc"))
     covered = F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))
     gone = F.coalesce(F.array_distinct(F.flatten(covered)), F.array().cast("array<int>"))
-    return rows.join(late, "d", "left").select("doc", _lines(F.col("doc.text")).alias("lines"), gone.alias("gone"))
+    return rows.join(late, ["d", "t"], "left").select("doc", _lines(F.col("doc.text")).alias("lines"), gone.alias("gone"))
 
 
 def _left() -> Column:
@@ -81,7 +89,9 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     which lines went and no word is left."""
     text = F.when(F.size("gone") > 0, _left()).otherwise(F.col("doc.text"))
     out = _judged(docs, run).withColumn("left", text).where((F.size("gone") == 0) | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
-    fresh = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    fresh = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.size("gone") > 0, F.length("left").cast("long")).otherwise(F.col("doc.n_chars"))
     return out.select(*[(fresh.get(c, F.col("doc")[c])).alias(c) for c in docs.columns])
 
 
