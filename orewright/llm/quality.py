@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts
 of vote patterns (all documents; at most 3 ** labellers patterns, whatever the input) estimates how each labeller
 votes on good and on bad documents, and so the posterior of each pattern. A linear scorer over hashed features learns
-these posteriors from a sample of at most `SAMPLE` documents, chosen by a hash of doc_id, and scores every document.
+these posteriors from a sample of at most `SAMPLE` documents, chosen by a hash of doc_id and text, and scores every document.
 
 Results for odd input: null and empty texts get no votes beyond abstentions and the score of no features; rows with
 the same text get the same score; rows that repeat a doc_id are scored each; other columns stay as they are; an empty
@@ -158,8 +158,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[
             x = [features(t, s, buckets).tobytes() for t, s in zip(texts, stats)]
             yield pa.record_batch({"x": pa.array(x, pa.binary()), "pattern": pa.array(code, pa.int64())})
 
-    some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text").limit(2 * sample)  # at most `sample` ids
+    # At most `sample` different (doc_id, text), the least by hash; rows alike in both are one.
+    keyed = docs.select(F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"), "text")
+    some = keyed.select("h").distinct().orderBy("h").limit(sample)
+    chosen = keyed.join(F.broadcast(some), "h").dropDuplicates(["h"]).select("text")
     learned = sorted((r.x, r.pattern) for r in chosen.mapInArrow(learn, "x binary, pattern long").collect())
     x = np.array([np.frombuffer(r[0], np.float32) for r in learned]).reshape(-1, buckets)
     w, bias = train(x, np.array([target[r[1]] for r in learned]))
