@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
-from .words import SECOND_BASE, mix
+from .words import SECOND_BASE, mix, pieces_of, spans, window_hashes, window_starts, word_hashes, words_of
 
 SHINGLE = 3
 SEED = 42
@@ -179,32 +179,36 @@ KEY_SHAPES = ((1, 3), (5, 16), (7, 26), (11, 29), (4, 13), (6, 20))
 FEW = 20
 FEW_BITS = 160
 FEW_KEY = 1 << 62
+#: Positional bytes that a pair of one list shares at least.
+MIN_SHARED = 3
 #: Shingle hashes that a block of an exact comparison holds.
 BLOCK_HASHES = 1 << 20
+PIECE_BYTES = 1 << 20
+_OFFSETS = np.array([i * SECOND_BASE % (1 << 64) for i in range(WORDS64)], np.uint64)
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The set of a text's shingles: sorted hashes; a text of fewer words is one shingle, one without words has none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    digest, last = xxhash.xxh64_intdigest, ends[min(shingle, len(words)) - 1 :]
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n))
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The set of each text's shingles: sorted hashes; a text of fewer words is one shingle, one without words has none."""
+    for piece in pieces_of(texts, PIECE_BYTES):
+        words = words_of(texts[piece], lower=True)
+        hashes = word_hashes(words)
+        first = window_starts(words, shingle)
+        made = window_hashes(hashes, first, shingle, SECOND_BASE)
+        whole = spans(hashes, words.ptr[:-1], words.ptr[1:], SECOND_BASE)
+        ends = np.searchsorted(first, words.ptr)
+        for d, (a, b, n) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), np.diff(words.ptr).tolist())):
+            yield np.unique(made[a:b]) if n >= shingle else whole[d : d + (n > 0)]
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
     """A SimHash of 512 bits; each shingle's hash is mixed into eight."""
-    set_bits = np.zeros((WORDS64, 64), np.int64)
-    for part in range(0, len(hashes), 8192):
-        block = hashes[part : part + 8192]
-        for i in range(WORDS64):
-            made = mix(block + np.uint64(i * SECOND_BASE % (1 << 64)))
-            set_bits[i] += np.unpackbits(made.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(set_bits.ravel() * 2 > len(hashes), bitorder="little").tobytes()
+    set_bits = np.zeros(512, np.int64)
+    for part in range(0, len(hashes), 2048):
+        made = mix(hashes[part : part + 2048, None] + _OFFSETS)
+        bits = np.unpackbits(made.view(np.uint8), bitorder="little").reshape(-1, 512)
+        for begin in range(0, len(bits), 255):  # as many bits as a byte can count
+            set_bits += bits[begin : begin + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(set_bits * 2 > len(hashes), bitorder="little").tobytes()
 
 
 def max_distance(similarity: float) -> int:
@@ -233,13 +237,24 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: D
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            for key, entry in zip(batch["key"].to_pylist(), batch["entries"]):
-                reps = np.array([x["rep"].as_py() for x in entry.values])
-                fp = np.frombuffer(b"".join(x["fp"].as_py() for x in entry.values), np.uint64).reshape(-1, WORDS64)
-                links += wide_forest(reps, fp, most, 3) if key < FEW_KEY else wide_forest(reps, fp, FEW_BITS, 0)
-            u, v = zip(*links) if links else ((), ())
-            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            inner = batch["entries"].flatten()
+            reps = inner.field("rep").to_numpy()
+            fp = np.frombuffer(b"".join(inner.field("fp").to_pylist()), np.uint64).reshape(-1, WORDS64)
+            few, length = batch["key"].to_numpy() >= FEW_KEY, pc.list_value_length(batch["entries"]).to_numpy()
+            end = np.cumsum(length)
+            # Most lists are pairs: these are decided at once.
+            pair = length == 2
+            one, two = end[pair] - 2, end[pair] - 1
+            differ = fp[one] ^ fp[two]
+            near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= np.where(few[pair], FEW_BITS, most)
+            near &= few[pair] | ((differ.view(np.uint8) == 0).sum(axis=1) >= MIN_SHARED)
+            u, v = [reps[one[near]]], [reps[two[near]]]
+            for k in np.flatnonzero(~pair):
+                part = slice(end[k] - length[k], end[k])
+                found = wide_forest(reps[part], fp[part], *((FEW_BITS, 0) if few[k] else (most, MIN_SHARED)))
+                u.append(np.array([x[0] for x in found], np.int64))
+                v.append(np.array([x[1] for x in found], np.int64))
+            yield pa.record_batch({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
     keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long")
     if more is not None:
@@ -355,7 +370,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(x.as_py(), shingle) for x in batch["text"]]
+            sets = list(shingle_sets(batch["text"], shingle))
             few = [x[: len(x) // 5 + 1].view(np.int64) & (FEW_KEY - 1) | FEW_KEY if len(x) <= FEW else [] for x in sets]
             made = {
                 "doc_id": batch["doc_id"].cast(pa.int64()),
@@ -369,7 +384,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(x.as_py(), shingle).tobytes() for x in batch["text"]]
+            sets = [x.tobytes() for x in shingle_sets(batch["text"], shingle)]
             yield pa.record_batch({"grp": batch["grp"], "node": batch["node"], "n": batch["n"], "set": pa.array(sets, pa.binary())})
 
     keyed = docs.select("doc_id", F.md5("text").alias("text_md5"), "text")
