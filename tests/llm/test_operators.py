@@ -43,6 +43,14 @@ def test_substring(spark):
     assert left[5] == "lead tail" and 8 not in left and 0 in left
 
 
+@pytest.mark.parametrize("docs", [[(1, "a b c"), (2, "d e f")], [(1, None), (2, "x")], [(1, None)], [(i, "w " * i) for i in range(14)], [(i, "w " * i) for i in range(40)]])
+def test_substring_of_chunks_without_windows(spark, docs):
+    """Tables and chunks that hold short, null and empty texts only."""
+    got = substring.substring_dedup(frame(spark, docs), chunk_bytes=40).collect()
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == brute.substring(docs)
+    assert substring.substring_filter(frame(spark, docs)).columns == frame(spark, docs).columns
+
+
 def test_simhash(spark):
     got = simhash.simhash_groups(frame(spark), hot=2).collect()
     assert {x.doc_id: (x.fingerprint, x.component_id) for x in got} == brute.simhash(DOCUMENTS)
@@ -133,6 +141,14 @@ def test_lines(spark):
     assert left[base + 1] == "x\ny" and base + 2 not in left and left[0] is None
 
 
+def test_lines_of_repeated_ids_and_rows(spark):
+    """Rows are told apart by id and text: a second text under an id keeps its own lines, repeated rows lose the same."""
+    docs = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (2, "own 1\nown 2\nown 3\nown 4"), (3, "p\na\nb\nc"), (3, "p\na\nb\nc"), (None, "a\nb\nc\nz")]
+    left = sorted((x.doc_id or 0, x.text) for x in lines.line_dedup(frame(spark, docs)).collect())
+    assert left == [(0, docs[5][1]), (1, docs[0][1]), (2, docs[2][1]), (2, "x"), (3, "p"), (3, "p")]
+    assert lines.line_report(frame(spark, [])).count() == 0
+
+
 def test_packing(spark):
     lengths, counts = np.array([3, 4, 9, 10, 30]), np.array([5, 1, 2, 2, 1])
     best = min(sum(c * (min(e for e in (*cut, 30) if e >= n) - n) for n, c in zip(lengths, counts)) for cut in [(a, b) for a in lengths for b in lengths])
@@ -224,6 +240,31 @@ def test_top_k(spark):
     assert got == brute.top_k(rows, 20, 3)
 
 
+@pytest.mark.parametrize("n", [1, 4, 11, 12])
+def test_top_k_of_few_candidates(spark, n):
+    """Queries with fewer candidates than k, as many, and one more."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(i % 3), 1.0 - i], 0, "x") for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n string")
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 2 == 0, annulus=3, pivots=2).collect())
+    assert got == brute.top_k(rows, 2, 10) and len(got) == (n + 1) // 2 * min(10, n - 1)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 2 == 0).count() == 0
+
+
+def test_top_k_of_wide_vectors(spark):
+    """Finite components of any size take part; ranks are exact beyond 64 bits, and equal vectors tie."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** (i % 13 * 3)).astype(np.float32).tolist(), 0, "x") for i in range(60)]
+    rows += [(100 + i, rows[51][1], 0, "x") for i in range(5)] + [(200, [3e38, -3e38, 3e38], 0, "x"), (201, [65536.0, 0.0, 1.0], 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n string")
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 4 == 0, k=5, annulus=7, pivots=5, query_block=3).collect())
+    near = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    assert got == [(q, rank, i, near(s)) for q, rank, i, s in brute.top_k(rows, 4, 5)]
+
+
 def test_pipeline_stages_keep_columns(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in DOCUMENTS], "doc_id long, text string, lang string, source string, n_chars long")
