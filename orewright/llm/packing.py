@@ -6,11 +6,13 @@ the least padding. Inside a bucket every batch holds as many pieces as its token
 bucket's boundary. Pieces are numbered within (bucket, share), and the counts of the shares are added up, so a bucket
 that holds most of the rows is spread over as many tasks as it needs.
 
-A token is a word `[^\\x20\\x09-\\x0D]+`, unless another length is given (such as a column of BPE counts).
+A token is a word `[^\\x20\\x09-\\x0D]+`, and a piece holds its words joined by one space; or any column of arrays gives the
+tokens (such as the ids of `bpe_encode`), and a piece holds its part of the array. Either way a document's pieces, in
+order, hold all its tokens. Lengths are counted first; the contents move once, to the batch's task.
 
-Results for odd input: texts without tokens (null, empty, blank) have no piece; very long texts have many pieces and
-lose nothing; rows that repeat a doc_id are packed each; an empty table gives an empty result; other columns, whatever
-their names, are left out.
+Results for odd input: texts without tokens (null, empty, blank; null or empty arrays) have no piece; very long texts have
+many pieces and lose nothing; rows that repeat a doc_id are packed each; a null doc_id is packed as any other; an empty
+table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ BUDGET = 32768
 SHARE_ROWS = 50_000
 
 
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
 def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -60,34 +65,47 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return ends[::-1]
 
 
-def pieces(docs: DataFrame, length: Column | None = None, max_len: int = MAX_LEN) -> DataFrame:
-    """doc_id, piece (from 0) and n_tokens of each piece."""
-    n = (word_count() if length is None else F.coalesce(length, F.lit(0))).cast("long")
+def pieces(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN) -> DataFrame:
+    """doc_id, piece (from 0), n_tokens and the contents of each piece: `text` of words, or `tokens`."""
+    found = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)) if tokens is None else tokens
+    made = docs.select("doc_id", found.alias("all")).where(F.size("all") > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(all) - 1) div {max_len} as int)")), lambda i: F.slice("all", i * max_len + 1, max_len))
+    cut_up = made.select("doc_id", F.posexplode(parts).alias("piece", "tokens"))
+    body = F.array_join("tokens", " ").alias("text") if tokens is None else F.col("tokens")
+    return cut_up.select("doc_id", "piece", F.size("tokens").alias("n_tokens"), body)
+
+
+def piece_lengths(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN) -> DataFrame:
+    """doc_id, piece and n_tokens of the same pieces, without their contents."""
+    n = (word_count() if tokens is None else F.coalesce(F.size(tokens), F.lit(0))).cast("long")
     cutting = docs.select("doc_id", n.alias("n")).where("n > 0")
     numbered = cutting.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {max_len} as int)"))).alias("piece"))
     return numbered.select("doc_id", "piece", F.least(F.lit(max_len), F.col("n") - F.col("piece") * max_len).cast("int").alias("n_tokens"))
 
 
-def pack(docs: DataFrame, length: Column | None = None, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """One row per piece: doc_id, piece, n_tokens, bucket (from 0), pad_to, batch and slot (both from 0), padding."""
+def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """One row per piece: doc_id, piece, n_tokens, bucket (from 0), pad_to, batch and slot (both from 0), padding, and its
+    contents (`text`, or `tokens` where a column of them is given)."""
     if budget < max_len:
         raise ValueError("a batch must hold the longest piece")
-    cut_up = cut(pieces(docs, length, max_len))
-    histogram = sorted((r.n_tokens, r["count"]) for r in cut_up.groupBy("n_tokens").count().collect())
+    counted = cut(piece_lengths(docs, tokens, max_len))
+    histogram = sorted((r.n_tokens, r["count"]) for r in counted.groupBy("n_tokens").count().collect())  # at most `max_len` rows
     lengths, counts = np.array(histogram, np.int64).reshape(-1, 2).T
     ends = boundaries(lengths, counts, buckets) or [max_len]
     shares = max(1, -(-int(counts.sum()) // SHARE_ROWS))
     bucket = F.lit(len(ends) - 1)
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
-    dealt = cut_up.select("*", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int").alias("share"))
+    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int")
     upto = Window.partitionBy("bucket").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    begin = dealt.groupBy("bucket", "share").count().select("bucket", "share", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("bucket", "share").orderBy("doc_id", "piece")
-    numbered = dealt.withColumn("nth", F.row_number().over(within)).join(begin, ["bucket", "share"])
+    begin = counted.groupBy(bucket.alias("bucket"), share.alias("share")).count().select("bucket", "share", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("begin"))
+    whole = pieces(docs, tokens, max_len)
+    body = whole.columns[-1]
+    within = Window.partitionBy("bucket", "share").orderBy("doc_id", "piece", "n_tokens", F.xxhash64(body))
+    numbered = whole.withColumns({"bucket": bucket, "share": share}).withColumn("nth", F.row_number().over(within)).join(begin, ["bucket", "share"])
     pad_to = F.element_at(F.array(*map(F.lit, ends)), F.col("bucket") + 1)
     room = F.floor(F.lit(budget) / pad_to)
     place = F.col("begin") + F.col("nth") - 1
     return numbered.select(
-        "doc_id", "piece", "n_tokens", "bucket", pad_to.alias("pad_to"), F.floor(place / room).alias("batch"), (place % room).cast("int").alias("slot"), (pad_to - F.col("n_tokens")).alias("padding")
+        "doc_id", "piece", "n_tokens", "bucket", pad_to.alias("pad_to"), F.floor(place / room).alias("batch"), (place % room).cast("int").alias("slot"), (pad_to - F.col("n_tokens")).alias("padding"), body
     )

@@ -58,7 +58,8 @@ def op7_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    packed = pack(table(spark, sf_dir, "documents"))
+    return packed.select(*packed.columns[:-1], F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

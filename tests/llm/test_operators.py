@@ -155,12 +155,43 @@ def test_packing(spark):
     ends = packing.boundaries(lengths, counts, 3)
     assert sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts)) == best
     rows = packing.pack(frame(spark), max_len=50, buckets=4, budget=200).collect()
-    total = {}
-    for x in rows:
+    total, kept = {}, {}
+    for x in sorted(rows, key=lambda x: x.piece):
         total[x.doc_id] = total.get(x.doc_id, 0) + x.n_tokens
-        assert x.n_tokens + x.padding == x.pad_to <= 50 and x.slot < 200 // x.pad_to
+        kept.setdefault(x.doc_id, []).append(x.text)
+        assert x.n_tokens + x.padding == x.pad_to <= 50 and x.slot < 200 // x.pad_to and len(x.text.split(" ")) == x.n_tokens
     assert total == {i: len(brute.words(t)) for i, t in DOCUMENTS if brute.words(t)}
-    assert len({(x.bucket, x.batch, x.slot) for x in rows}) == len(rows)
+    assert {i: " ".join(t).encode() for i, t in kept.items()} == {i: b" ".join(brute.words(t)) for i, t in DOCUMENTS if brute.words(t)}
+    assert packing.pack(frame(spark, [])).count() == 0 and packing.pack(frame(spark, [(None, None), (1, " ")])).count() == 0
+
+
+def test_packing_rows_against_every_choice(spark):
+    """Total padding is the least of all choices of bucket ends, and batches are full but for the last of each bucket."""
+    from itertools import combinations
+
+    docs = [(i % 25, "w " * (1 + (i * i) % 13)) for i in range(60)] + [(None, "a b")]
+    rows = packing.pack(frame(spark, docs), max_len=9, buckets=3, budget=20).collect()
+    lengths = [n for _, t in docs for m in [len(t.split())] for n in [9] * (m // 9) + [m % 9] if n]
+    assert sorted(x.n_tokens for x in rows) == sorted(lengths)
+    kinds = sorted(set(lengths))
+    best = min(sum(min(e for e in ends if e >= n) - n for n in lengths) for k in (1, 2, 3) for ends in combinations(kinds, k) if ends[-1] == kinds[-1])
+    assert sum(x.padding for x in rows) == best
+    for bucket in {x.bucket for x in rows}:
+        own = [x for x in rows if x.bucket == bucket]
+        room = 20 // own[0].pad_to
+        assert sorted((x.batch, x.slot) for x in own) == [divmod(i, room) for i in range(len(own))]
+
+
+def test_packing_of_token_ids(spark):
+    """The ids of BPE go through packing whole: pieces in order decode to the text."""
+    from pyspark.sql import functions as F
+
+    path = vocabulary_path()
+    rows = packing.pack(bpe.bpe_encode(frame(spark), path), F.col("ids"), max_len=64, budget=256).collect()
+    own, back = bpe.load(path), {}
+    for x in sorted(rows, key=lambda x: x.piece):
+        back.setdefault(x.doc_id, []).extend(x.tokens)
+    assert {i: own.decode(t) for i, t in back.items()} == {i: t for i, t in DOCUMENTS if t}
 
 
 def test_quality_keeps_clean_and_drops_junk(spark):
