@@ -1,13 +1,14 @@
 """Main text of web pages: the best contiguous region of words and tags.
 
 A page becomes a sequence of words and tags. Words score positive or negative and tags negative, by where they stand
-(kind of element, inside a link, inside a landmark such as nav or article); the weights are log-odds counted over
-labelled pages. One linear scan finds the contiguous region with the greatest sum. Elements that are never content
-(menus, forms, scripts, adverts, reader comments and so on) end no region but give no text.
+(inside a link, a heading, a list, an article or main element, or outside of these on a page that has them); the weights
+are log-odds counted over labelled pages. One linear scan finds the contiguous region with the greatest sum, and its
+blocks are the text. Elements that are never content (menus, forms, scripts, adverts, reader comments and so on) cost a
+region a little and give no text. A name such as "sidebar" marks such an element only if that does not hold most of the page.
 
 The labelled pages are the table's own pages that name their content with an `article` or `main` element (at most
 `SAMPLE` of them, chosen by a hash of page_id), together with the built-in ones of `LAYOUTS`, which cover pages without
-such elements.
+such elements and text outside of them.
 
 Results for odd input: null and empty html give the empty text; broken markup (tags left open, stray ends, a missing
 end of the page) is read as far as it goes; very long pages are read whole; rows that repeat a page_id get a row each;
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 500
+#: Article and main elements are taken for the page's content if they hold more than this share of its words.
+MARKED_SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -74,6 +77,7 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     tag: str
     never: bool = False
+    denied: tuple = ()  # numbers of the elements around whose names say that they are no content
     landmark: str = ""
     link: bool = False
     heading: bool = False
@@ -88,7 +92,11 @@ class Run:
     words: int
     where: tuple
     never: bool
-    content: bool
+    denied: tuple
+
+    @property
+    def content(self) -> bool:
+        return self.where[0] in ("article", "main")
 
 
 @dataclass
@@ -104,8 +112,8 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _element(tag: str, attributes: str, inside: Element) -> Element:
-    e = Element(tag, inside.never, inside.landmark, inside.link or tag == "a", inside.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), inside.list or tag in ("ul", "ol", "menu"))
+def _element(tag: str, attributes: str, inside: Element, number: int) -> Element:
+    e = Element(tag, inside.never, inside.denied, inside.landmark, inside.link or tag == "a", inside.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), inside.list or tag in ("ul", "ol", "menu"))
     found = _attributes(attributes) if attributes.strip() else {}
     role = found.get("role", "").lower()
     names = {x.lower() for x in _NAME_PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
@@ -113,7 +121,7 @@ def _element(tag: str, attributes: str, inside: Element) -> Element:
     if tag in _NEVER or role in _NEVER_ROLES or hidden:
         e.never = True
     elif tag not in ("html", "body", "main") and names & _NEVER_NAMES and not (tag == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "promo", "related", "sponsored"}):
-        e.never = True
+        e.denied = (*e.denied, number)
     if tag == "header" and "article" not in inside.landmark:
         e.never = True
     if not e.never:
@@ -133,7 +141,7 @@ def read(page: str | None) -> Page:
             top = stack[-1]
             plain = references.unescape(raw[a:b])
             where = (top.landmark, top.link, top.heading, top.list)
-            out.items.append(Run(plain, len(plain.split()), where, top.never, top.landmark in ("article", "main")))
+            out.items.append(Run(plain, 0 if top.tag in _RAW else len(plain.split()), where, top.never, top.denied))
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -163,23 +171,44 @@ def read(page: str | None) -> Page:
                 del stack[k:]
             elif open_tag in ("td", "th", "table", "ul", "ol", "dl", "button", "article", "section", "div", "nav", "aside", "footer", "main", "select", "body"):
                 break
-        element = _element(tag, attributes, stack[-1])
-        if element.landmark in ("article", "main") and not element.never:
-            out.labelled = True
+        element = _element(tag, attributes, stack[-1], len(out.items))
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b", re.I).search(raw, at)
             at = stop.start() if stop else len(raw)
         if tag not in _VOID and not (attributes.rstrip().endswith("/") and tag not in _BLOCK and tag not in _RAW):
             stack.append(element)
     text(at, len(raw))
+    settle(out)
     return out
 
 
-#: Labelled layouts without article elements: html, and whether each word that starts with "c" is content.
+def settle(page: Page) -> None:
+    """Judge by the whole page: names of elements that hold most of it deny nothing, and where article and main elements
+    hold a good part of its words, other places are outside of these."""
+    runs = [x for x in page.items if isinstance(x, Run) and not x.never]
+    total, held, marked = sum(x.words for x in runs), Counter(), Counter()
+    for x in runs:
+        for k in x.denied:
+            held[k] += x.words
+            marked[k] += x.words * x.content
+    wide = {k for k, n in held.items() if n > 0.9 * total or (n > 0.5 * total and marked[k] > 0.5 * n)}
+    for x in runs:
+        x.never = not wide.issuperset(x.denied)
+    left = [x for x in runs if not x.never]
+    page.labelled = sum(x.words for x in left if x.content) > MARKED_SHARE * sum(x.words for x in left)
+    if page.labelled:
+        for x in left:
+            if not x.content:
+                x.where = ("outside", *x.where[1:])
+
+
+#: Labelled layouts, most without article elements: html; each word that starts with "c" is content.
 LAYOUTS = (
     "<body><div><a>n</a> <a>n</a> <a>n</a></div><h1>c c c</h1><p>c c c c c c c c c c c c c c c c c c c c</p><p>c c c c c c c c c c c c <a>c c</a> c c c c c c</p><div><a>n</a> <a>n</a></div><div>n n n n</div></body>",
     "<body><table><tr><td><ul><li><a>n n</a><li><a>n</a></ul></td><td><h2>c c</h2>c c c c c c c c c c c c c c c<p>c c c c c c c c c c c c c c c c c<ul><li>c c c c c</li><li>c c c c c c</li></ul></td></tr></table><p><a>n n n</a></p></body>",
     "<body><div><ul><li><a>n</a></li><li><a>n</a></li></ul></div><div class='post-content'><h1>c c c c</h1><p>c c c c c c c c c c c c c c c</p><blockquote>c c c c c c c c</blockquote><p>c c c c c c c c c c c c c c c c c</p></div><ul><li><a>n n</a></li><li><a>n n n</a></li></ul></body>",
+    "<body><p>n n n n <a>n n</a></p><ul><li>n n</li><li><a>n n n</a></li></ul><h3>n n</h3><article><h1>c c c</h1><p>c c c c c c c c c c c c c c c c c <a>c c c</a></p><ul><li>c c c c</li><li><a>c c</a></li></ul></article><p>n n n n n n <a>n n</a></p><h2>n n n</h2><p>n n n n n n n n n n n n</p></body>",
+    "<body><p>n n n <a>n n</a></p><main><h1>c c c</h1><p>c c c c c c c c c c c c c c c c c <a>c c c</a></p><ul><li>c c c c</li><li><a>c c</a></li></ul></main><p>n n n n <a>n</a></p></body>",
 )
 
 
@@ -219,32 +248,28 @@ def region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def main_text(page: str | None, weights: dict) -> str:
-    parsed = read(page)
-    labelled = parsed.labelled
-    scores = []
-    for item in parsed.items:
+def scores_of(items: list, weights: dict) -> list[float]:
+    """What each word run and tag adds to a region. A place that no labelled page has counts by its landmark and link alone."""
+    out = []
+    for item in items:
         if isinstance(item, Run):
             w = weights.get(item.where)
             if w is None:
                 w = weights.get((item.where[0], item.where[1], False, False), -0.5 if item.where[1] else 0.5)
-            if labelled and not item.content:
-                w = min(w, -1.0)  # the page itself says where its content is
-            elif labelled:
-                w = max(w, 0.5)
-            scores.append(item.words * (NEVER_WEIGHT if item.never else w))
+            out.append(item.words * (NEVER_WEIGHT if item.never else w))
         else:
-            scores.append(BLOCK_WEIGHT if item[2] else INLINE_WEIGHT)
-    begin, end = region(scores)
-    if labelled:
-        # Inner material may cost a region more than a short last block gains: the marked content is taken whole.
-        own = [i for i, x in enumerate(parsed.items) if isinstance(x, Run) and x.content and not x.never and x.words]
-        if own and any(begin <= i < end for i in own):
-            begin, end = min(begin, own[0]), max(end, own[-1] + 1)
+            out.append(BLOCK_WEIGHT if item[2] else INLINE_WEIGHT)
+    return out
+
+
+def main_text(page: str | None, weights: dict) -> str:
+    """The blocks of the best region, one line each, without the elements that are never content."""
+    parsed = read(page)
+    begin, end = region(scores_of(parsed.items, weights))
     blocks, parts = [], []
     for item in parsed.items[begin:end]:
         if isinstance(item, Run):
-            if not item.never and (item.content or not labelled):
+            if not item.never:
                 parts.append(item.text)
         elif item[2]:
             blocks.append("".join(parts))

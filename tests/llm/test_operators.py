@@ -230,6 +230,51 @@ def test_html(spark):
     assert html.region([-1, 2, -1, 3, -9, 4]) == (1, 4) and html.region([-1.0]) == (0, 0)
 
 
+def test_html_region_against_every_interval():
+    """The scan finds the greatest sum of all intervals; at ties the first, then the longest."""
+    for _ in range(400):
+        scores = [r.randint(-4, 4) / 2 for _ in range(r.randint(0, 12))]
+        sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        best = max(sums.values(), default=0)
+        begin, end = html.region(scores)
+        assert sum(scores[begin:end]) == max(best, 0) and (best > 0 or begin == end)
+
+
+def brute_text(page, weights):
+    """The text by trying every interval of words and tags."""
+    items = html.read(page).items
+    scores = html.scores_of(items, weights)
+    best = max(((sum(scores[a:b]), -a, b) for a in range(len(items)) for b in range(a + 1, len(items) + 1)), default=(0, 0, 0))
+    out = [[]]
+    for x in items[-best[1] : best[2]] if best[0] > 0 else []:
+        if isinstance(x, html.Run):
+            out[-1].append("" if x.never else x.text)
+        elif x[2]:
+            out.append([])
+        else:
+            out[-1].append(" " if x[1] == "br" else "")
+    return "\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
+
+
+def test_html_odd_input_against_brute_force(spark):
+    """Broken and long pages, names on layout boxes, repeated rows, clashing columns, an empty table."""
+    words = "word " * 3000
+    odd = [
+        ("<div class='box has-sidebar'><main><article><h1>T</h1><p>" + words + "</p></article></main><div class=sidebar>side</div></div>", "T\n" + words.strip()),
+        ("<div><article><p>a card</p></article></div><h1>Real</h1><p>" + "real " * 60 + "</p><footer>f</footer>", "a card\nReal\n" + ("real " * 60).strip()),
+        ("<article><p>one two three</p><script>" + "x " * 900 + "</script><aside>n n</aside><p>four <a>five</a></p><ul><li><a>six</a></ul></article><p>Rights reserved by all of us here</p>", "one two three\nfour five\nsix"),
+        ("<article><p>a &lt;b&gt; &amp;amp; c", "a <b> &amp; c"), ("<", "<"), ("<!-- <p>x</p>", ""),
+    ]
+    rows = [(i % 3, "u", h, "x", 1) for i, (h, _) in enumerate(odd + PAGES)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((x.page_id, x.text) for x in html.extract(pages).collect())
+    assert got == sorted([(i % 3, t) for i, (_, t) in enumerate(odd + PAGES)] * 2)
+    assert html.extract(pages.limit(0)).count() == 0
+    weights = html.learn(*html.tally([html.read(x) for x in html.LAYOUTS], own=False))
+    for page in [h for h, _ in odd[1:] + PAGES] + list(html.LAYOUTS):
+        assert html.main_text(page, weights) == brute_text(page, weights)
+
+
 def test_ppm_is_a_distribution_and_base_is_exact(spark):
     texts = ["abab abba", "abba baba", "ab"]
     all_ = ppm.strings_of(ppm.stream_of(texts, 3), 3)
