@@ -114,3 +114,82 @@ def top_k(rows, every, k):
             scored = sorted((-sum(a * b for a, b in zip(whole[q], c)), i) for i, c in whole.items() if i != q and len(c) == len(whole[q]))
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
+
+
+def ppm(docs, order):
+    """doc_id -> log10 probability: every context of every training text counted plainly, symbol by symbol."""
+    import zlib
+    from collections import Counter, defaultdict
+    from math import log10
+
+    text = {i: b" ".join((t or "").encode().lower().split()) + b"\n" for i, t in docs}
+    seen = defaultdict(Counter)
+    for i, t in text.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            padded = b"\n" * order + t
+            for at in range(order, len(padded)):
+                for k in range(order + 1):
+                    seen[padded[at - k : at]][padded[at]] += 1
+
+    def probability(context, symbol):
+        p, gone = 1.0, set()
+        for k in range(order, -1, -1):
+            here = seen[context[len(context) - k :]]
+            rest = {s: n for s, n in here.items() if s not in gone}
+            if symbol in rest:
+                return p * (2 * rest[symbol] - 1) / (2 * sum(rest.values()))
+            if rest:
+                p *= len(rest) / (2 * sum(rest.values()))
+            gone = set(here) or gone
+        return p / (256 - len(seen[b""]))
+
+    out = {}
+    for i, t in text.items():
+        padded = b"\n" * order + t
+        out[i] = sum(log10(probability(padded[at - order : at], padded[at])) for at in range(order, len(padded)))
+    return out
+
+
+def label_model(rows, rounds=100):
+    """Posteriors of `good` for rows of votes (1 good, 0 bad, 2 none), one row and one labeller at a time."""
+    from math import exp, log
+
+    m = len(rows[0])
+    seen = [[1 + sum(v[j] == k for v in rows) for k in (0, 1)] for j in range(m)]
+    overall = [[a / (a + b), b / (a + b)] for a, b in seen]
+    asked = [a <= b for a, b in seen]
+    anchor = [any(v[j] == 1 and asked[j] for j in range(m)) and not any(v[j] == 0 and asked[j] for j in range(m)) for v in rows]
+    told = lambda v, k: sum(-log(overall[j][k]) for j in range(m) if v[j] == k)
+    good = [1.0 if a else 1 / (1 + exp(told(v, 0) - told(v, 1))) for v, a in zip(rows, anchor)]
+
+    def rates(weight, near):
+        out = []
+        for j in range(m):
+            n = [near[j][k] + sum(w for w, v in zip(weight, rows) if v[j] == k) for k in (0, 1)]
+            out.append([x / sum(n) for x in n])
+        return out
+
+    near = [rates([float(a == y) for a in anchor], overall) for y in (False, True)]
+    for _ in range(rounds):
+        weights = [[1 - g for g in good], good]
+        prior = [(sum(w) + 1) / (len(rows) + 2) for w in weights]
+        rate = [rates(weights[y], near[y]) for y in (0, 1)]
+        log_of = lambda v, y: log(prior[y]) + sum(log(rate[y][j][v[j]]) for j in range(m) if v[j] != 2)  # noqa: B023,E731
+        good = [1.0 if a else 1 / (1 + exp(max(-700, min(700, log_of(v, 0) - log_of(v, 1))))) for v, a in zip(rows, anchor)]
+    return good
+
+
+def features(text, stats, buckets):
+    """Root frequencies of hashed byte trigrams and a mark for each statistic, one at a time."""
+    from collections import Counter
+    from math import isnan, sqrt
+
+    shift, raw = 32 - (buckets.bit_length() - 1), (text or "").encode()
+    at = lambda x: (x * 0x9E3779B1 & 0xFFFFFFFF) >> shift
+    grams = Counter(at(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) for i in range(len(raw) - 2))
+    out = [0.0] * buckets
+    for k, n in grams.items():
+        out[k] += sqrt(n / (len(raw) - 2))
+    for k, x in enumerate(stats):
+        out[at(0x01000000 + k * 16 + (11 if isnan(x) else int(min(max(x, 0), 1) * 10)))] += 1
+    return out

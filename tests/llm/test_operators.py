@@ -217,6 +217,33 @@ def test_quality_drops_junk_of_one_bad_vote(spark):
         assert posterior[0] > 0.9 and posterior[1] < 0.3
 
 
+def test_quality_against_plain_version(spark):
+    """The label model row by row, features one by one, a scorer that no small step betters, and scores of all rows."""
+    clean = lambda k: "\n".join(" ".join(r.choice(VOCABULARY[:5]) + str(r.randint(0, 400)) for _ in range(9)) + "." for _ in range(6))
+    texts = [clean(i) for i in range(40)] + [clean(i).upper().replace(" ", "!%%% ") for i in range(10)] + [None, "", "x", "%%%" * 50, "ab " * 9000]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0]), (0, texts[45])]
+    stats = [quality.statistics(t) for _, t in docs]
+    votes = quality.votes(np.array(stats))
+    want = brute.label_model(votes.tolist())
+    patterns, back, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, _ = quality.estimate(patterns.astype(np.int64), n.astype(float))
+    assert posterior[back.ravel()] == pytest.approx(want, abs=1e-6)
+
+    w, bias, _ = quality.fit(frame(spark, docs), buckets=256)
+    x = np.array([brute.features(t, s, 256) for (_, t), s in zip(docs, stats)])
+    one = {(i, t): k for k, (i, t) in enumerate(docs)}  # rows alike are one in training
+    xs, ys = x[list(one.values())], np.array(want)[list(one.values())]
+    off = 1 / (1 + np.exp(-(xs @ w + bias))) - ys
+    assert abs(off.mean()) < 0.02 and np.abs(xs.T @ off / len(xs) + 1e-4 * w).max() < 0.02
+    got = quality.quality_scores(frame(spark, docs), buckets=256).collect()
+    score = {docs[k]: 1 / (1 + np.exp(-(x[k] @ w + bias))) for k in range(len(docs))}
+    assert len(got) == len(docs) and all(g.score == pytest.approx(score[(g.doc.doc_id, g.doc.text)], abs=1e-4) and g.keep == (g.score >= 0.5) for g in got)
+    assert quality.quality_scores(frame(spark, [])).count() == 0
+    again, bias2, _ = quality.fit(frame(spark, docs, parts=5), sample=20, buckets=256)
+    first, bias1, _ = quality.fit(frame(spark, docs, parts=2), sample=20, buckets=256)
+    assert (again == first).all() and bias1 == bias2  # the sample does not depend on how rows are dealt
+
+
 PAGES = [
     ("<body><nav><a>m</a></nav><div class=ad>buy</div><article><h1>T &amp; t</h1><p>a  b\n c<br>d<p>e <b>f</b></article><footer>z</footer>", "T & t\na b c d\ne f"),
     ("<div id=content><h1>Title here</h1><p>Many words of text stand here in a row.</p><form><input>x</form></div><div id=comments><p>me too</p></div>", "Title here\nMany words of text stand here in a row."),
@@ -295,6 +322,15 @@ def test_ppm_is_a_distribution_and_base_is_exact(spark):
     assert ppm.ppm_scores(frame(spark, [])).count() == 0
 
 
+def test_ppm_score_against_plain_contexts(spark):
+    """Repeated texts, nulls, long texts, and training texts in several chunks."""
+    docs = DOCUMENTS[:-1] + [(900 + i, "abra cadabra ab" + "ra" * i) for i in range(9)] + [(950, "w " * 300)]
+    for order in (2, 4):
+        got = {x.doc_id: x.score for x in ppm.ppm_scores(frame(spark, docs), depth=order, chunk_bytes=2000).collect()}
+        want = brute.ppm(docs, order)
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5, abs=1e-5) for i in want)
+
+
 def vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).round(2).tolist(), i % 2, "x") for i in range(80)]
