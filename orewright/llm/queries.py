@@ -79,6 +79,26 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
 
+SUBSTRING_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+     x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM d),
+     w AS (SELECT *, CASE WHEN i + 13 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS run FROM x),
+     late AS (SELECT *, coalesce(run IS NOT NULL AND min(doc_id) OVER (PARTITION BY run) < doc_id, false) AS gone FROM w),
+     g AS (SELECT doc_id, word, i, max(CAST(gone AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS covered FROM late)
+SELECT d.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(*) FILTER (covered) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT covered), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND (a.e = b.e OR list_cosine_similarity(a.e, b.e) >= 0.98)),
+     reach AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.v, reach.low FROM reach JOIN l ON l.u = reach.node WHERE reach.low < l.v),
+     n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT node AS vec_id, coalesce(any_value(n_links), 0) AS n_links, min(low) AS component_id, min(low) = node AS kept FROM reach LEFT JOIN n ON u = node GROUP BY node
+"""
+
 QUERIES = {
     "op7_ppm_scoring": op7_ppm_scoring,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
@@ -92,4 +112,4 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op10_exact_top_k": TOP_K_SQL, "op9_line_dedup": REPORT_SQL}
+ORACLES: dict[str, str] = {"op10_exact_top_k": TOP_K_SQL, "op9_line_dedup": REPORT_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_near_dedup": NEAR_SQL}
