@@ -27,12 +27,24 @@ class TableType:
     columns: tuple[ColumnRule, ...]
 
 
+@dataclass(frozen=True)
+class EntityPattern:
+    """A regular expression, the names of its groups in order, and the id's template. `upper` names the groups to be
+    upper-cased; `aliases` gives a group another text where it holds a mark."""
+
+    regex: str
+    template: str
+    groups: tuple[str, ...]
+    upper: tuple[str, ...] = ()
+    aliases: dict[str, dict[str, str]] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Pack:
     name: str
     version: int
     table_types: tuple[TableType, ...]
-    entity_patterns: dict[str, tuple[str, str]] = field(default_factory=dict)
+    entity_patterns: dict[str, EntityPattern] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -66,7 +78,11 @@ def pack_from(spec: dict) -> Pack:
         TableType(name, tuple(t.get("caption_patterns", ())), tuple(t.get("header_signature", ())), t.get("min_signature_overlap", 1), tuple(map(column, t.get("columns", ()))))
         for name, t in spec.get("table_types", {}).items()
     )
-    return Pack(spec["pack"], spec["version"], kinds, {k: (p["regex"], p["normalise"]) for k, p in spec.get("entity_patterns", {}).items()})
+    return Pack(spec["pack"], spec["version"], kinds, {k: entity_pattern(p) for k, p in spec.get("entity_patterns", {}).items()})
+
+
+def entity_pattern(p: dict) -> EntityPattern:
+    return EntityPattern(p["regex"], p["normalise"], tuple(p["groups"]), tuple(p.get("upper", ())), p.get("aliases", {}))
 
 
 def load_pack(path: str) -> Pack:
@@ -128,8 +144,8 @@ GEOLOGY = pack_from(
             },
         },
         "entity_patterns": {
-            "borehole": {"regex": r"\b(CSM\s*I\s*&\s*II|MSM|SKM|SGT)[\s.\-]+(\d{1,4})\b", "normalise": "{prefix}-{number}"},
-            "seam": {"regex": r"\b([IVXL]+[A-Z]?)\s*(Top|Middle|Bottom|Combined)?\b", "normalise": "{roman} {position}"},
+            "borehole": {"regex": r"\b(CSM\s*I\s*&\s*II|MSM|SKM|SGT)[\s.\-]+(\d{1,4})\b", "normalise": "{prefix}-{number}", "groups": ["prefix", "number"], "upper": ["prefix"], "aliases": {"prefix": {"MSM": "MSM", "CSM": "CSM I&II"}}},
+            "seam": {"regex": r"\b([IVXL]+[A-Z]?)\s*(Top|Middle|Bottom|Combined)?\b", "normalise": "{roman} {position}", "groups": ["roman", "position"], "upper": ["roman"]},
         },
     }
 )
@@ -137,10 +153,10 @@ GEOLOGY = pack_from(
 GEOLOGY_RULES = rules_from(
     {
         "rules": [
-            {"id": "thickness_range", "type": "range", "applies_to": ["seam_thickness_gross", "seam_thickness_net"], "min": 0, "max": 50, "unit": "m", "severity": "block", "message": "{metric_key} must be between {min} and {max} {unit} (got {value})"},
-            {"id": "pct_range", "type": "range", "applies_to": ["coal_ash_pct", "coal_moisture_pct", "coal_vm_pct", "coal_fc_pct"], "min": 0, "max": 100, "severity": "block", "message": "{metric_key} must be 0-100% (got {value})"},
-            {"id": "net_le_gross", "type": "pair", "metric_a": "seam_thickness_net", "metric_b": "seam_thickness_gross", "relation": "le", "match_on": ["entity_id", "value_kind"], "severity": "block", "message": "net {a_value} exceeds gross {b_value} for {entity_id}"},
-            {"id": "ash_gcv_inverse", "type": "pair", "metric_a": "coal_ash_pct", "metric_b": "coal_gcv", "relation": "high_ash_high_gcv_implausible", "match_on": ["entity_id", "value_kind"], "severity": "warn", "message": "ash {a_value} with calorific value {b_value} is unusual"},
+            {"id": "thickness_range", "type": "range", "applies_to": ["seam_thickness_gross", "seam_thickness_net"], "min": 0, "max": 50, "unit": "m", "severity": "block", "message": "{metric_key} of {value} lies outside {min} to {max} {unit}"},
+            {"id": "pct_range", "type": "range", "applies_to": ["coal_ash_pct", "coal_moisture_pct", "coal_vm_pct", "coal_fc_pct"], "min": 0, "max": 100, "severity": "block", "message": "{metric_key} of {value} is no percentage"},
+            {"id": "net_le_gross", "type": "pair", "metric_a": "seam_thickness_net", "metric_b": "seam_thickness_gross", "relation": "le", "match_on": ["entity_id", "value_kind"], "severity": "block", "message": "{entity_id}: net of {a_value} cannot be more than gross of {b_value}"},
+            {"id": "ash_gcv_inverse", "type": "pair", "metric_a": "coal_ash_pct", "metric_b": "coal_gcv", "relation": "high_ash_high_gcv_implausible", "match_on": ["entity_id", "value_kind"], "severity": "warn", "message": "{entity_id}: a heat of {b_value} does not go with {a_value} of ash"},
         ]
     }
 )

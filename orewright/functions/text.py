@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import EntityPattern
+
+# What counts as a number, a footnote mark, and a unit in a header.
 NUMERIC = r"^-?\d+(\.\d+)?%?$"
 FOOTNOTE = r"(\*+|†+|‡+|\([a-zA-Z]\))\s*$"
+UNIT = r"\(([^)]+)\)|(%)"
 
 
 def collapse(text: Column) -> Column:
@@ -58,7 +62,7 @@ def in_pages(page: Column, pages: str | None) -> Column:
 
 def unit_of(chain: Column, expect: Column, from_header: Column) -> tuple[Column, Column]:
     """A column's unit and where it comes from: the first header that names one in brackets or as %, else the expected one."""
-    named = F.transform(chain, lambda h: F.nullif(F.coalesce(F.nullif(F.regexp_extract(h, r"\(([^)]+)\)|(%)", 1), F.lit("")), F.regexp_extract(h, r"\(([^)]+)\)|(%)", 2)), F.lit("")))
+    named = F.transform(chain, lambda h: F.nullif(F.coalesce(F.nullif(F.regexp_extract(h, UNIT, 1), F.lit("")), F.regexp_extract(h, UNIT, 2)), F.lit("")))
     header = F.when(from_header, F.get(F.filter(named, lambda u: u.isNotNull()), F.lit(0)))
     unit = F.coalesce(F.trim(header), expect)
     source = F.when(header.isNotNull(), "column_header").when(expect.isNotNull(), "rulebook_default")
@@ -70,22 +74,18 @@ def stat_of(chain: Column, from_header: Column) -> Column:
     return F.when(from_header & last.isin("min", "max"), last).otherwise("point")
 
 
-def resolve_entity(kind: str, raw: Column, pattern: tuple[str, str]) -> Column:
-    """The normalised id of the first entity in a text, or null. Boreholes and seams have rules of their own; any other
-    kind fills {g0}, {g1}, ... of its template."""
-    regex, template = pattern
-    found = "(?i)" + regex
-    part = lambda k: F.coalesce(F.regexp_extract(raw, found, k), F.lit(""))
-    if kind == "borehole":
-        series = F.upper(part(1))
-        series = F.when(series.contains("MSM"), "MSM").when(series.contains("CSM"), "CSM I&II").otherwise(series)
-        values = {"prefix": series, "number": part(2)}
-    elif kind == "seam":
-        values = {"roman": F.upper(part(1)), "position": F.trim(part(2))}
-    else:
-        groups = re.compile(regex).groups
-        values = {f"g{i}": part(i + 1) for i in range(groups)}
-    pieces = [values[p[1:-1]] if p.startswith("{") and p[1:-1] in values else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+def resolve_entity(raw: Column, pattern: EntityPattern) -> Column:
+    """The normalised id of the first entity in a text, or null. What a group becomes is told by the pattern: each {name}
+    of its template is a group, upper-cased or not, under the first alias whose mark it holds."""
+    found = "(?i)" + pattern.regex
+
+    def group(name: str) -> Column:
+        part = F.trim(F.coalesce(F.regexp_extract(raw, found, pattern.groups.index(name) + 1), F.lit("")))
+        part = F.upper(part) if name in pattern.upper else part
+        marks = [F.when(part.contains(mark), alias) for mark, alias in pattern.aliases.get(name, {}).items()]
+        return F.coalesce(*marks, part)
+
+    pieces = [group(p[1:-1]) if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", pattern.template) if p]
     return F.when(raw.rlike(found), F.trim(F.concat(*pieces)))
 
 

@@ -11,16 +11,18 @@ from ..config import Pack, Rule
 from ..functions.text import fill, resolve_entity
 
 PASS_FLOOR = 0.85
-#: Fixed: the relations a pair rule can name.
-RELATIONS = {
-    "le": lambda a, b: a <= b,
-    "lt": lambda a, b: a < b,
-    "ge": lambda a, b: a >= b,
-    "gt": lambda a, b: a > b,
-    "eq": lambda a, b: a == b,
-    "high_ash_high_gcv_implausible": lambda a, b: ~((a > 40) & (b > 5500)),
+#: Fixed: the relations a pair rule can name, and the bounds of the last. Each tells how many second-side values break it
+#: with a value `a`, from counts over the second side of its key: all, those below and equal to `a`, and those over a bound.
+HIGH_ASH, HIGH_GCV = 40, 5500
+BROKEN = {
+    "le": lambda a, n: n("less"),
+    "lt": lambda a, n: n("less") + n("equal"),
+    "ge": lambda a, n: n("all") - n("less") - n("equal"),
+    "gt": lambda a, n: n("all") - n("less"),
+    "eq": lambda a, n: n("all") - n("equal"),
+    "high_ash_high_gcv_implausible": lambda a, n: F.when(a > HIGH_ASH, n("high")).otherwise(0),
 }
-FINDING = ["candidate_id", "ord", "rule_id", "severity", "message"]
+FINDING = ["candidate_id", "ord", "rule_id", "severity", "message", "n"]
 
 
 def key_of(name: str, alias: str = "") -> Column:
@@ -40,25 +42,46 @@ def range_findings(candidates: DataFrame, rules: list[Rule]) -> DataFrame:
         bad = F.coalesce(F.col("value") < low, F.lit(False)) | F.coalesce(F.col("value") > high, F.lit(False))
         text = fill(r.message, {"metric_key": F.col("metric_key"), "min": F.lit(r.min), "max": F.lit(r.max), "unit": F.lit(r.unit), "value": F.coalesce("value_text", F.col("value").cast("string"))})
         hit = F.col("metric_key").isin(*r.applies_to) & bad
-        made.append(F.when(hit, F.struct(F.lit(order).alias("ord"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), text.alias("message"))))
+        made.append(F.when(hit, F.struct(F.lit(order).alias("ord"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), text.alias("message"), F.lit(1).cast("long").alias("n"))))
     if not made:
-        return candidates.select("candidate_id", F.lit(0).alias("ord"), *[F.lit("").alias(c) for c in FINDING[2:]]).limit(0)
+        return candidates.select("candidate_id", F.lit(0).alias("ord"), *[F.lit("").alias(c) for c in FINDING[2:-1]], F.lit(1).cast("long").alias("n")).limit(0)
     return candidates.select("candidate_id", F.explode(F.array_compact(F.array(*made))).alias("f")).select("candidate_id", "f.*")
 
 
 def pair_findings(candidates: DataFrame, rules: list[Rule], within: tuple[str, ...] = ()) -> DataFrame:
-    """Findings, on the first side, of pairs that break their relation. Keys match null-safely; `within` adds keys such as doc_id."""
+    """One finding for each first-side candidate and rule that some second-side candidate of its key breaks: how many do
+    (n), and the message for the one that breaks it furthest. Keys match null-safely; `within` adds keys such as doc_id.
+
+    No pair of rows is made: each side is reduced to the distinct values of a key, which are ranked, and the ranks count
+    the partners. So a key that many rows share, such as a null one, costs its distinct values only.
+    """
     parts = []
     for order, r in enumerate(rules):
         if r.type != "pair":
             continue
-        keys = [*r.match_on, *within]
-        side = lambda s, m: candidates.where((F.col("metric_key") == m) & F.col("value").isNotNull()).alias(s)  # noqa: B023,E731
-        a, b = side("a", r.metric_a), side("b", r.metric_b)
-        on = reduce(lambda x, y: x & y, [key_of(k, "a").eqNullSafe(key_of(k, "b")) for k in keys])
-        broken = a.join(b, on).where(~RELATIONS[r.relation](F.col("a.value").cast("double"), F.col("b.value").cast("double")))
-        values = {"a_value": F.coalesce("a.value_text", F.col("a.value").cast("string")), "b_value": F.coalesce("b.value_text", F.col("b.value").cast("string")), "entity_id": F.col("a.entity_id"), "metric_key": F.col("a.metric_key")}
-        parts.append(broken.select(F.col("a.candidate_id").alias("candidate_id"), F.lit(1000 + order).alias("ord"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), fill(r.message, values).alias("message")))
+        names = [*r.match_on, *within]
+        keys = [f"__k{i}" for i in range(len(names))]
+        value = F.col("value").cast("double").alias("__v")
+        text = F.coalesce("value_text", F.col("value").cast("string"))
+        side = lambda m: candidates.where((F.col("metric_key") == m) & F.col("value").isNotNull()).select("*", *[key_of(k).alias(n) for k, n in zip(names, keys)], value, text.alias("__text"))  # noqa: B023,E731
+        a, b = side(r.metric_a), side(r.metric_b)
+        held = b.groupBy(*keys, "__v").agg(F.count("*").alias("nb"), F.min("__text").alias("b_text"))
+        asks = a.select(*keys, "__v", F.lit(0).cast("long").alias("nb"), F.lit(None).cast("string").alias("b_text")).distinct()
+        every = held.unionByName(asks).groupBy(*keys, "__v").agg(F.sum("nb").alias("nb"), F.max("b_text").alias("b_text"), F.bool_or(F.col("nb") == 0).alias("asked"))
+        whole = Window.partitionBy(*keys)
+        below = whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+        one = F.when(F.col("nb") > 0, F.struct("__v", "b_text"))
+        ranked = every.select(
+            *keys, "__v", "asked", F.col("nb").alias("equal"), F.coalesce(F.sum("nb").over(below), F.lit(0)).alias("less"), F.sum("nb").over(whole).alias("all"),
+            F.sum(F.when(F.col("__v") > HIGH_GCV, F.col("nb")).otherwise(0)).over(whole).alias("high"), F.min(one).over(whole).alias("low_b"), F.max(one).over(whole).alias("high_b"),
+        )
+        n = BROKEN[r.relation](F.col("__v"), F.col)
+        least = F.lit(r.relation in ("le", "lt")) | (F.lit(r.relation == "eq") & (F.col("low_b.__v") != F.col("__v")))
+        broken = ranked.where("asked").select(*keys, "__v", n.alias("n"), F.when(least, F.col("low_b.b_text")).otherwise(F.col("high_b.b_text")).alias("b_text")).where("n > 0")
+        on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__v"]])
+        hit = a.alias("a").join(broken.alias("r"), on)
+        values = {"a_value": F.col("a.__text"), "b_value": F.col("r.b_text"), "entity_id": F.col("a.entity_id"), "metric_key": F.col("a.metric_key")}
+        parts.append(hit.select(F.col("a.candidate_id").alias("candidate_id"), F.lit(1000 + order).alias("ord"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), fill(r.message, values).alias("message"), "r.n"))
     if not parts:
         return range_findings(candidates, [])
     return reduce(DataFrame.unionByName, parts)
@@ -125,13 +148,25 @@ def failure_counts(candidates: DataFrame) -> DataFrame:
 
 def reeval(candidates: DataFrame, rules: list[Rule], metrics: list[str], pack: Pack, within: tuple[str, ...] = ()) -> DataFrame:
     """Soft-rejected candidates judged anew under the pack's patterns; rules look at all rows, other rows stay."""
-    again = F.col("state") == "soft_rejected"
-    entity = F.coalesce("entity_id", *[resolve_entity(k, F.col("entity_raw"), p) for k, p in pack.entity_patterns.items()])
-    base = candidates.drop("confidence", "gate_results", "failed_gate", "failure_reason", "state")
-    tried = base.join(candidates.select("candidate_id", again.alias("__again")), "candidate_id").withColumn("entity_id", F.when(F.col("__again"), entity).otherwise(F.col("entity_id"))).drop("__again")
-    judged = run_gates(tried, findings(tried, rules, within), metrics)
-    fresh = judged.join(candidates.where(again).select("candidate_id"), "candidate_id", "left_semi").withColumn("reeval_count", F.col("reeval_count") + 1)
-    return candidates.where(~again).unionByName(fresh.select(*candidates.columns))
+    entity = F.coalesce("entity_id", *[resolve_entity(F.col("entity_raw"), p) for p in pack.entity_patterns.values()])
+    tried = candidates.withColumn("__again", F.col("state") == "soft_rejected").withColumn("entity_id", F.when(F.col("__again"), entity).otherwise(F.col("entity_id")))
+    base = tried.drop("confidence", "gate_results", "failed_gate", "failure_reason", "state")
+    fresh = run_gates(base, findings(base, rules, within), metrics).where("__again").withColumn("reeval_count", F.col("reeval_count") + 1)
+    return candidates.where(F.col("state").isNull() | (F.col("state") != "soft_rejected")).unionByName(fresh.select(*candidates.columns))
+
+
+def run_summary(judged: DataFrame, run_id: str, pack_version: int, started_at) -> DataFrame:
+    """One row per document of a run: how many candidates it has, their states, and the gates that they failed at."""
+    counts = judged.groupBy("doc_id", "state", "failed_gate").count()
+    tally = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(c, "n")))))
+    per = lambda c, name: counts.where(F.col(c).isNotNull()).groupBy("doc_id", c).agg(F.sum("count").alias("n")).groupBy("doc_id").agg(tally(c).alias(name))
+    total = counts.groupBy("doc_id").agg(F.sum("count").alias("candidate_count"))
+    none = F.create_map().cast("map<string,bigint>")
+    joined = total.join(per("state", "state_counts"), "doc_id", "left").join(per("failed_gate", "failure_counts"), "doc_id", "left")
+    return joined.select(
+        F.concat_ws("-", F.lit(run_id), "doc_id").alias("run_id"), "doc_id", F.lit(pack_version).alias("pack_version"), F.lit(started_at).cast("timestamp").alias("started_at"), "candidate_count",
+        F.coalesce("state_counts", none).alias("state_counts"), F.coalesce("failure_counts", none).alias("failure_counts"),
+    )
 
 
 def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:

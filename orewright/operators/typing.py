@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Pack
 from ..functions.text import canonical_map, resolve_entity, short_hash, stat_of, strip_footnote, to_decimal, unit_of
+from ..shared import cut
 from .headers import TABLE, header_chains, header_counts
 
 
@@ -64,7 +65,7 @@ def match_columns(chains: DataFrame, kinds: DataFrame, pack: Pack) -> DataFrame:
 
 
 def _resolved(kind: Column, raw: Column, pack: Pack) -> Column:
-    return F.coalesce(*[F.when(kind == k, resolve_entity(k, raw, p)) for k, p in pack.entity_patterns.items()], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(kind == k, resolve_entity(raw, p)) for k, p in pack.entity_patterns.items()], F.lit(None).cast("string"))
 
 
 def emit_candidates(tables: DataFrame, texts: DataFrame, cells: DataFrame, pack: Pack, period: str = "unknown", status: str = "final") -> DataFrame:
@@ -78,13 +79,13 @@ def emit_candidates(tables: DataFrame, texts: DataFrame, cells: DataFrame, pack:
     # Headers keep their ends: "(m)" is a unit there, though it looks like a mark.
     kinds = classify_tables(tables, texts, cells, counts, pack)
     rules = match_columns(header_chains(cells, counts), kinds, pack)
-    data = plain.join(counts, TABLE).where("row >= header_rows").join(rules, [*TABLE, "col"])
+    data = cut(plain.join(counts, TABLE).where("row >= header_rows").join(rules, [*TABLE, "col"]))
     identity = F.col("rule.role").isin("entity", "qualifier")
     filled = F.col("text") != ""
 
     rows = data.groupBy(*TABLE, "row").agg(F.bool_or(identity & filled).alias("own"), F.bool_or(identity).alias("has_identity"))
     owner = F.last(F.when(F.col("own") | ~F.col("has_identity"), F.col("row")), ignorenulls=True).over(Window.partitionBy(*TABLE).orderBy("row"))
-    owners = rows.select(*TABLE, "row", F.coalesce(owner, "row").alias("owner"))
+    owners = cut(rows.select(*TABLE, "row", F.coalesce(owner, "row").alias("owner")))
 
     borehole = _resolved(F.lit("borehole"), F.col("text"), pack)
     folded = data.join(owners, [*TABLE, "row"]).where("row <> owner").withColumn("ref", borehole).where("ref is not null")

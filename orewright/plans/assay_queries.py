@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Pack, Rule
+from ..config import EntityPattern, Pack, Rule
 from ..operators import assay as A
+from ..shared import cut
 from .base import table
 
 RULES = [
@@ -61,8 +62,7 @@ def rule_range(spark, sf_dir):
 
 
 def rule_pair_nullsafe(spark, sf_dir):
-    found = A.pair_findings(candidates(spark, sf_dir), RULES)
-    return found.groupBy("candidate_id", "rule_id", "severity").agg(F.count("*").alias("n"))
+    return A.pair_findings(candidates(spark, sf_dir), RULES).select("candidate_id", "rule_id", "severity", "n")
 
 
 def rule_messages(spark, sf_dir):
@@ -85,12 +85,12 @@ def review_queue_topk(spark, sf_dir):
     return A.review_queue(judged(spark, sf_dir)).select("candidate_id", F.col("confidence").cast("double").alias("confidence")).limit(20)
 
 
-WIDER = Pack("orders", 2, (), {"order": (r"\b(o)[\s.\-]+(\d+)\b", "order:{g1}")})
+WIDER = Pack("orders", 2, (), {"order": EntityPattern(r"\b(o)[\s.\-]+(\d+)\b", "order:{number}", ("letter", "number"))})
 
 
 def reeval_recovery(spark, sf_dir):
     """Candidates without an entity get one from the wider pattern; how many change state, by old and new state."""
-    before = judged(spark, sf_dir)
+    before = cut(judged(spark, sf_dir))
     after = A.reeval(before, [r for r in RULES if r.type == "range"], METRICS, WIDER)
     return before.select("candidate_id", F.col("state").alias("old_state")).join(after.select("candidate_id", F.col("state").alias("new_state"), "reeval_count"), "candidate_id").groupBy("old_state", "new_state", "reeval_count").agg(F.count("*").alias("n"))
 
@@ -108,6 +108,14 @@ def gate_trace(spark, sf_dir):
     return judged(spark, sf_dir).select("candidate_id", F.posexplode("gate_results").alias("step", "g")).groupBy("g.gate", "g.passed").agg(F.count("*").alias("n"))
 
 
+def assay_run_summary(spark, sf_dir):
+    """One row per flag, which stands for a document here: candidates, and a map of states and of failed gates."""
+    rows = judged(spark, sf_dir).withColumn("doc_id", F.try_element_at("qualifiers", F.lit("flag")))
+    run = A.run_summary(rows, "r1", 1, "2026-01-01 00:00:00")
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+    return run.select("run_id", "doc_id", "candidate_count", flat("state_counts").alias("states"), flat("failure_counts").alias("failures"))
+
+
 def decisions_latest(spark, sf_dir):
     """Orders are candidates; their line items are decisions at ship date."""
     c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderstatus").alias("state"), F.lit(None).cast("string").alias("approver"))
@@ -115,13 +123,13 @@ def decisions_latest(spark, sf_dir):
     return A.decide(c, d).select("candidate_id", "state", "approver")
 
 
-QUERIES = {f.__name__: f for f in (rule_range, rule_pair_nullsafe, rule_messages, gates_verdict, state_histogram, gate_histogram, review_queue_topk, reeval_recovery, prune_preserve_decided, gate_trace, decisions_latest)}
+QUERIES = {f.__name__: f for f in (rule_range, rule_pair_nullsafe, rule_messages, gates_verdict, state_histogram, gate_histogram, review_queue_topk, reeval_recovery, prune_preserve_decided, gate_trace, decisions_latest, assay_run_summary)}
 
 _RUN = "CASE failed_gate WHEN 'G2' THEN 2 WHEN 'G3' THEN 3 WHEN 'G5' THEN 5 ELSE 7 END"
 ORACLES = {
     "rule_range": f"WITH {CAND_SQL} SELECT candidate_id, rule_id, severity FROM rf",
     "rule_pair_nullsafe": f"WITH {CAND_SQL} SELECT candidate_id, rule_id, severity, count(*) AS n FROM pf GROUP BY ALL",
-    "rule_messages": f"WITH {CAND_SQL} SELECT candidate_id, 'quantity ' || v || ' not in 2..48 each' AS message FROM rf JOIN x USING (candidate_id)",
+    "rule_messages": "SELECT l_orderkey || ':quantity' AS candidate_id, 'quantity ' || q || ' not in 2..48 each' AS message FROM (SELECT l_orderkey, CAST(min(floor(l_quantity)) AS BIGINT) AS q FROM lineitem GROUP BY 1) WHERE q < 2 OR q > 48",
     "gates_verdict": f"WITH {CAND_SQL} SELECT candidate_id, state, failed_gate, CAST(confidence AS DOUBLE) AS confidence, CAST({_RUN} AS BIGINT) AS n_gates FROM s",
     "state_histogram": f"WITH {CAND_SQL} SELECT state, count(*) AS n FROM s GROUP BY 1",
     "gate_histogram": f"WITH {CAND_SQL} SELECT failed_gate, count(*) AS n FROM s WHERE failed_gate IS NOT NULL GROUP BY 1",
@@ -133,5 +141,8 @@ ORACLES = {
     "prune_preserve_decided": """WITH old AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'published' ELSE 'pending_review' END AS state FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'),
         d AS (SELECT * FROM old WHERE state = 'published') SELECT o_orderkey AS candidate_id, state FROM d UNION ALL SELECT o_orderkey, 'auto_passed' FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderkey NOT IN (SELECT o_orderkey FROM d)""",
     "gate_trace": f"WITH {CAND_SQL}, t AS (SELECT 'G' || k AS gate, NOT (failed_gate IS NOT NULL AND 'G' || k = failed_gate) AS passed, k, {_RUN} AS n_run FROM s, range(1, 8) r(k)) SELECT gate, passed, count(*) AS n FROM t WHERE k <= n_run GROUP BY 1, 2",
+    "assay_run_summary": f"""WITH {CAND_SQL}, a AS (SELECT flag, state, count(*) AS n FROM s GROUP BY 1, 2), b AS (SELECT flag, failed_gate, count(*) AS n FROM s WHERE failed_gate IS NOT NULL GROUP BY 1, 2),
+        a1 AS (SELECT flag, CAST(sum(n) AS BIGINT) AS total, string_agg(state || '=' || n, ';' ORDER BY state) AS states FROM a GROUP BY 1), b1 AS (SELECT flag, string_agg(failed_gate || '=' || n, ';' ORDER BY failed_gate) AS failures FROM b GROUP BY 1)
+        SELECT 'r1-' || a1.flag AS run_id, a1.flag AS doc_id, total AS candidate_count, states, coalesce(failures, '') AS failures FROM a1 LEFT JOIN b1 USING (flag)""",
     "decisions_latest": "SELECT o_orderkey AS candidate_id, coalesce(arg_max(l_returnflag, (l_shipdate, l_returnflag)), any_value(o_orderstatus)) AS state, CASE WHEN count(l_orderkey) > 0 THEN 'p' END AS approver FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
 }

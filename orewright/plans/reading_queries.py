@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import ColumnRule, Pack, TableType
+from ..config import ColumnRule, EntityPattern, Pack, TableType
 from ..functions import text as T
 from ..operators import headers as H
 from ..operators import profile as P
@@ -28,7 +28,7 @@ PACK = Pack(
             ColumnRule(("share",), "metric", metric_key="share", expect_unit="pct", stat_from_header=True),
         )),
     ),
-    {"account": (r"\bCustomer#(\d+)\b", "account:{g0}")},
+    {"account": EntityPattern(r"\bCustomer#(\d+)\b", "account:{number}", ("number",))},
 )
 
 
@@ -143,7 +143,7 @@ def review_rows(spark, sf_dir):
 
 def entity_resolution(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("see "), F.col("c_name"), F.lit("!")).alias("raw"))
-    return c.select("id", T.resolve_entity("account", F.col("raw"), PACK.entity_patterns["account"]).alias("entity_id"))
+    return c.select("id", T.resolve_entity(F.col("raw"), PACK.entity_patterns["account"]).alias("entity_id"))
 
 
 def seam_resolution(spark, sf_dir):
@@ -153,7 +153,7 @@ def seam_resolution(spark, sf_dir):
     k = F.col("p_partkey")
     numeral, letter, place = F.element_at(F.array(*map(F.lit, ("i", "II", "iv", "7", "XL"))), (k % 5 + 1).cast("int")), F.when(k % 3 == 0, "a").otherwise(""), F.element_at(F.array(*map(F.lit, ("", " top", "  Middle", " x"))), (k % 4 + 1).cast("int"))
     raw = F.concat(F.lit("Seam no. "), numeral, letter, place)
-    return table(spark, sf_dir, "part").select("p_partkey", T.resolve_entity("seam", raw, GEOLOGY.entity_patterns["seam"]).alias("entity_id"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.resolve_entity(raw, GEOLOGY.entity_patterns["seam"]).alias("entity_id"))
 
 
 def footnotes_and_decimals(spark, sf_dir):
