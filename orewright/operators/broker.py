@@ -1,19 +1,24 @@
 """The guarded query layer: who may call what and see what, sealed packages, and the log of every decision.
 
-Every tool that returns rows filters them by the caller's documents and by classification.
+Every tool that returns rows filters them by the caller's documents and by classification, traces and what depends on a
+fact included: an edge at a node of a document that the caller may not see is left out before the walk.
+
+A sealed package is rows: one in `sealed_package`, and its members (facts, passages, coverage) in `package_member`, with a
+content hash over the members' own hashes. Only the package's id comes to the driver.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import schema
+from ..shared import cut
 from . import ledger as L
 from .lineage import closure, edge_rows, revision_impact, trace_back
 from .search import search_evidence
@@ -38,13 +43,14 @@ class Principal:
     entity_scope: frozenset[str] | None = None
 
 
-PUBLIC = Principal("public_caller", ("public",))
-INTERNAL = Principal("internal_reviewer", ("public", "restricted"))
-GEOLOGIST = Principal("cmpdi_geologist", ("public", "restricted"))
+PUBLIC = Principal("anyone", ("public",))
+INTERNAL = Principal("staff", ("public", "restricted"))
+SURVEYOR = Principal("surveyor", ("public", "restricted"))
 
 
-def subsidiary_officer(doc_ids: Iterable[str]) -> Principal:
-    return Principal("subsidiary_officer", ("public", "restricted"), entity_scope=frozenset(doc_ids))
+def office(doc_ids: Iterable[str]) -> Principal:
+    """A caller who sees the documents of one office only."""
+    return Principal("office", ("public", "restricted"), entity_scope=frozenset(doc_ids))
 
 
 def in_scope(principal: Principal, doc_id: Column) -> Column:
@@ -69,18 +75,48 @@ def exportable(df: DataFrame) -> DataFrame:
     return df.where("classification = 'public'")
 
 
-def sealed(packages: DataFrame) -> DataFrame:
-    """body, content_hash and package_id of packages (intent, principal_subject, max_classification, facts, passages,
-    coverage): facts and passages are put in order first, so equal content has one hash however it was gathered."""
-    body = F.to_json(F.struct(F.array_sort("coverage").alias("coverage"), F.array_sort("facts").alias("facts"), "intent", F.array_sort("max_classification").alias("max_classification"), F.array_sort("passages").alias("passages"), "principal_subject"))
-    hashed = packages.withColumn("body", body).withColumn("content_hash", F.sha2("body", 256))
-    return hashed.withColumn("package_id", F.concat(F.lit("SEP-"), F.substring("content_hash", 1, 12)))
+MEMBER = ["request", "kind", "member_id", "body"]
+
+
+def sealed(members: DataFrame, requests: DataFrame, principal: Principal) -> DataFrame:
+    """package_id, content_hash and n_members of each request (request, intent), from its members (see MEMBER).
+
+    Equal members are one. A member's hash goes into the hash of the members whose hashes begin alike, and these go, in
+    order, into one hash: so content gathered in another order is the same package, and no task gets all its members.
+    """
+    one = members.select(*MEMBER).distinct().withColumn("h", F.sha2(F.to_json(F.struct("kind", "member_id", "body")), 256))
+    level = one.groupBy("request", F.substring("h", 1, 5).alias("at")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
+    for digits in (2, 0):
+        pairs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy("request", F.substring("at", 1, digits).alias("up")).agg(F.sha2(pairs, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "at")
+    may = F.array_sort(F.array(*map(F.lit, principal.max_classification)))
+    about = F.to_json(F.struct("intent", may.alias("max_classification"), F.lit(principal.subject).alias("principal_subject")))
+    whole = requests.join(level, "request", "left").withColumn("content_hash", F.sha2(F.concat(about, F.coalesce("h", F.lit(""))), 256))
+    return whole.select(
+        "request", F.concat(F.lit("SEP-"), F.substring("content_hash", 1, 12)).alias("package_id"), "content_hash", F.lit(principal.subject).alias("principal_subject"),
+        may.alias("max_classification"), "intent", F.coalesce("n", F.lit(0)).alias("n_members"), F.current_timestamp().alias("sealed_at"),
+    )
 
 
 def insert_absent(store: DataFrame, fresh: DataFrame, key: str = "package_id") -> DataFrame:
     return store.unionByName(fresh.dropDuplicates([key]).join(store.select(key), key, "left_anti").select(*store.columns))
 
 
+def fact_members(facts: DataFrame) -> DataFrame:
+    """Facts (with their request) as members of packages."""
+    body = F.to_json(F.struct("fact_id", "entity_id", "metric_key", "value_text", "unit", "period"))
+    return facts.select("request", F.lit("fact").alias("kind"), F.col("fact_id").alias("member_id"), body.alias("body"))
+
+
+def coverage_members(coverage: DataFrame) -> DataFrame:
+    """Coverage rows (with their request) as members of packages, one for each metric and entity."""
+    body = F.to_json(F.struct("metric_key", "entity_id", "covered", "fact_count", "reason"))
+    return coverage.select("request", F.lit("coverage").alias("kind"), F.concat_ws("|", "metric_key", "entity_id").alias("member_id"), body.alias("body"))
+
+
+EDGE = "from_kind string, from_id string, to_kind string, to_id string, activity string, agent string"
+
+
 @dataclass
 class Broker:
     """Tables by name (see schemas) and one caller. Tools return DataFrames; rows they add are kept in `tables`."""
@@ -89,6 +125,11 @@ class Broker:
     principal: Principal
     tables: dict[str, DataFrame]
     audit: list[tuple] = field(default_factory=list)
+    additions: int = 0  # of lineage edges; a broker over stored tables goes on from the greatest id
+
+    def __post_init__(self) -> None:
+        if "lineage_edge" in self.tables:
+            self.additions = (self.tables["lineage_edge"].agg(F.max("id")).first()[0] or 0) >> 40
 
     def _t(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -121,20 +162,45 @@ class Broker:
         facts = L.current_facts(self._t("fact")).withColumn("doc_id", F.col("source.doc_id"))
         return visible(facts, self._t("source_registry"), self.principal)
 
+    def visible_candidates(self) -> DataFrame:
+        return visible(self._t("candidate_fact"), self._t("source_registry"), self.principal)
+
     def search_evidence(self, query: str, k: int = 5) -> DataFrame:
         self._authorize("search_evidence")
         chunks = self._t("chunk").where(in_scope(self.principal, F.col("doc_id")))
-        hits = search_evidence(chunks, query, k, list(self.principal.max_classification))
+        hits = cut(search_evidence(chunks, query, k, list(self.principal.max_classification)))  # k rows, read again below
         linked = edge_rows(hits.where("candidate_id is not null"), "passage", F.col("chunk_id"), "candidate", F.col("candidate_id"), "retrieved", self.principal.subject)
         self._add_edges(linked)
         return hits
 
     def _add_edges(self, edges: DataFrame) -> None:
-        full = schema("lineage_edge")
-        known = edges.withColumn("at", F.current_timestamp()).withColumn("id", F.monotonically_increasing_id())
+        """Keeps edges with a time and an id: the number of the addition, then a hash of the content, so an id never
+        changes, later additions have greater ones, and equal edges of one addition are one. The rows are written."""
+        self.additions += 1
+        content = F.shiftrightunsigned(F.xxhash64("from_kind", "from_id", "to_kind", "to_id", "activity", "agent"), 24)
+        known = edges.distinct().withColumns({"at": F.lit(datetime.now(timezone.utc)), "id": F.lit(self.additions << 40) + content})
         have = set(known.columns)
-        row = known.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in full.fields])
-        self.tables["lineage_edge"] = self._t("lineage_edge").unionByName(row)
+        row = known.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema("lineage_edge").fields])
+        self.tables["lineage_edge"] = self._t("lineage_edge").unionByName(cut(row))
+
+    def _edges(self) -> DataFrame:
+        """Lineage edges between nodes that the caller may see."""
+        facts = self._t("fact").select("fact_id", F.col("source.doc_id").alias("doc_id"))
+        held = [("fact", facts, "fact_id"), ("candidate", self._t("candidate_fact"), "candidate_id")]
+        hidden = []
+        for kind, df, key in held:
+            seen = visible(df.select(key, "doc_id"), self._t("source_registry"), self.principal)
+            hidden.append(df.select(key).join(seen.select(key), key, "left_anti").select(F.lit(kind).alias("kind"), F.col(key).alias("id")))
+        may = F.col("classification").isin(*self.principal.max_classification) & in_scope(self.principal, F.col("doc_id"))
+        hidden.append(self._t("chunk").where(~F.coalesce(may, F.lit(False))).select(F.lit("passage").alias("kind"), F.col("chunk_id").alias("id")))
+        above = F.size(F.array_except("max_classification", F.array(*map(F.lit, self.principal.max_classification)))) > 0
+        hidden.append(self._t("sealed_package").where(above).select(F.lit("package").alias("kind"), F.col("package_id").alias("id")))
+        gone = reduce(DataFrame.unionByName, hidden).distinct()
+        edges = self._t("lineage_edge")
+        for side in ("from", "to"):
+            ends = gone.select(F.col("kind").alias(f"{side}_kind"), F.col("id").alias(f"{side}_id"))
+            edges = edges.join(ends, [f"{side}_kind", f"{side}_id"], "left_anti")
+        return edges
 
     def get_fact(self, metric_key: str, entity_id: str | None = None) -> DataFrame:
         self._authorize("get_fact")
@@ -149,58 +215,53 @@ class Broker:
     def check_coverage(self, metric_key: str, entity_id: str | None = None) -> DataFrame:
         self._authorize("check_coverage")
         wanted = self.spark.createDataFrame([(metric_key, entity_id)], "metric_key string, entity_id string")
-        candidates = visible(self._t("candidate_fact"), self._t("source_registry"), self.principal)
-        return L.coverage(wanted, candidates, self._facts())
+        return L.coverage(wanted, self.visible_candidates(), self._facts())
 
     def _start(self, kind: str, node_id: str) -> DataFrame:
         return self.spark.createDataFrame([(kind, node_id)], "kind string, id string")
 
     def get_provenance(self, kind: str, node_id: str) -> DataFrame:
         self._authorize("get_provenance")
-        return trace_back(self._t("lineage_edge"), self._start(kind, node_id))
+        return trace_back(self._edges(), self._start(kind, node_id))
 
     def get_trace_graph(self, kind: str, node_id: str) -> DataFrame:
         self._authorize("get_trace_graph")
-        return closure(self._t("lineage_edge"), self._start(kind, node_id))
+        return closure(self._edges(), self._start(kind, node_id))
 
     def revision_impact(self, fact_id: str, new_value: str, tolerance: str = "0.01") -> DataFrame:
         self._authorize("revision_impact")
         revision = self.spark.createDataFrame([(fact_id, new_value)], "fact_id string, new_value string")
-        return revision_impact(self._facts(), revision, self._t("lineage_edge"), tolerance)
+        return revision_impact(self._facts(), revision, self._edges(), tolerance)
 
     def seal_evidence_package(self, intent: str, query: str | None = None, metric_keys: Iterable[str] = (), k: int = 5) -> str:
-        """Gathers facts, passages and coverage, stores the package unless it is there, and links it to what it cites.
-        A package is one small record; its members are bounded by `k` and the facts asked for."""
+        """Gathers facts, passages and coverage as members, stores the package unless it is there, and links it to what it
+        cites. Returns its id."""
         self._authorize("seal_evidence_package")
         keys = list(metric_keys)
-        facts = self._facts().where(F.col("metric_key").isin(*keys) if keys else F.lit(False))
-        fact = F.to_json(F.struct("fact_id", "entity_id", "metric_key", "value_text", "unit", "period"))
-        one = facts.agg(F.array_sort(F.collect_list(fact)).alias("facts"), F.array_sort(F.collect_list("fact_id")).alias("fact_ids"))
-        hits = self.search_evidence(query, k) if query else self.spark.createDataFrame([], "chunk_id string, text string")
-        passages = hits.agg(F.array_sort(F.collect_list(F.to_json(F.struct("chunk_id", "text")))).alias("passages"), F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
-        covered = [self.check_coverage(m).select(F.to_json(F.struct("metric_key", "covered", "fact_count", "reason")).alias("c")) for m in keys]
-        coverage = covered[0] if covered else self.spark.createDataFrame([], "c string")
-        for c in covered[1:]:
-            coverage = coverage.unionByName(c)
-        made = one.crossJoin(passages).crossJoin(coverage.agg(F.array_sort(F.collect_list("c")).alias("coverage")))
-        return self._store(made, intent)
-
-    def _store(self, made: DataFrame, intent: str) -> str:
-        p = self.principal
-        package = made.select("*", F.lit(intent).alias("intent"), F.lit(p.subject).alias("principal_subject"), F.array(*map(F.lit, sorted(p.max_classification))).alias("max_classification"))
-        row = sealed(package).select("package_id", "content_hash", "principal_subject", "max_classification", "body", F.current_timestamp().alias("sealed_at"), "fact_ids", "chunk_ids").first()
-        fresh = self.spark.createDataFrame([row[:6]], schema("sealed_package"))
-        new = self._t("sealed_package").where(F.col("package_id") == row.package_id).isEmpty()
-        if new:
-            self.tables["sealed_package"] = self._t("sealed_package").unionByName(fresh)
-            cites = [("package", row.package_id, "fact", f, "cites", p.subject) for f in row.fact_ids] + [("package", row.package_id, "passage", c, "cites", p.subject) for c in row.chunk_ids]
-            self._add_edges(self.spark.createDataFrame(cites, "from_kind string, from_id string, to_kind string, to_id string, activity string, agent string"))
-        return row.package_id
+        facts = fact_members(self._facts().where(F.col("metric_key").isin(*keys) if keys else F.lit(False)).withColumn("request", F.lit("0")))
+        parts = [facts]
+        if query:
+            parts.append(self.search_evidence(query, k).select(F.lit("0").alias("request"), F.lit("passage").alias("kind"), F.col("chunk_id").alias("member_id"), "text").select("request", "kind", "member_id", F.to_json(F.struct(F.col("member_id").alias("chunk_id"), "text")).alias("body")))
+        parts += [coverage_members(self.check_coverage(m).withColumn("request", F.lit("0"))) for m in keys]
+        request = self.spark.createDataFrame([("0", intent)], "request string, intent string")
+        return self.seal_members(reduce(DataFrame.unionByName, parts), request).first().package_id
+
+    def seal_members(self, members: DataFrame, requests: DataFrame) -> DataFrame:
+        """Packages of many requests at once: request and package_id. What is there already is not stored again."""
+        held = cut(members.select(*MEMBER).distinct())
+        made = cut(sealed(held, requests, self.principal))
+        fresh = made.dropDuplicates(["package_id"]).join(self._t("sealed_package").select("package_id"), "package_id", "left_anti")
+        rows = held.join(fresh.select("request", "package_id"), "request").select("package_id", "kind", "member_id", "body")
+        rows, stored = cut(rows), cut(fresh.drop("request"))
+        self.tables["sealed_package"] = self._t("sealed_package").unionByName(stored)
+        self.tables["package_member"] = self._t("package_member").unionByName(rows)
+        cites = rows.where("kind <> 'coverage'").select(F.lit("package").alias("from_kind"), F.col("package_id").alias("from_id"), F.col("kind").alias("to_kind"), F.col("member_id").alias("to_id"), F.lit("cites").alias("activity"), F.lit(self.principal.subject).alias("agent"))
+        self._add_edges(cites)
+        return made.select("request", "package_id")
 
     def record_answer(self, answer_id: str, package_id: str) -> None:
         self._authorize("record_answer")
-        edge = [("answer", answer_id, "package", package_id, "answered_from", self.principal.subject)]
-        self._add_edges(self.spark.createDataFrame(edge, "from_kind string, from_id string, to_kind string, to_id string, activity string, agent string"))
+        self._add_edges(self.spark.createDataFrame([("answer", answer_id, "package", package_id, "answered_from", self.principal.subject)], EDGE))
 
     def _readable(self, package_ids: Iterable[str]) -> DataFrame:
         found = self._t("sealed_package").where(F.col("package_id").isin(*package_ids))
@@ -209,24 +270,22 @@ class Broker:
             raise AccessDenied(f"{self.principal.subject}: package above the caller's classification")
         return found
 
-    def replay(self, package_id: str) -> dict | None:
+    def replay(self, package_id: str) -> DataFrame:
+        """The members of a package, with its intent; a package without members gives one row of nulls, an unknown one none."""
         self._authorize("replay")
-        row = self._readable([package_id]).select("body").first()
-        return json.loads(row.body) if row else None
+        return self._readable([package_id]).select("package_id", "intent").join(self._t("package_member"), "package_id", "left").select("package_id", "intent", "kind", "member_id", "body")
 
     def merge_packages(self, package_ids: list[str], intent: str) -> str:
         """A package of all members of others, in the order given; of coverage entries of one metric the last wins."""
         self._authorize("merge_packages")
         order = self.spark.createDataFrame(list(enumerate(package_ids)), "ord int, package_id string")
-        shape = "coverage array<string>, facts array<string>, passages array<string>"
-        parts = self._readable(package_ids).join(order, "package_id").select("ord", F.from_json("body", shape).alias("b"))
-        lists = parts.agg(F.array_sort(F.flatten(F.collect_list("b.facts"))).alias("facts"), F.array_sort(F.flatten(F.collect_list("b.passages"))).alias("passages"))
-        each = parts.select("ord", F.explode("b.coverage").alias("c")).groupBy(F.get_json_object("c", "$.metric_key").alias("m")).agg(F.max_by("c", "ord").alias("c"))
-        made = lists.crossJoin(each.agg(F.array_sort(F.collect_list("c")).alias("coverage")))
-        ids = lambda column, key: F.array_distinct(F.transform(column, lambda x: F.get_json_object(x, f"$.{key}")))
-        merged = self._store(made.withColumn("fact_ids", ids("facts", "fact_id")).withColumn("chunk_ids", ids("passages", "chunk_id")), intent)
+        parts = self._readable(package_ids).select("package_id").join(F.broadcast(order), "package_id").join(self._t("package_member"), "package_id")
+        plain = parts.where("kind <> 'coverage'").select("kind", "member_id", "body").distinct()
+        last = parts.where("kind = 'coverage'").groupBy("kind", "member_id").agg(F.max_by("body", "ord").alias("body"))
+        members = plain.unionByName(last).select(F.lit("0").alias("request"), "kind", "member_id", "body")
+        merged = self.seal_members(members, self.spark.createDataFrame([("0", intent)], "request string, intent string")).first().package_id
         edges = [("package", merged, "package", p, "merged_from", self.principal.subject) for p in package_ids]
-        self._add_edges(self.spark.createDataFrame(edges, "from_kind string, from_id string, to_kind string, to_id string, activity string, agent string"))
+        self._add_edges(self.spark.createDataFrame(edges, EDGE))
         return merged
 
     def list_review_queue(self, doc_id: str | None = None) -> DataFrame:

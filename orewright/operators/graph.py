@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from ..sources.registry import overwrite_documents
 from .ledger import current_facts
 
 STATES = ("auto_passed", "pending_review", "published")
@@ -108,8 +110,34 @@ def multi_hop(edges: DataFrame, starts: DataFrame, rels: Iterable[str] | None =
     both = both if bag else both.distinct()
     frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<string>").alias("rels"))
     walked = []
-    for _ in range(max_hops):
+    for hop in range(max_hops):
         grown = frontier.join(both, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         frontier = grown.select("start", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("rels", F.col("rel")).alias("rels"))
+        if hop + 1 < max_hops:
+            frontier = cut(frontier)  # the next hop reads it again
         walked.append(frontier)
     return reduce(DataFrame.unionByName, walked)
+
+
+class GraphStore:
+    """A graph kept as two tables under a path, written per document: the documents of what comes in replace their own
+    edges and nodes, and others stay."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, nodes: DataFrame, edges: DataFrame) -> None:
+        overwrite_documents(nodes.withColumn("doc_id", F.coalesce("doc_id", F.lit(""))), f"{self.path}/nodes")
+        overwrite_documents(edges.withColumn("doc_id", F.coalesce("doc_id", F.lit(""))), f"{self.path}/edges")
+
+    def nodes(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/nodes")
+
+    def edges(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/edges")
+
+    def neighbours(self, node: str, rel: str | None = None) -> DataFrame:
+        return neighbours(self.edges(), node, rel)
+
+    def multi_hop(self, starts: DataFrame, **how) -> DataFrame:
+        return multi_hop(self.edges(), starts, **how)

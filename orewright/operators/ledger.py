@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +18,38 @@ def fact_identity() -> Column:
 
 def publish(observed: DataFrame) -> DataFrame:
     """All versions of the facts in a table of approved values (with observed_at): a value that repeats the one before
-    makes no version; a new one closes it. Equal times are ordered by candidate_id."""
+    makes no version; a new one closes it. Equal times are ordered by candidate_id. `last_seen` is when a version was last observed."""
     identified = observed.where("entity_id is not null and value is not null").withColumn("fact_identity", fact_identity())
     w = Window.partitionBy("fact_identity").orderBy("observed_at", "candidate_id")
     unit = F.coalesce("unit", F.lit(""))
     same = F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag(unit).over(w).eqNullSafe(unit)
-    changed = identified.withColumn("__same", same).where("not __same").drop("__same")
+    seen = identified.withColumns({"__same": same, "__before": F.lag("observed_at").over(w), "__end": F.max("observed_at").over(Window.partitionBy("fact_identity"))})
+    changed = seen.where("not __same").drop("__same")
     made = changed.withColumn("fact_id", short_hash(F.concat_ws("|", "fact_identity", F.col("observed_at").cast("string"), "candidate_id"), 12, "fact_"))
     return made.select(
         "*", F.col("observed_at").alias("valid_from"), F.lead("observed_at").over(w).alias("valid_to"),
         F.col("observed_at").alias("system_from"), F.lead("observed_at").over(w).alias("system_to"),
         F.lag("fact_id").over(w).alias("supersedes"), F.row_number().over(w).alias("version"),
-    ).drop("observed_at")
+        F.coalesce(F.lead("__before").over(w), "__end").alias("last_seen"),
+    ).drop("observed_at", "__before", "__end")
+
+
+class LateValue(ValueError):
+    """A value older than the last observation of its fact: the ledger keeps versions, not the repeats between them."""
 
 
 def publish_into(ledger: DataFrame, observed: DataFrame) -> DataFrame:
-    """The ledger after more values: only identities that got values are worked over; the others pass through."""
+    """The ledger after more values: only identities that got values are worked over; the others pass through. Values
+    older than the last observation of their fact are refused (LateValue): publish all observations anew for these."""
     fresh = publish(observed)
-    touched = fresh.select("fact_identity").distinct()
-    old = ledger.join(touched, "fact_identity", "left_semi")
-    rest = [c for c in ledger.columns if c not in ("fact_id", "fact_identity", "valid_from", "valid_to", "system_from", "system_to", "supersedes", "version")]
+    first = fresh.groupBy("fact_identity").agg(F.min("system_from").alias("first"))
+    old = ledger.join(first.select("fact_identity"), "fact_identity", "left_semi")
+    late = old.groupBy("fact_identity").agg(F.max("last_seen").alias("last")).join(first, "fact_identity").where("first < last")
+    if not late.isEmpty():
+        raise LateValue(f"values before the last observation, such as of {late.first().fact_identity}")
+    rest = [c for c in ledger.columns if c not in ("fact_id", "fact_identity", "valid_from", "valid_to", "system_from", "system_to", "supersedes", "version", "last_seen")]
     again = old.select(*rest, F.col("system_from").alias("observed_at")).unionByName(observed.select(*rest, "observed_at"))
-    return ledger.join(touched, "fact_identity", "left_anti").select(*ledger.columns).unionByName(publish(again).select(*ledger.columns))
+    return ledger.join(first, "fact_identity", "left_anti").select(*ledger.columns).unionByName(publish(again).select(*ledger.columns))
 
 
 def _where(df: DataFrame, filters: dict) -> DataFrame:
@@ -119,9 +131,15 @@ def statements(ledger: DataFrame) -> DataFrame:
 def contradictions(published: DataFrame, strict_text: bool = False) -> DataFrame:
     """Groups of statements on one fact by more than one document with more than one value, and their members.
     Values are compared as decimals with their units and kinds; `strict_text` compares their text alone."""
+    # First the groups, by least and greatest, which meet in part before the shuffle; members of those groups only.
     extra = [] if strict_text else ["value_kind", "unit"]
-    value = F.col("value_text") if strict_text else F.col("value")
-    grouped = published.groupBy("metric_key", "entity_id", "period", canonical_map(F.col("qualifiers")).alias("qualifier_key"), *extra).agg(
-        F.countDistinct("doc_id").alias("n_docs"), F.countDistinct(value).alias("n_values"), F.array_sort(F.collect_list(F.struct("doc_id", "fact_id", "value_text"))).alias("members")
-    )
-    return grouped.where("n_docs > 1 and n_values > 1")
+    value = "value_text" if strict_text else "value"
+    keys = ["metric_key", "entity_id", "period", "qualifier_key", *extra]
+    rows = published.withColumn("qualifier_key", canonical_map(F.col("qualifiers")))
+    ends = rows.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in ("doc_id", value) for n, f in (("lo", F.min), ("hi", F.max))])
+    torn = ends.where(F.col("__lo_doc_id") != F.col("__hi_doc_id")).where(F.col(f"__lo_{value}") != F.col(f"__hi_{value}")).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    held = rows.join(torn, same, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doc_id", "fact_id", "value_text", F.col(value).alias("v")))).alias("m"))
+    different = lambda f: F.size(F.array_distinct(F.filter(F.transform("m", f), lambda x: x.isNotNull()))).cast("long")
+    members = F.transform("m", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["fact_id"].alias("fact_id"), x["value_text"].alias("value_text")))
+    return held.select(*keys, different(lambda x: x["doc_id"]).alias("n_docs"), different(lambda x: x["v"]).alias("n_values"), members.alias("members"))

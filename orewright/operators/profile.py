@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,34 @@ def review_rows(routed: DataFrame, tables: DataFrame | None = None, floor: float
     return pages.unionByName(low)
 
 
+def read_pages(pages: DataFrame, read: Callable[[dict], str]) -> DataFrame:
+    """Pages with `text`, what `read` makes of each row inside the tasks, and `error`. A page that fails is its own failure:
+    it has no text, and the other pages of its document go on."""
+    kept = [c for c in pages.columns if c not in ("text", "error")]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in kept)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, errors = [], []
+            for row in batch.to_dict("records"):
+                text = error = None
+                try:
+                    text = read(row)
+                except Exception as e:  # isolated by contract: any failure is this page's own
+                    error = f"{type(e).__name__}: {e}"
+                texts.append(text)
+                errors.append(error)
+            yield batch[kept].assign(text=texts, error=errors)
+
+    return pages.mapInPandas(run, f"{columns}, text string, error string")
+
+
+def failed_pages(read: DataFrame) -> DataFrame:
+    """Review queue rows of the pages that could not be read."""
+    element = F.concat(F.lit("page-"), F.col("page_no").cast("string"), F.lit("-failed"))
+    return read.where("error is not null").select("doc_id", "page_no", element.alias("element_id"), F.col("error").alias("reason"))
+
+
 def tier_histogram(routed: DataFrame) -> DataFrame:
     """One map per document: tier (or "none") to pages."""
     tier = F.coalesce(F.col("tier").cast("string"), F.lit("none")).alias("tier")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..shared import cut
 from .headers import TABLE
 
 # Fixed: the ranking function's constants.
@@ -78,17 +82,33 @@ def bm25(chunks: DataFrame, query: str, text: str = "indexed_text", key: str = "
     return found.select(*chunks.columns, score.alias("score"))
 
 
+#: So many different words of questions go to every executor as one array; beyond them, words meet texts by a join.
+ASKED_WORDS = 100_000
+
+
 def bm25_many(chunks: DataFrame, queries: DataFrame, text: str = "indexed_text", key: str = "chunk_id") -> DataFrame:
-    """query_id, chunk_id, score for many queries (query_id, query) at once: chunks meet the queries through the index
-    entry of the query's rarest term, so no chunk is compared with a query whose terms it lacks."""
+    """query_id, chunk_id, score for many queries (query_id, query) at once: chunks meet the queries through the
+    query's rarest term, so no chunk is compared with a query whose terms it lacks. Only the questions' own terms leave
+    the texts: while these are few, a text is intersected with them where it lies and moves no further."""
     words = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words")).withColumn("len", F.size("words"))
     corpus = words.agg(F.count("*").alias("big"), F.avg("len").alias("avg"))
-    terms = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", tokens(F.col("query")).alias("phrase")).where(F.size("phrase") > 0)
+    asked = cut(queries.select("query_id", tokens(F.col("query")).alias("phrase")).where(F.size("phrase") > 0))
+    wanted = cut(asked.select(F.explode("phrase").alias("term")).distinct())
+    few = wanted.count() <= ASKED_WORDS
+
+    def terms_of(own: DataFrame, *columns: str) -> DataFrame:
+        if few:
+            one = own.agg(F.collect_set("term").alias("own"))  # one row of at most ASKED_WORDS words
+            return words.crossJoin(F.broadcast(one)).select(*columns, F.explode(F.array_intersect("words", "own")).alias("term"))
+        every = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("term")).join(own, "term", "left_semi")
+        return every.join(words, "chunk_id").select(*columns, "term")
+
+    df = terms_of(wanted, "chunk_id").groupBy("term").agg(F.count("*").alias("df"))
     rare = asked.withColumn("term", F.explode(F.array_distinct("phrase"))).join(df, "term").groupBy("query_id", "phrase").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("known"))
-    rare = rare.where(F.col("known") == F.size(F.array_distinct("phrase")))
-    met = terms.join(rare, "term").join(words, "chunk_id").withColumn("f", phrase_count(F.col("words"), F.col("phrase")).cast("double")).where("f > 0")
+    rare = cut(rare.where(F.col("known") == F.size(F.array_distinct("phrase"))).drop("known"))
+    held = terms_of(rare.select("term").distinct(), "chunk_id", "words", "len")
+    met = held.join(F.broadcast(rare) if few else rare, "term").withColumn("f", phrase_count(F.col("words"), F.col("phrase")).cast("double")).where("f > 0")
+    met = cut(met.select("query_id", "chunk_id", "len", "f"))
     n = met.groupBy("query_id").agg(F.count("*").alias("n"))
     scored = met.join(n, "query_id").crossJoin(F.broadcast(corpus))  # one row
     idf = F.greatest(F.ln((F.col("big") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_FLOOR))
@@ -113,24 +133,81 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 16) -> DataFrame:
-    """query_id, vec_id, similarity, rank: the k most similar vectors of each query (query_id, q). Queries go out to
-    every block of vectors; each block keeps k per query before the blocks' results meet."""
-    sent = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    held = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    scored = held.join(sent, "block").select("query_id", "vec_id", "block", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    for key in (["query_id", "block"], ["query_id"]):
-        w = Window.partitionBy(*key).orderBy(F.desc("similarity"), "vec_id")
-        scored = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return scored.select("query_id", "vec_id", "similarity", "rank")
+#: Vectors and queries that meet in one task.
+HELD, ASKING = 4096, 1024
+
+
+def best_of_block(held: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """The k most similar vectors of a block for each query of a block; at ties the smaller vec_id."""
+    stack = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+    out = [[], [], []]
+    if len(held) and len(asking):
+        ids, qids = held["vec_id"].to_numpy(), asking["query_id"].to_numpy()
+        near = np.round(stack(asking["unit"]) @ stack(held["unit"]).T, 12)
+        for row, q in zip(near, qids):
+            part = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+            best = part[np.lexsort((ids[part], -row[part]))[:k]]
+            out = [a + b for a, b in zip(out, ([q] * len(best), ids[best].tolist(), row[best].tolist()))]
+    return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
 
 
-def hit_at_k(chunks: DataFrame, questions: DataFrame, k: int = 5, text: str = "indexed_text") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, vec_id, similarity (to twelve digits), rank: the k most similar vectors of each query (query_id, q).
+
+    Vectors are normalised once and dealt into blocks, queries too; each two blocks are one task and one matrix product,
+    which keeps k per query. Vectors that are null, empty or zero, or hold nulls, and those of another length are no one's neighbours.
+    """
+    def unit(df: DataFrame, name: str, column: str) -> DataFrame:
+        x = F.transform(column, lambda c: c.cast("double"))
+        made = df.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), x.alias("x"), F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c)).alias("norm")).where("norm > 0 and norm < double('Infinity')")
+        return cut(made.select(name, F.size("x").alias("dim"), F.transform("x", lambda c: c / F.col("norm")).alias("unit")))
+
+    held, asking = unit(vectors, "vec_id", "embedding"), unit(queries, "query_id", "q")
+    i, j = max(1, -(-held.count() // HELD)), max(1, -(-asking.count() // ASKING))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = held.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(i)).cast("int").alias("i"), every(j).alias("j"))
+    two = asking.select("*", every(i).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(j)).cast("int").alias("j"))
+    found = one.groupBy("dim", "i", "j").cogroup(two.groupBy("dim", "i", "j")).applyInArrow(lambda h, a: best_of_block(h, a, k), "query_id long, vec_id long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def upsert_vectors(store: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The vectors after more of them: one that is there already is replaced. Of several new ones under an id the last by
+    `embedding` stays."""
+    one = fresh.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    return store.join(one.select("vec_id"), "vec_id", "left_anti").select("vec_id", "embedding").unionByName(one)
+
+
+def hit_at_k(chunks: DataFrame, questions: DataFrame, k: int = 5, text: str = "indexed_text", rerank: bool = False, parents: bool = False) -> DataFrame:
     """Per question (query_id, query, expected): whether a chunk among the k best holds the expected text; without an
-    expected text, whether nothing was found."""
+    expected text, whether nothing was found. rerank: four times as many chunks are found, and of these those that hold
+    most of the question's different words, then the shorter ones, come first. parents: a chunk shows its parent's text."""
     scored = bm25_many(chunks, questions, text)
+    own = chunks.select("chunk_id", F.col(text).alias("shown"))
+    if parents:
+        above = chunks.select(F.col("chunk_id").alias("__p"), F.col(text).alias("__text"))
+        own = chunks.join(above, F.col("parent_id") == F.col("__p"), "left").select("chunk_id", F.coalesce("__text", text).alias("shown"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    shown = top.join(chunks.select("chunk_id", F.col(text).alias("shown")), "chunk_id").join(questions.select("query_id", "expected"), "query_id")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (4 * k if rerank else k))
+    shown = top.join(own, "chunk_id").join(questions.select("query_id", "query", "expected"), "query_id")
+    if rerank:
+        words = tokens(F.col("shown"))
+        shared = F.size(F.array_intersect(tokens(F.col("query")), words))
+        again = Window.partitionBy("query_id").orderBy(F.desc("shared"), "n_words", "rank")
+        shown = shown.withColumns({"shared": shared, "n_words": F.size(words)}).withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
     hits = shown.groupBy("query_id").agg(F.count("*").alias("n"), F.bool_or(F.contains("shown", "expected")).alias("found"))
     return questions.join(hits, "query_id", "left").select("query_id", F.when(F.col("expected").isNull(), F.col("n").isNull()).otherwise(F.coalesce("found", F.lit(False))).alias("hit"))
+
+
+def ablation(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """Hits of each arm over the same questions: the bare text, reranked, with the context's prefix, and with the parent's
+    text. arm, hits, questions."""
+    arms = {
+        "lexical": hit_at_k(chunks, questions, k, "raw_text"),
+        "rerank": hit_at_k(chunks, questions, k, "raw_text", rerank=True),
+        "prefix": hit_at_k(chunks, questions, k, "indexed_text"),
+        "parent": hit_at_k(chunks, questions, k, "indexed_text", parents=True),
+    }
+    rows = [df.agg(F.count_if("hit").alias("hits"), F.count("*").alias("questions")).select(F.lit(name).alias("arm"), "hits", "questions") for name, df in arms.items()]
+    return reduce(DataFrame.unionByName, rows)

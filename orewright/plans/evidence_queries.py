@@ -9,9 +9,10 @@ from ..operators import language as N
 from ..operators import lineage as X
 from ..operators import reports as R
 from ..operators import search as S
-from ..operators.broker import PUBLIC, AccessDenied, Broker, Principal, exportable, subsidiary_officer, visible
+from ..operators.agents import answer_questions
+from ..operators.broker import PUBLIC, AccessDenied, Broker, Principal, exportable, office, visible
 from .base import table
-from .ledger_queries import book
+from .ledger_queries import EVENTS_SQL, book
 
 
 
@@ -102,23 +103,24 @@ def lineage_full(spark, sf_dir):
 
 
 def lineage_back(spark, sf_dir):
-    """How far the first-edge trace of each answer goes; first edges are told by the least id, so only depths are compared."""
-    trace = X.trace_back(_lineage(spark, sf_dir), _answers(spark, sf_dir))
+    """How far the first-edge trace of each answer goes, and where it ends; edges stand in the order of what they lead to."""
+    edges = _lineage(spark, sf_dir).withColumn("id", F.concat_ws("|", "to_kind", "to_id"))
+    trace = X.trace_back(edges, _answers(spark, sf_dir))
     return trace.groupBy("start_id").agg(F.max("depth").alias("depth"), F.max_by("kind", "depth").alias("last_kind"))
 
 
 def lineage_forward(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_size = 7").select(F.lit("candidate").alias("kind"), F.col("p_partkey").cast("string").alias("id"))
+    parts = table(spark, sf_dir, "part").select(F.lit("candidate").alias("kind"), F.col("p_partkey").cast("string").alias("id"))
     trace = X.closure(_lineage(spark, sf_dir), parts, forward=True)
     return trace.groupBy("start_id", "kind").agg(F.count("*").alias("n"))
 
 
 def revision_impact(spark, sf_dir):
-    """Facts are (part, supplier) with the greatest quantity; every part of size 7 is revised."""
+    """Facts are (part, supplier) with the greatest quantity; every fact is revised."""
     l = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max(F.floor("l_quantity")).alias("q"))
     fact = F.concat_ws("/", "l_partkey", "l_suppkey").alias("fact_id")
     ledger = l.select(fact, F.col("q").cast("decimal(38,18)").alias("value"))
-    revised = l.join(table(spark, sf_dir, "part").where("p_size = 7"), F.col("l_partkey") == F.col("p_partkey")).select(fact, (F.col("q") + F.when(F.col("l_suppkey") % 3 == 0, 0.0).when(F.col("l_suppkey") % 3 == 1, 0.01).otherwise(5.0)).cast("decimal(38,18)").alias("new_value"))
+    revised = l.select(fact, (F.col("q") + F.when(F.col("l_suppkey") % 3 == 0, 0.0).when(F.col("l_suppkey") % 3 == 1, 0.01).otherwise(5.0)).cast("decimal(38,18)").alias("new_value"))
     return X.revision_impact(ledger, revised, _lineage(spark, sf_dir)).select("fact_id", F.round(F.col("delta").cast("double"), 4).alias("delta"), "verdict", "n_affected")
 
 
@@ -157,15 +159,15 @@ def postings_top(spark, sf_dir):
 
 
 def hit_at_k(spark, sf_dir):
-    """Benchmark passages are questions: their first four words, and what should be found."""
+    """Benchmark passages are questions, and their first six words what should be found."""
     words = F.split("text", " ")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 4), " ").alias("query"), F.when(F.col("item_id") % 5 != 0, F.array_join(F.slice(words, 1, 6), " ")).alias("expected"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 5 != 0, F.array_join(F.slice(words, 1, 6), " ")).alias("expected"))
     return S.hit_at_k(_documents(spark, sf_dir), q)
 
 
 def vector_knn(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return S.knn(e, q, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -175,6 +177,15 @@ def _registry(spark, sf_dir):
     return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), level.alias("classification"))
 
 
+def upserted_vectors(spark, sf_dir):
+    """Half of the vectors, then every third anew with its parts doubled: how many there are, and what they add up to."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    more = e.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2).cast("float")))
+    store = S.upsert_vectors(e.where("vec_id % 2 = 0"), more)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return store.agg(F.count("*").alias("n"), F.round(F.sum(total), 6).alias("total"))
+
+
 def rls_classification(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "lang")
     return visible(rows, _registry(spark, sf_dir), PUBLIC).groupBy("lang").agg(F.count("*").alias("n"))
@@ -182,7 +193,7 @@ def rls_classification(spark, sf_dir):
 
 def rls_scope(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string"))).alias("doc_id"), "event_type")
-    officer = subsidiary_officer(["d1", "d3", "d7"])
+    officer = office(["d1", "d3", "d7"])
     return visible(rows, _registry(spark, sf_dir), officer).groupBy("doc_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -191,24 +202,30 @@ def export_guard(spark, sf_dir):
 
 
 def _broker(spark, sf_dir, who=PUBLIC):
-    facts = book(spark, sf_dir).where("entity_id = 'user:7'")
-    return Broker(spark, who, {"fact": facts, "chunk": _documents(spark, sf_dir)})
+    return Broker(spark, who, {"fact": book(spark, sf_dir), "chunk": _documents(spark, sf_dir)})
+
+
+def _contents(b):
+    packages = b.tables["sealed_package"].select("package_id", "intent", "n_members")
+    kinds = b.tables["package_member"].groupBy("package_id", "kind").agg(F.count("*").alias("n"), F.min("member_id").alias("least_id"))
+    return packages.join(kinds, "package_id").select("intent", "n_members", "kind", "n", "least_id")
 
 
 def seal_package(spark, sf_dir):
-    """Sealing the same evidence twice gives one package."""
+    """Sealing the same evidence twice gives one package: its members by kind."""
     b = _broker(spark, sf_dir)
-    first = b.seal_evidence_package("figures of user 7", "the that", ["click", "error"])
-    b.seal_evidence_package("figures of user 7", "the that", ["error", "click"][::-1])
-    return b.tables["sealed_package"].select("package_id", "content_hash", (F.col("package_id") == first).alias("same"), F.size(F.from_json("body", "facts array<string>")["facts"]).alias("n_facts"))
+    first = b.seal_evidence_package("clicks and errors", "the that", ["click", "error"])
+    again = b.seal_evidence_package("clicks and errors", "the that", ["error", "click"])
+    return _contents(b).withColumn("same", F.lit(first == again))
 
 
 def merge_packages(spark, sf_dir):
+    """Two packages and the one of both, merged twice."""
     b = _broker(spark, sf_dir)
     parts = [b.seal_evidence_package(m, None, [m]) for m in ("click", "error")]
     merged = b.merge_packages(parts, "both")
     b.merge_packages(parts, "both")
-    return b.tables["sealed_package"].select("package_id", (F.col("package_id") == merged).alias("is_merged"), F.size(F.from_json("body", "facts array<string>")["facts"]).alias("n_facts"))
+    return _contents(b).withColumn("n_sources", F.lit(b.tables["lineage_edge"].where((F.col("activity") == "merged_from") & (F.col("from_id") == merged)).select("to_id").distinct().count()))
 
 
 def replay_check(spark, sf_dir):
@@ -221,7 +238,39 @@ def replay_check(spark, sf_dir):
         refused = False
     except AccessDenied:
         refused = True
-    return spark.createDataFrame([(refused, b.replay(package)["intent"])], "refused boolean, intent string")
+    return b.replay(package).groupBy("intent", "kind").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
+def agent_answers(spark, sf_dir):
+    """One question for each user and kind of event, and one for a user without any: from evidence to answers."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("entity_id"), F.col("event_type").alias("metric_key")).distinct()
+    e = e.unionByName(spark.createDataFrame([("user:none", "click")], "entity_id string, metric_key string"))
+    asked = e.select(F.concat_ws("/", "entity_id", "metric_key").alias("question_id"), F.concat_ws(" of ", "metric_key", "entity_id").alias("title"), "metric_key", "entity_id")
+    b = _broker(spark, sf_dir)
+    answers = answer_questions(b, asked)
+    recorded = b.tables["lineage_edge"].where("activity = 'answered_from'").select(F.col("from_id").alias("question_id"), F.lit(True).alias("recorded"))
+    return answers.join(recorded, "question_id", "left").select("question_id", "status", "reason", "n_facts", F.col("total").cast("long").alias("total"), F.size(F.split("text", "; ")).cast("long").alias("n_figures"), F.coalesce("recorded", F.lit(False)).alias("recorded"))
+
+
+def trace_visible(spark, sf_dir):
+    """What a caller of the lowest class reaches from answers, when the documents of every third fact are restricted."""
+    facts = book(spark, sf_dir)
+    registry = spark.createDataFrame([(f"doc:{i}", "restricted" if i % 3 == 0 else "public") for i in range(7)], "doc_id string, classification string")
+    high = Broker(spark, Principal("r", ("public", "restricted")), {"fact": facts, "source_registry": registry})
+    current = high._facts().select("fact_id", "metric_key")
+    high._add_edges(current.select(F.lit("answer").alias("from_kind"), F.col("metric_key").alias("from_id"), F.lit("fact").alias("to_kind"), F.col("fact_id").alias("to_id"), F.lit("rests_on").alias("activity"), F.lit("r").alias("agent")))
+    low = Broker(spark, PUBLIC, high.tables)
+    count = lambda b, name: b.get_trace_graph("answer", "click").where("kind = 'fact'").agg(F.count("*").alias("n")).select(F.lit(name).alias("caller"), "n")
+    return count(high, "high").unionByName(count(low, "low"))
+
+
+def retrieval_ablation(spark, sf_dir):
+    """Hits among five of each arm; turns of conversations are the chunks, and each conversation's opening words the questions."""
+    turns = _turns(spark, sf_dir).withColumn("indexed_text", F.concat(F.lit("speech "), F.coalesce("raw_text", F.lit(""))))
+    first = table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
+    words = F.split("text", " ")
+    asked = first.select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"), F.when(F.col("conv_id") % 9 != 0, F.array_join(F.slice(words, 1, 5), " ")).alias("expected"))
+    return S.ablation(turns, asked)
 
 
 def audit_counts(spark, sf_dir):
@@ -235,9 +284,10 @@ def audit_counts(spark, sf_dir):
 
 
 def entailment_check(spark, sf_dir):
-    """Each document's first 400 characters as a claim, the rest as the evidence."""
+    """The first half of each document as a claim, the rest as the evidence."""
     d = table(spark, sf_dir, "documents")
-    claim, evidence = F.substring("text", 1, 400), F.col("text").substr(F.lit(401), F.length("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    claim, evidence = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
     return d.select("doc_id", N.entailed(claim, evidence).alias("entailed"), F.array_join(N.missing_numbers(claim, evidence), ",").alias("missing"))
 
 
@@ -265,7 +315,7 @@ def admission(spark, sf_dir):
     return R.admission(planned, 8.0, 0.0, 16.0, 0.0).select("admitted", "reason")
 
 
-QUERIES = {f.__name__: f for f in (graph_neighbours, graph_multi_hop, graph_trust_filter, graph_build, graph_nodes, lineage_full, lineage_back, lineage_forward, revision_impact, bm25_phrase, bm25_classified, bm25_parent, postings_top, hit_at_k, vector_knn, rls_classification, rls_scope, export_guard, seal_package, merge_packages, replay_check, audit_counts, entailment_check, narrative_template, corpus_dashboard, admission)}
+QUERIES = {f.__name__: f for f in (graph_neighbours, graph_multi_hop, graph_trust_filter, graph_build, graph_nodes, lineage_full, lineage_back, lineage_forward, revision_impact, bm25_phrase, bm25_classified, bm25_parent, postings_top, hit_at_k, vector_knn, upserted_vectors, rls_classification, rls_scope, export_guard, seal_package, merge_packages, replay_check, agent_answers, trace_visible, retrieval_ablation, audit_counts, entailment_check, narrative_template, corpus_dashboard, admission)}
 
 PATHS_SQL = f"""
 WITH RECURSIVE {EDGES_SQL}, p AS (SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS node, 0 AS hops, ['region:' || r_regionkey] AS path FROM region
@@ -302,7 +352,24 @@ sc AS (SELECT m.*, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 /
 
 DOCS_SQL = "docs AS (SELECT 'd' || doc_id AS chunk_id, text AS indexed_text, ['restricted', 'internal', 'public'][doc_id % 3 + 1] AS classification FROM documents)"
 TURNS_SQL = "turns AS (SELECT DISTINCT ON (conv_id, turn) 'c:' || conv_id || ':' || turn AS chunk_id, CASE WHEN turn > 0 THEN 'c:' || conv_id || ':0' END AS parent_id, text AS indexed_text FROM conversations)"
+CURRENT_SQL = f"""{EVENTS_SQL}, cur AS (SELECT led.*, 'fact_' || substr(sha256(fact_identity || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || '|' || printf('%019d', event_id)), 1, 12) AS fact_id,
+    'doc:' || (event_id % 7) AS doc_id FROM led JOIN e ON e.ts = led.system_from AND e.entity_id = led.entity_id AND e.metric_key = led.metric_key WHERE system_to IS NULL)"""
+SEALED_SQL = "SELECT '%s' AS intent, %s AS kind, count(*) AS n, min(id) AS least_id FROM %s"
 ORACLES = {
+    "seal_package": f"""WITH {CURRENT_SQL}, {DOCS_SQL}, {_bm25_sql('docs', repr(PHRASE.split()))}, top AS (SELECT chunk_id FROM sc WHERE classification = 'public' ORDER BY score DESC, chunk_id LIMIT 5),
+        mem AS (SELECT 'fact' AS kind, fact_id AS id FROM cur WHERE metric_key IN ('click', 'error') UNION ALL SELECT 'passage', chunk_id FROM top UNION ALL SELECT 'coverage', k FROM (VALUES ('click'), ('error')) v(k))
+        SELECT 'clicks and errors' AS intent, CAST(sum(count(*)) OVER () AS BIGINT) AS n_members, kind, count(*) AS n, min(id) AS least_id, true AS same FROM mem GROUP BY kind""",
+    "merge_packages": f"""WITH {CURRENT_SQL}, m AS (SELECT metric_key AS intent, 'fact' AS kind, fact_id AS id FROM cur WHERE metric_key IN ('click', 'error') UNION ALL SELECT k, 'coverage', k FROM (VALUES ('click'), ('error')) v(k)),
+        a AS (SELECT * FROM m UNION ALL SELECT 'both', kind, id FROM m)
+        SELECT intent, CAST(sum(count(*)) OVER (PARTITION BY intent) AS BIGINT) AS n_members, kind, count(*) AS n, min(id) AS least_id, CAST(2 AS INT) AS n_sources FROM a GROUP BY intent, kind""",
+    "replay_check": f"WITH {CURRENT_SQL} SELECT 'i' AS intent, 'fact' AS kind, count(*) AS n, true AS refused FROM cur WHERE metric_key = 'click' UNION ALL SELECT 'i', 'coverage', 1, true",
+    "agent_answers": f"""WITH {CURRENT_SQL}, q AS (SELECT DISTINCT 'user:' || user_id AS entity_id, event_type AS metric_key FROM events UNION ALL SELECT 'user:none', 'click'), n AS (SELECT entity_id, metric_key, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM cur GROUP BY 1, 2)
+        SELECT q.entity_id || '/' || q.metric_key AS question_id, CASE WHEN n > 0 THEN 'answered' ELSE 'not_covered' END AS status, CASE WHEN n.n IS NULL THEN 'NOT_DIGITISED' END AS reason, coalesce(n, 0) AS n_facts, total, CASE WHEN n > 0 THEN least(n, 20) END AS n_figures, n.n IS NOT NULL AS recorded
+        FROM q LEFT JOIN n USING (entity_id, metric_key)""",
+    "trace_visible": f"WITH {CURRENT_SQL} SELECT 'high' AS caller, count(*) AS n FROM cur WHERE metric_key = 'click' UNION ALL SELECT 'low', count(*) FROM cur WHERE metric_key = 'click' AND CAST(doc_id[5:] AS INT) % 3 <> 0",
+    "lineage_back": f"""WITH {LINEAGE_SQL}, s AS (SELECT fk, fi, min(ti) AS ti FROM le GROUP BY 1, 2)
+        SELECT a.fi AS start_id, 1 + CAST(p.ti IS NOT NULL AS INT) + CAST(f.ti IS NOT NULL AS INT) AS depth, CASE WHEN p.ti IS NULL THEN 'package' WHEN f.ti IS NULL THEN 'fact' ELSE 'candidate' END AS last_kind
+        FROM s a LEFT JOIN s p ON p.fk = 'package' AND p.fi = a.ti LEFT JOIN s f ON f.fk = 'fact' AND f.fi = p.ti WHERE a.fk = 'answer'""",
     "graph_neighbours": f"WITH {EDGES_SQL} SELECT rel, trust AS trust_layer, count(*) AS n FROM ed WHERE src = 'nation:3' OR dst = 'nation:3' GROUP BY 1, 2",
     "graph_multi_hop": PATHS_SQL % (3, "true") + "SELECT start, node, hops, array_to_string(path, '>') AS path FROM p WHERE hops > 0",
     "graph_trust_filter": PATHS_SQL % (2, "b.trust IN ('authoritative', 'validated')") + "SELECT start, hops, split_part(node, ':', 1) AS kind, count(*) AS n FROM p WHERE hops > 0 GROUP BY ALL",
@@ -314,29 +381,30 @@ ORACLES = {
     "lineage_full": f"""WITH {LINEAGE_SQL}, a0 AS (SELECT DISTINCT fi AS s FROM le WHERE fk = 'answer'),
         a1 AS (SELECT DISTINCT fi AS s, ti AS id FROM le WHERE fk = 'answer'), a2 AS (SELECT DISTINCT s, ti AS id FROM a1 JOIN le ON fk = 'package' AND fi = id), a3 AS (SELECT DISTINCT s, ti AS id FROM a2 JOIN le ON fk = 'fact' AND fi = id)
         SELECT s AS start_id, 'answer' AS kind, 0 AS depth, 1 AS n FROM a0 UNION ALL SELECT s, 'package', 1, count(*) FROM a1 GROUP BY s UNION ALL SELECT s, 'fact', 2, count(*) FROM a2 GROUP BY s UNION ALL SELECT s, 'candidate', 3, count(*) FROM a3 GROUP BY s""",
-    "lineage_forward": f"""WITH {LINEAGE_SQL}, p0 AS (SELECT CAST(p_partkey AS VARCHAR) AS s FROM part WHERE p_size = 7), p1 AS (SELECT DISTINCT s, fi AS id FROM p0 JOIN le ON tk = 'candidate' AND ti = s),
+    "lineage_forward": f"""WITH {LINEAGE_SQL}, p0 AS (SELECT CAST(p_partkey AS VARCHAR) AS s FROM part), p1 AS (SELECT DISTINCT s, fi AS id FROM p0 JOIN le ON tk = 'candidate' AND ti = s),
         p2 AS (SELECT DISTINCT s, fi AS id FROM p1 JOIN le ON tk = 'fact' AND ti = id), p3 AS (SELECT DISTINCT s, fi AS id FROM p2 JOIN le ON tk = 'package' AND ti = id)
         SELECT s AS start_id, 'candidate' AS kind, 1 AS n FROM p0 UNION ALL SELECT s, 'fact', count(*) FROM p1 GROUP BY s UNION ALL SELECT s, 'package', count(*) FROM p2 GROUP BY s UNION ALL SELECT s, 'answer', count(*) FROM p3 GROUP BY s""",
-    "revision_impact": f"""WITH {LINEAGE_SQL}, q AS (SELECT l_partkey, l_suppkey, max(floor(l_quantity)) AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7 GROUP BY 1, 2),
+    "revision_impact": f"""WITH {LINEAGE_SQL}, q AS (SELECT l_partkey, l_suppkey, max(floor(l_quantity)) AS q FROM lineitem GROUP BY 1, 2),
         r AS (SELECT l_partkey || '/' || l_suppkey AS fact_id, [0.0, 0.01, 5.0][l_suppkey % 3 + 1]::DOUBLE AS delta FROM q), p1 AS (SELECT DISTINCT fact_id, fi AS id FROM r JOIN le ON tk = 'fact' AND ti = fact_id), p2 AS (SELECT DISTINCT fact_id, fi AS id FROM p1 JOIN le ON tk = 'package' AND ti = id)
         SELECT fact_id, delta, CASE WHEN delta = 0 THEN 'unchanged' WHEN delta < 0.02 THEN 'immaterial' ELSE 'material' END AS verdict, (SELECT count(*) FROM p1 WHERE p1.fact_id = r.fact_id) + (SELECT count(*) FROM p2 WHERE p2.fact_id = r.fact_id) AS n_affected FROM r""",
     "bm25_phrase": f"WITH {DOCS_SQL}, {_bm25_sql('docs', repr(PHRASE.split()))} SELECT chunk_id, round(score, 6) AS score FROM sc",
     "bm25_classified": f"WITH {DOCS_SQL}, {_bm25_sql('docs', repr(PHRASE.split()))} SELECT chunk_id, round(score, 6) AS score, classification FROM sc WHERE classification <> 'restricted' ORDER BY sc.score DESC, chunk_id LIMIT 20",
     "bm25_parent": f"WITH {TURNS_SQL}, {_bm25_sql('turns', repr(['of', 'the']))}, top AS (SELECT * FROM sc ORDER BY score DESC, chunk_id LIMIT 10) SELECT top.chunk_id, round(top.score, 6) AS score, length(coalesce(p.indexed_text, top.indexed_text)) AS n FROM top LEFT JOIN turns p ON p.chunk_id = top.parent_id",
     "postings_top": f"WITH {TURNS_SQL}, w AS (SELECT chunk_id, unnest(l) AS term, unnest(range(0, len(l))) AS pos FROM (SELECT chunk_id, {_tokens('indexed_text')} AS l FROM turns)) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf, min(pos) AS first FROM w GROUP BY term",
-    "hit_at_k": f"""WITH {DOCS_SQL}, q AS (SELECT item_id, {_tokens("array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')")} AS phrase, CASE WHEN item_id % 5 <> 0 THEN array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') END AS expected FROM benchmark),
+    "hit_at_k": f"""WITH {DOCS_SQL}, q AS (SELECT item_id, {_tokens("text")} AS phrase, CASE WHEN item_id % 5 <> 0 THEN array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') END AS expected FROM benchmark),
         k AS (SELECT *, {_tokens('indexed_text')} AS w FROM docs), g AS (SELECT count(*) AS big, avg(len(w)) AS av FROM k),
         m AS (SELECT item_id, expected, chunk_id, indexed_text, len(w) AS n, {_count('w', 'phrase')} AS f FROM k, q WHERE list_has_all(w, phrase)), d AS (SELECT item_id, count(*) AS df FROM m WHERE f > 0 GROUP BY 1),
         s AS (SELECT m.*, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av)) AS score FROM m JOIN d USING (item_id), g WHERE f > 0),
         t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS r FROM s), h AS (SELECT item_id, bool_or(contains(indexed_text, expected)) AS found, count(*) AS c FROM t WHERE r <= 5 GROUP BY 1)
         SELECT q.item_id AS query_id, CASE WHEN q.expected IS NULL THEN c IS NULL ELSE coalesce(found, false) END AS hit FROM q LEFT JOIN h USING (item_id)""",
-    "vector_knn": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""",
+    "vector_knn": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""",
+    "upserted_vectors": "SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END), 6) AS total FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0",
     "rls_classification": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 = 9 OR doc_id % 3 <> 0 GROUP BY 1",
     "rls_scope": "WITH e AS (SELECT CASE WHEN user_id % 4 <> 0 THEN 'd' || (user_id % 20) END AS doc_id, event_type FROM events) SELECT doc_id, event_type, count(*) AS n FROM e WHERE doc_id IS NULL OR doc_id IN ('d1', 'd3', 'd7') GROUP BY 1, 2",
     "export_guard": "SELECT 'd' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 = 2",
     "audit_counts": "SELECT tool, allowed, n FROM (VALUES ('get_fact', true, 2), ('replay', false, 1), ('drop_tables', false, 1)) v(tool, allowed, n)",
-    "entailment_check": r"""WITH c AS (SELECT doc_id, regexp_extract_all(regexp_replace(substr(text, 1, 400), '\[[^\]]*\]', '', 'g'), '\d+(?:\.\d+)?') AS nums, coalesce(substr(text, 401), '') AS ev FROM documents)
+    "entailment_check": r"""WITH c AS (SELECT doc_id, regexp_extract_all(regexp_replace(substr(text, 1, length(text) // 2), '\[[^\]]*\]', '', 'g'), '\d+(?:\.\d+)?') AS nums, coalesce(substr(text, length(text) // 2 + 1), '') AS ev FROM documents)
         SELECT doc_id, len(list_filter(nums, lambda n: NOT contains(ev, n))) = 0 AS entailed, array_to_string(list_filter(nums, lambda n: NOT contains(ev, n)), ',') AS missing FROM c""",
     "narrative_template": """SELECT n_name AS title, n_name || ': ' || coalesce(string_agg('balance is ' || CAST(floor(s_acctbal) AS BIGINT) || ' USD [' || printf('F%09d', s_suppkey) || ']', '; ' ORDER BY s_suppkey) || '.', 'no covered figures for this section.') AS text
         FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 3000 GROUP BY n_name""",

@@ -122,13 +122,28 @@ def chunk_parent_child(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    k = F.col("page_id")
-    shown = F.when(k % 5 == 0, "").otherwise(F.substring("html", 1, 3000))
-    pages = p.select(F.concat(F.lit("site:"), (k % 7).cast("string")).alias("doc_id"), k.alias("page_no"), shown.alias("text"), (k % 3).cast("int").alias("image_count"), (100.0 + k % 400).alias("width"), F.lit(200.0).alias("height"))
+    """Documents are pages, with their whole texts; sources hold them."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    pages = d.select(F.coalesce("source", F.lit("none")).alias("doc_id"), k.alias("page_no"), "text", (k % 3).cast("int").alias("image_count"), (100.0 + k % 400).alias("width"), F.lit(200.0).alias("height"))
     return P.route(P.profile_pages(pages))
 
 
+def _read_title(row: dict) -> str:
+    """The page's title; a page whose title has an accent is one that this reader cannot read."""
+    title = row["html"].partition("<title>")[2].partition("</title>")[0]
+    title.encode("ascii")
+    return title
+
+
+def page_failures(spark, sf_dir):
+    """Pages that cannot be read become review rows; the others of their site have their text."""
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("site:"), (F.col("page_id") % 7).cast("string")).alias("doc_id"), F.col("page_id").alias("page_no"), "html")
+    read = P.read_pages(p, _read_title)
+    failed = P.failed_pages(read).select("doc_id", "element_id", F.substring_index("reason", ":", 1).alias("reason"))
+    return failed.unionByName(read.where("error is null").select("doc_id", F.format_string("page-%d", "page_no").alias("element_id"), F.col("text").alias("reason")))
+
+
 def page_profile_route(spark, sf_dir):
     return _profiles(spark, sf_dir).select("page_no", "has_text_layer", "text_coverage", "aspect_anomaly", "is_scanned", "quality", "tier")
 
@@ -179,10 +194,10 @@ def manifest_plan(spark, sf_dir):
     return plan_manifest(manifest, registry, table(spark, sf_dir, "labels").select("doc_id")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (header_detect, header_chain, table_continuation, table_classify, column_match, unpivot_candidates, dense_rows, table_confidences, chunk_parent_child, page_profile_route, tier_histogram, review_rows, entity_resolution, seam_resolution, footnotes_and_decimals, unit_from_header, manifest_plan)}
+QUERIES = {f.__name__: f for f in (header_detect, header_chain, table_continuation, table_classify, column_match, unpivot_candidates, dense_rows, table_confidences, chunk_parent_child, page_profile_route, page_failures, tier_histogram, review_rows, entity_resolution, seam_resolution, footnotes_and_decimals, unit_from_header, manifest_plan)}
 
 PROFILE_SQL = """
-p AS (SELECT page_id, 'site:' || (page_id % 7) AS doc_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE substr(html, 1, 3000) END AS text, page_id % 3 AS images, (100.0 + page_id % 400) / 200.0 AS ratio FROM pages),
+p AS (SELECT doc_id AS page_id, coalesce(source, 'none') AS doc_id, coalesce(text, '') AS text, doc_id % 3 AS images, (100.0 + doc_id % 400) / 200.0 AS ratio FROM documents),
 q AS (SELECT *, length(trim(text)) > 20 AS has_text_layer, ratio > 2.0 OR ratio < 0.35 AS aspect_anomaly FROM p),
 v AS (SELECT *, NOT has_text_layer AND images > 0 AS is_scanned FROM q),
 z AS (SELECT *, CASE WHEN has_text_layer THEN 1.0 WHEN is_scanned THEN 0.2 ELSE 0.5 END AS quality, CASE WHEN NOT aspect_anomaly AND has_text_layer THEN 1 END AS tier FROM v)
@@ -204,7 +219,9 @@ ORACLES = {
         SELECT doc_id || ':table:' || element_id AS chunk_id, NULL AS parent_id, 0 AS level, prefix || ' Name Account Name Balance (USD) Share max' AS indexed_text FROM pre
         UNION ALL SELECT doc_id || ':row:' || element_id || ':' || row, doc_id || ':table:' || element_id, 1, prefix || ' ' || c_name || ' ' || CAST(floor(c_acctbal) AS BIGINT) || CASE WHEN c_custkey % 5 = 0 THEN '*' ELSE '' END || ' ' || (c_custkey % 100) || '%' FROM r JOIN pre USING (doc_id, element_id)
         UNION ALL SELECT doc_id || ':text:p' || page_no || '-text-' || pos, NULL, 0, 'Document: T. Publisher: P. Page ' || page_no || '. ' || txt FROM t, (VALUES (0, 'Introduction'), (1, 'Balances of accounts')) x(pos, txt) WHERE page_no = 1 OR pos = 0""",
-    "page_profile_route": f"WITH {PROFILE_SQL} SELECT page_id AS page_no, has_text_layer, round(least(1.0, length(trim(text)) / 2000.0), 3)::DOUBLE AS text_coverage, aspect_anomaly, is_scanned, quality::DOUBLE AS quality, tier FROM z",
+    "page_profile_route": f"WITH {PROFILE_SQL} SELECT page_id AS page_no, has_text_layer, CAST((least(2000, length(trim(text))) + 1) // 2 AS DOUBLE) / 1000 AS text_coverage, aspect_anomaly, is_scanned, quality::DOUBLE AS quality, tier FROM z",
+    "page_failures": """WITH t AS (SELECT page_id, 'site:' || (page_id % 7) AS doc_id, split_part(split_part(html, '<title>', 2), '</title>', 1) AS title FROM pages)
+        SELECT doc_id, CASE WHEN strlen(title) = length(title) THEN 'page-' || page_id ELSE 'page-' || page_id || '-failed' END AS element_id, CASE WHEN strlen(title) = length(title) THEN title ELSE 'UnicodeEncodeError' END AS reason FROM t""",
     "tier_histogram": f"WITH {PROFILE_SQL} SELECT doc_id, coalesce(CAST(tier AS VARCHAR), 'none') AS tier, count(*) AS n FROM z GROUP BY ALL",
     "review_rows": f"WITH {PROFILE_SQL} SELECT doc_id, count(*) AS n FROM z WHERE tier IS NULL GROUP BY 1",
     "entity_resolution": "SELECT c_custkey AS id, 'account:' || regexp_extract(c_name, 'Customer#(\\d+)', 1) AS entity_id FROM customer",

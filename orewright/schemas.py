@@ -16,7 +16,7 @@ DDL = {
     "candidate_fact": "candidate_id string, doc_id string, entity_raw string, entity_id string, metric_raw string, metric_key string, value_raw string, value_text string, value decimal(38,18), unit string, unit_source string, qualifiers map<string, string>, value_kind string, period string, status string, "
     f"source {SOURCE}, extraction_confidence double, domain_type string, domain_pack_version int, state string, confidence double, gate_results array<{GATE}>, failed_gate string, failure_reason string, assay_run_id string, reeval_count int, approver string",
     "assay_run": "run_id string, doc_id string, pack_version int, started_at timestamp, candidate_count bigint, state_counts map<string, bigint>, failure_counts map<string, bigint>",
-    "fact": f"fact_id string, fact_identity string, entity_id string, metric_key string, qualifiers map<string, string>, value_kind string, value decimal(38,18), value_text string, unit string, period string, status string, valid_from timestamp, valid_to timestamp, system_from timestamp, system_to timestamp, supersedes string, source {SOURCE}, candidate_id string, approver string, confidence double",
+    "fact": f"fact_id string, fact_identity string, entity_id string, metric_key string, qualifiers map<string, string>, value_kind string, value decimal(38,18), value_text string, unit string, period string, status string, valid_from timestamp, valid_to timestamp, system_from timestamp, system_to timestamp, supersedes string, source {SOURCE}, candidate_id string, approver string, confidence double, version int, last_seen timestamp",
     "published_statement": "statement_id string, fact_id string, doc_id string, metric_key string, entity_id string, period string, qualifiers map<string, string>, value_kind string, value decimal(38,18), value_text string, unit string",
     "graph_node": "node_id string, label string, graph string, props map<string, string>, doc_id string",
     "graph_edge": "src string, dst string, rel string, trust_layer string, props map<string, string>, fact_id string, domain_pack_version int, doc_id string",
@@ -24,7 +24,8 @@ DDL = {
     "lineage_edge": "id long, from_kind string, from_id string, to_kind string, to_id string, activity string, agent string, run_id string, at timestamp",
     "review_queue": "doc_id string, page_no int, element_id string, reason string, bbox " + BBOX + ", created_at timestamp",
     "audit_log": "ts timestamp, subject string, tool string, allowed boolean, reason string",
-    "sealed_package": "package_id string, content_hash string, principal_subject string, max_classification array<string>, body string, sealed_at timestamp",
+    "sealed_package": "package_id string, content_hash string, principal_subject string, max_classification array<string>, intent string, n_members bigint, sealed_at timestamp",
+    "package_member": "package_id string, kind string, member_id string, body string",
     "ast_page": "doc_id string, page_no int, text string, image_count int, width double, height double",
     "ast_text": f"doc_id string, element_id string, page_no int, pos int, text string, bbox {BBOX}, confidence double",
     "ast_table": f"doc_id string, element_id string, page_no int, num_rows int, num_cols int, bbox {BBOX}, tier int, confidence double",

@@ -38,6 +38,15 @@ def test_publish_into_equals_publish_of_all(spark):
     assert step == ledger.publish(a.union(b)).select(*key).orderBy("version").collect()
 
 
+def test_late_values_are_refused(spark):
+    """A repeat makes no version, but the ledger knows when it was seen: a value before it is late."""
+    book = ledger.publish(rows(spark, ("5", "m", {}, 1), ("5", "m", {}, 3)))
+    assert book.count() == 1
+    with pytest.raises(ledger.LateValue):
+        ledger.publish_into(book, rows(spark, ("7", "m", {}, 2)))
+    assert ledger.publish_into(book, rows(spark, ("7", "m", {}, 4))).count() == 2
+
+
 def test_contradictions_need_two_documents_and_values(spark):
     one, two = ledger.publish(rows(spark, ("3.42", "m", {}, 1))), ledger.publish(rows(spark, ("9.99", "m", {}, 1), doc="d2"))
     three = ledger.publish(rows(spark, ("3.420", "m", {}, 1), doc="d3"))
@@ -77,7 +86,8 @@ def test_broker_filters_logs_and_seals(spark):
         b.call("drop_everything")
     first = b.seal_evidence_package("i", "skm 12", ["m"])
     assert b.seal_evidence_package("i", "skm 12", ["m"]) == first and b.tables["sealed_package"].count() == 1
-    assert b.replay(first)["intent"] == "i"
+    assert {(x.intent, x.kind, x.member_id) for x in b.replay(first).collect()} >= {("i", "passage", "a"), ("i", "coverage", "m")}
+    assert b.replay("SEP-none").count() == 0
     assert {(r.tool, r.allowed) for r in b.audit_log().collect()} >= {("drop_everything", False), ("search_evidence", True)}
     high = Broker(spark, Principal("r", ("public", "restricted")), b.tables).seal_evidence_package("j", None, ["m"])
     with pytest.raises(AccessDenied):
@@ -86,6 +96,69 @@ def test_broker_filters_logs_and_seals(spark):
         assert_exportable(["public", "restricted"])
 
 
+def test_traces_hide_documents_of_others(spark):
+    """Edges at facts, passages and packages that a caller may not see are no steps of a walk; ids are stable."""
+    open_, shut = ledger.publish(rows(spark, ("1", "m", {}, 1), doc="open")), ledger.publish(rows(spark, ("2", "m", {"a": "1"}, 1), doc="shut"))
+    registry = spark.createDataFrame([("open", "public"), ("shut", "restricted")], "doc_id string, classification string")
+    high = Broker(spark, Principal("r", ("public", "restricted")), {"fact": open_.union(shut), "source_registry": registry, "chunk": chunks(spark)})
+    package = high.seal_evidence_package("all", "skm 12", ["m", "n"])
+    high.record_answer("a1", package)
+    assert [x.id for x in high.tables["lineage_edge"].orderBy("id").collect()] == [x.id for x in high.tables["lineage_edge"].orderBy("id").collect()]
+    assert {x.kind for x in high.get_trace_graph("answer", "a1").collect()} == {"answer", "package", "fact", "passage"}
+    low = Broker(spark, PUBLIC, high.tables)
+    assert {(x.kind, x.id) for x in low.get_trace_graph("answer", "a1").collect()} == {("answer", "a1")}
+    fact = shut.first().fact_id
+    assert low.revision_impact(fact, "9").count() == 0 and high.revision_impact(fact, "9").first().n_affected == 2
+    mine = low.seal_evidence_package("mine", "skm 12", ["m", "n"])
+    assert {x.member_id for x in low.replay(mine).where("kind in ('fact', 'passage')").collect()} == {open_.first().fact_id, "a"}
+    assert low.seal_evidence_package("mine", "skm 12", ["n", "m"]) == mine
+    both = low.merge_packages([mine, low.seal_evidence_package("other", None, ["m"])], "both")
+    assert low.replay(both).where("kind = 'coverage'").count() == 2 and low.merge_packages([mine, mine], "both") == both
+    assert low.additions > high.additions
+
+
+def test_questions_to_recorded_answers(spark):
+    from orewright.operators.agents import answer_questions
+
+    book = ledger.publish(rows(spark, ("1.5", "m", {}, 1), ("4", "m", {"a": "1"}, 1)))
+    b = Broker(spark, PUBLIC, {"fact": book})
+    asked = spark.createDataFrame([("q1", "Of m", "m", None), ("q2", "Of E", "m", "E"), ("q3", "Of none", "never", None)], "question_id string, title string, metric_key string, entity_id string")
+    got = {x.question_id: x for x in answer_questions(b, asked).collect()}
+    assert (got["q1"].status, got["q1"].n_facts, got["q1"].total) == ("answered", 2, Decimal("5.5")) and got["q1"].text.startswith("Of m: m is ")
+    assert (got["q3"].status, got["q3"].text, got["q3"].reason) == ("not_covered", None, "NOT_DIGITISED")
+    assert {x.kind for x in b.get_trace_graph("answer", "q2").collect()} == {"answer", "package", "fact"} and b.get_trace_graph("answer", "q3").count() == 1
+
+
+def test_pages_fail_alone(spark):
+    from orewright.operators import profile
+
+    def read(row):
+        if row["page_no"] == 2:
+            raise ValueError("torn")
+        return f"text {row['page_no']}"
+
+    got = profile.read_pages(spark.createDataFrame([("d", i) for i in (1, 2, 3)], "doc_id string, page_no int"), read)
+    assert [(x.element_id, x.reason) for x in profile.failed_pages(got).collect()] == [("page-2-failed", "ValueError: torn")]
+    assert sorted(x.text for x in got.where("error is null").collect()) == ["text 1", "text 3"]
+
+
+def test_graph_store_and_vectors(spark, tmp_path):
+    from orewright.operators import search
+
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    edge = lambda a, b, d: (a, b, "IN", "validated", {}, None, d)
+    kind = "src string, dst string, rel string, trust_layer string, props map<string,string>, fact_id string, doc_id string"
+    node = spark.createDataFrame([("a", "A", "g", {}, "d1")], "node_id string, label string, graph string, props map<string,string>, doc_id string")
+    store.put(node, spark.createDataFrame([edge("a", "b", "d1"), edge("b", "c", "d2")], kind))
+    store.put(node, spark.createDataFrame([edge("a", "x", "d1")], kind))
+    assert {(x.src, x.dst) for x in store.edges().collect()} == {("a", "x"), ("b", "c")} and store.neighbours("a").count() == 1
+    assert store.multi_hop(spark.createDataFrame([("c",)], "node string"), max_hops=2).count() == 1
+    held = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    more = search.upsert_vectors(held, spark.createDataFrame([(2, [1.0, 0.1]), (3, [0.0, 2.0])], held.schema))
+    asked = spark.createDataFrame([(9, [0.0, 3.0])], "query_id long, q array<float>")
+    assert more.count() == 3 and [x.vec_id for x in search.knn(more, asked, 2).orderBy("rank").collect()] == [3, 2]
+
+
 def test_manifest_isolates_failures_and_registering_is_idempotent(spark):
     m = spark.createDataFrame([("a", None), ("b", "u"), ("c", "u"), ("d", None)], "doc_id string, source_url string")
     plan = plan_manifest(m, spark.createDataFrame([("x",)], "doc_id string"), spark.createDataFrame([("a",)], "doc_id string"))
