@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import attach, components, cut
 from .words import SECOND_BASE, mix, pieces_of, spans, window_hashes, window_starts, word_hashes, words_of
 
 SHINGLE = 3
@@ -184,6 +184,13 @@ MIN_SHARED = 3
 #: Shingle hashes that a block of an exact comparison holds.
 BLOCK_HASHES = 1 << 20
 PIECE_BYTES = 1 << 20
+#: Kinds of lists: whole ones, blocks of long ones with their hub, and entries that ask with a block of entries.
+COLD, BLOCK, MEET = 0, 1, 2
+NO_KEY = -1
+#: One of so many choices of positions comes first.
+EARLY = 16
+#: Rows of a block of an exact comparison.
+EXACT_BLOCK = 512
 _OFFSETS = np.array([i * SECOND_BASE % (1 << 64) for i in range(WORDS64)], np.uint64)
 
 
@@ -220,7 +227,14 @@ def max_distance(similarity: float) -> int:
 def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that connect the representatives whose fingerprints differ in no more bits than `max_distance`;
     found where three positional bytes agree, under any of 384 choices of positions. more: other keys (rep, key) of
-    sets too small for the fingerprints' averages; under these, twice as far above the average is near."""
+    sets too small for the fingerprints' averages; under these, twice as far above the average is near.
+
+    A few of the choices come first, and their links' components are known groups; under the other choices only lists of
+    more than one group are looked at, and only for links between groups. So a group of many near copies, which meets
+    under every choice, is linked once and not 384 times. A list of more than `hot` entries is cut into blocks, and its
+    hub (the entry that stands in most lists) joins each: what is near the hub is linked there. The others of a block are
+    linked among themselves and then meet every entry of the list, block against block.
+    """
     size = 8 * WORDS64
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,54 +252,98 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: D
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             inner = batch["entries"].flatten()
-            reps = inner.field("rep").to_numpy()
+            rep, degree, grp, asks = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "degree", "grp", "asks"))
             fp = np.frombuffer(b"".join(inner.field("fp").to_pylist()), np.uint64).reshape(-1, WORDS64)
             few, length = batch["key"].to_numpy() >= FEW_KEY, pc.list_value_length(batch["entries"]).to_numpy()
-            end = np.cumsum(length)
+            kind, end = batch["kind"].to_numpy(), np.cumsum(length)
             # Most lists are pairs: these are decided at once.
-            pair = length == 2
+            pair = (length == 2) & (kind == COLD)
             one, two = end[pair] - 2, end[pair] - 1
             differ = fp[one] ^ fp[two]
             near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= np.where(few[pair], FEW_BITS, most)
             near &= few[pair] | ((differ.view(np.uint8) == 0).sum(axis=1) >= MIN_SHARED)
-            u, v = [reps[one[near]]], [reps[two[near]]]
+            u, v, key = [np.minimum(rep[one[near]], rep[two[near]])], [np.maximum(rep[one[near]], rep[two[near]])], [np.full(near.sum(), NO_KEY)]
             for k in np.flatnonzero(~pair):
                 part = slice(end[k] - length[k], end[k])
-                found = wide_forest(reps[part], fp[part], *((FEW_BITS, 0) if few[k] else (most, MIN_SHARED)))
-                u.append(np.array([x[0] for x in found], np.int64))
-                v.append(np.array([x[1] for x in found], np.int64))
-            yield pa.record_batch({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
+                order = np.lexsort((rep[part], -degree[part]))
+                bounds = (FEW_BITS, 0) if few[k] else (most, MIN_SHARED)
+                found, rest = wide_forest(rep[part][order], fp[part][order], *bounds, grp[part][order], asks[part][order] if kind[k] == MEET else None)
+                u += [np.array([x[0] for x in found], np.int64), np.array(rest if kind[k] == BLOCK else [], np.int64)]
+                v += [np.array([x[1] for x in found], np.int64), u[-1]]
+                key += [np.full(len(found), NO_KEY), np.full(len(u[-1]), batch["key"][int(k)].as_py())]
+            yield pa.record_batch({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64()), "key": pa.array(np.concatenate(key), pa.int64())})
+
+    def linked(rows: DataFrame, kind: int, *by: str) -> DataFrame:
+        entry = F.struct("rep", "fp", "degree", "grp", "asks")
+        lists = rows.groupBy("key", *by).agg(F.collect_list(entry).alias("entries")).where(F.size("entries") > 1)
+        return lists.select("key", "entries", F.lit(kind).alias("kind")).mapInArrow(link, "u long, v long, key long")
+
+    def links_of(rows: DataFrame) -> DataFrame:
+        """Links of the lists of some keys; rows: key, count, rep, fp, degree, grp, asks."""
+        cold = linked(rows.where(F.col("count") <= hot), COLD).select("u", "v")
+        long = cut(rows.where(F.col("count") > hot).withColumn("blocks", F.ceil(F.col("count") / hot).cast("int")))
+        if long.isEmpty():
+            return cold
+        hub = F.max_by(F.struct("rep", "fp", "degree", "grp"), F.struct("degree", -F.col("rep")))
+        hubs = cut(long.groupBy("key", "blocks").agg(hub.alias("hub")))
+        block = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int").alias("block")
+        columns = ["key", "rep", "fp", "degree", "grp", "asks"]
+        own = attach(long, hubs.select("key", F.col("hub.rep").alias("hub")), ["key"], "rep", 64).where("rep <> hub").select(*columns, block)
+        each = hubs.select("key", "hub.*", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        found = cut(linked(own.unionByName(each), BLOCK, "block"))
+        # What is not near its hub meets every entry of its list.
+        rest = found.where(F.col("key") != NO_KEY).select("key", F.col("u").alias("rep")).distinct()
+        parts = cut(rest.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")))
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+        asked = attach(long.drop("asks").join(rest, ["key", "rep"]), parts, ["key"], "rep", 64)
+        asking = asked.select("key", "rep", "fp", "degree", "grp", F.lit(True).alias("asks"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), every("blocks", "block"))
+        held = attach(long, parts, ["key"], "rep", 64).select("key", "rep", "fp", "degree", "grp", F.lit(False).alias("asks"), every("parts", "part"), block)
+        met = linked(asking.unionByName(held), MEET, "part", "block")
+        return cold.unionByName(found.where(F.col("key") == NO_KEY).select("u", "v")).unionByName(met.select("u", "v")).where("u <> v")
 
     keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long")
     if more is not None:
         keyed = keyed.unionByName(more)
-    keyed = keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
-    # A long list is cut into blocks, and each two blocks of a list meet in a task of their own.
-    blocks = F.ceil(F.col("count") / hot).cast("int")
-    block = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int").alias("block")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
-    meets = F.explode(F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    shared = keyed.select("rep", "key", blocks.alias("blocks"), block).join(entries.select("rep", "fp"), "rep")
-    lists = shared.select("rep", "fp", "key", meets.alias("meet")).groupBy("key", "meet").agg(F.collect_list(F.struct("rep", "fp")).alias("entries"))
-    lists = lists.where(F.size("entries") > 1)
-    return lists.select("key", "entries").mapInArrow(link, "u long, v long").distinct()
-
-
-def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int, min_bytes: int) -> list[tuple[int, int]]:
-    """Links that connect the fingerprints of one list that share `min_bytes` positional bytes and differ in `most` bits at most."""
-    links, left = [], np.argsort(rep, kind="stable")  # stars at the least entry: lists of one group then agree on most links
+    shared = cut(keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"))
+    known = cut(shared.groupBy("rep").agg(F.count("*").alias("degree")).join(entries.select("rep", "fp"), "rep"))
+    early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
+    columns = ["key", "count", "rep", "fp", "degree"]
+    first = cut(links_of(shared.where(early).join(known, "rep").select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
+    groups = cut(components(first).select(F.col("node").alias("rep"), F.col("component").alias("grp")))
+    known = cut(known.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
+    spread = shared.where(~early).join(known.select("rep", "grp"), "rep")
+    mixed = cut(spread.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("key"))
+    open_ = attach(shared.where(~early), mixed, ["key"], "rep", 32)
+    late = links_of(open_.join(known, "rep").select(*columns, "grp", F.lit(True).alias("asks")))
+    return first.unionByName(late).distinct()
+
+
+def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int, min_bytes: int, grp: np.ndarray, asks: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that connect the groups of one list of which some fingerprints share `min_bytes` positional bytes and differ
+    in `most` bits at most, as stars around the first of each component; and the entries that are neither near the list's
+    first nor of its group. With `asks`, only pairs of which one asks are looked at."""
+    links, rest, left = [], [], np.arange(len(rep))
     while len(left):
-        root, frontier, left = int(rep[left[0]]), [left[0]], left[1:]
+        first, frontier, left = left[0], [left[0]], left[1:]
+        joined = {int(grp[first])}
         while frontier and len(left):
             node = frontier.pop()
             differ = fp[left] ^ fp[node]
             near = (differ.view(np.uint8) == 0).sum(axis=1) >= min_bytes
             near &= np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most
+            if asks is not None:
+                near &= asks[left] | asks[node]
+            near |= grp[left] == grp[node]
             reached = left[near]
-            links += [(root, int(rep[x])) for x in reached]
+            for x in reached.tolist():
+                if int(grp[x]) not in joined:
+                    joined.add(int(grp[x]))
+                    links.append((int(rep[first]), int(rep[x])))
             frontier += reached.tolist()
             left = left[~near]
-    return links
+            if node == 0:
+                rest = rep[left].tolist()
+    return links, rest
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -296,7 +354,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def exact_links(sets: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+def exact_links(sets: DataFrame, similarity: float, hot: int = EXACT_BLOCK) -> DataFrame:
     """Links (u, v) that connect what the pairs of one group with a Jaccard value of `similarity` connect.
 
     sets: grp (the least node of the group), node, set (sorted hashes, as bytes) and n. A group is first compared with
@@ -400,7 +458,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     same = F.col("a.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("a.text_md5").eqNullSafe(F.col("k.text_md5"))
     texts = keyed.alias("k").join(asked.alias("a"), same).select("grp", "node", "n", "text")
     sets = cut(texts.mapInArrow(read, "grp long, node long, n long, set binary").dropDuplicates(["node"]))
-    linked = components(exact_links(sets, similarity, hot))
+    linked = components(exact_links(sets, similarity, min(hot, EXACT_BLOCK)))
     groups = entries.join(linked, entries.rep == linked.node, "left").select("digest", "least", F.coalesce("component", "rep").alias("component"))
     firsts = groups.groupBy("component").agg(F.min("least").alias("least"))
     return made.join(groups.select("digest", "component"), "digest").join(firsts, "component").select("doc_id", "text_md5", "least")
