@@ -78,16 +78,46 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
 
 
+#: Links that one task contracts before the rounds of `components` begin.
+CONTRACTED = 500_000
+
+
+def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What some links connect, as links from each node to the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        # The component of a label's own node sinks too, so that whole components move at once.
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if (label == before).all():
+            break
+    away = label != np.arange(len(nodes))
+    return nodes[away], nodes[label[away]]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node of `edges` (u, v; longs): node, component.
 
-    Each round takes the least label among a node's neighbours and then follows labels twice, so the distance
-    that a label travels more than doubles per round. All state stays in DataFrames; the driver reads one count
-    per round. A node with very many neighbours is pre-aggregated by the minimum before the shuffle.
+    Shares of the links, of bounded size, are first contracted to stars where they are. Then each round takes the least
+    label among a node's neighbours and follows labels twice, so the distance that a label travels more than doubles per
+    round. All state stays in DataFrames; the driver reads one count per round. A node with very many neighbours is
+    pre-aggregated by the minimum before the shuffle.
     """
-    both = cut(
-        edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u != v").distinct()
-    )
+
+    def contract(batches):
+        parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+        if parts:
+            u, v = spanning_stars(*map(np.concatenate, zip(*parts)))
+            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
+
+    held = cut(edges.where("u <> v").select("u", "v"))
+    shares = max(4, -(-held.count() // CONTRACTED))
+    stars = held.repartition(shares).mapInArrow(contract, "u long, v long")
+    both = cut(stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
     for _ in range(max_rounds):
         seen = labels.select(F.col("node").alias("v"), F.col("component").alias("least"))
@@ -95,7 +125,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowered = labels.join(near, "node").select("node", "component", F.least("component", "least").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
         moved = cut(lowered.join(up, "low").select("node", F.least("low", "jump").alias("next"), "component"))
-        changed = moved.where("next != component").limit(1).count()
+        changed = not moved.where("next != component").isEmpty()
         labels = moved.select("node", F.col("next").alias("component"))
         if not changed:
             return labels

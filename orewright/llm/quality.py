@@ -156,15 +156,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[
             stats = np.array([statistics(t) for t in texts]).reshape(-1, 7)
             code = votes(stats).astype(np.int64) @ 3 ** np.arange(len(LABELLERS))
             x = [features(t, s, buckets).tobytes() for t, s in zip(texts, stats)]
-            yield pa.record_batch({"x": pa.array(x, pa.binary()), "pattern": pa.array(code, pa.int64())})
+            yield pa.record_batch({"h": batch["h"], "x": pa.array(x, pa.binary()), "pattern": pa.array(code, pa.int64())})
 
     # At most `sample` different (doc_id, text), the least by hash; rows alike in both are one.
     keyed = docs.select(F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"), "text")
     some = keyed.select("h").distinct().orderBy("h").limit(sample)
-    chosen = keyed.join(F.broadcast(some), "h").dropDuplicates(["h"]).select("text")
-    learned = sorted((r.x, r.pattern) for r in chosen.mapInArrow(learn, "x binary, pattern long").collect())
-    x = np.array([np.frombuffer(r[0], np.float32) for r in learned]).reshape(-1, buckets)
-    w, bias = train(x, np.array([target[r[1]] for r in learned]))
+    chosen = keyed.join(F.broadcast(some), "h").dropDuplicates(["h"])
+    learned = chosen.mapInArrow(learn, "h long, x binary, pattern long").toArrow().sort_by("h").combine_chunks()
+    blob = learned["x"].combine_chunks().buffers()[2] if len(learned) else b""
+    x = np.frombuffer(blob, np.float32, len(learned) * buckets).reshape(-1, buckets)
+    w, bias = train(x, np.array([target[p] for p in learned["pattern"].to_pylist()]))
     return w, bias, {name: float(a) for (name, *_), a in zip(LABELLERS, accuracy)}
 
 

@@ -309,7 +309,7 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: D
     early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
     columns = ["key", "count", "rep", "fp", "degree"]
     first = cut(links_of(shared.where(early).join(known, "rep").select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
-    groups = cut(components(first).select(F.col("node").alias("rep"), F.col("component").alias("grp")))
+    groups = components(first).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     known = cut(known.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
     spread = shared.where(~early).join(known.select("rep", "grp"), "rep")
     mixed = cut(spread.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("key"))
