@@ -104,8 +104,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Shares of the links, of bounded size, are first contracted to stars where they are. Then each round takes the least
     label among a node's neighbours and follows labels twice, so the distance that a label travels more than doubles per
-    round. All state stays in DataFrames; the driver reads one count per round. A node with very many neighbours is
-    pre-aggregated by the minimum before the shuffle.
+    round. All state stays in DataFrames; the driver reads one count per round, and no side is broadcast through it. A node
+    with very many neighbours is pre-aggregated by the minimum before the shuffle.
     """
 
     def contract(batches):
@@ -121,10 +121,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
     for _ in range(max_rounds):
         seen = labels.select(F.col("node").alias("v"), F.col("component").alias("least"))
-        near = both.join(seen, "v").groupBy(F.col("u").alias("node")).agg(F.min("least").alias("least"))
-        lowered = labels.join(near, "node").select("node", "component", F.least("component", "least").alias("low"))
+        near = both.join(seen.hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("least").alias("least"))
+        lowered = labels.join(near.hint("merge"), "node").select("node", "component", F.least("component", "least").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        moved = cut(lowered.join(up, "low").select("node", F.least("low", "jump").alias("next"), "component"))
+        moved = cut(lowered.join(up.hint("merge"), "low").select("node", F.least("low", "jump").alias("next"), "component"))
         changed = not moved.where("next != component").isEmpty()
         labels = moved.select("node", F.col("next").alias("component"))
         if not changed:

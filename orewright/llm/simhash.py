@@ -151,7 +151,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     made = cut(fingerprints(docs, shingle))
     entries = cut(made.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")))
     linked = components(near_links(entries, max_bits, hot))
-    groups = entries.join(linked, entries.rep == linked.node, "left").select(
+    groups = entries.join(linked.hint("merge"), entries.rep == linked.node, "left").select(
         "fp", F.nullif(F.coalesce("component", "rep"), F.lit(NO_ID)).alias("component_id")
     )
     return made.join(groups, "fp").select(
@@ -295,7 +295,7 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: D
         rest = found.where(F.col("key") != NO_KEY).select("key", F.col("u").alias("rep")).distinct()
         parts = cut(rest.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")))
         every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-        asked = attach(long.drop("asks").join(rest, ["key", "rep"]), parts, ["key"], "rep", 64)
+        asked = attach(long.drop("asks").join(rest.hint("merge"), ["key", "rep"]), parts, ["key"], "rep", 64)
         asking = asked.select("key", "rep", "fp", "degree", "grp", F.lit(True).alias("asks"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), every("blocks", "block"))
         held = attach(long, parts, ["key"], "rep", 64).select("key", "rep", "fp", "degree", "grp", F.lit(False).alias("asks"), every("parts", "part"), block)
         met = linked(asking.unionByName(held), MEET, "part", "block")
@@ -305,16 +305,16 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: D
     if more is not None:
         keyed = keyed.unionByName(more)
     shared = cut(keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"))
-    known = cut(shared.groupBy("rep").agg(F.count("*").alias("degree")).join(entries.select("rep", "fp"), "rep"))
+    known = cut(shared.groupBy("rep").agg(F.count("*").alias("degree")).join(entries.select("rep", "fp").hint("merge"), "rep"))
     early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
     columns = ["key", "count", "rep", "fp", "degree"]
-    first = cut(links_of(shared.where(early).join(known, "rep").select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
+    first = cut(links_of(shared.where(early).join(known.hint("merge"), "rep").select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
     groups = components(first).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    known = cut(known.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
-    spread = shared.where(~early).join(known.select("rep", "grp"), "rep")
+    known = cut(known.join(groups.hint("merge"), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
+    spread = shared.where(~early).join(known.select("rep", "grp").hint("merge"), "rep")
     mixed = cut(spread.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("key"))
     open_ = attach(shared.where(~early), mixed, ["key"], "rep", 32)
-    late = links_of(open_.join(known, "rep").select(*columns, "grp", F.lit(True).alias("asks")))
+    late = links_of(open_.join(known.hint("merge"), "rep").select(*columns, "grp", F.lit(True).alias("asks")))
     return first.unionByName(late).distinct()
 
 
@@ -383,14 +383,14 @@ def exact_links(sets: DataFrame, similarity: float, hot: int = EXACT_BLOCK) -> D
         return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
     parts = cut(blocks(sets, "parts"))
-    hubs = sets.where("node = grp").join(parts, "grp").select("grp", F.col("set").alias("hub"), every("parts").alias("part"))
-    shared = sets.where("node != grp").join(parts, "grp").select("grp", "node", "set", part("parts").alias("part"))
-    star = cut(shared.join(hubs, ["grp", "part"]).select("grp", "node", "set", "hub").mapInArrow(compare, "grp long, node long, ok boolean"))
-    rest = sets.join(star.where("not ok").select("node"), "node", "left_semi")
-    todo = cut(blocks(rest, "rests").join(parts, "grp"))
+    hubs = sets.where("node = grp").join(parts.hint("merge"), "grp").select("grp", F.col("set").alias("hub"), every("parts").alias("part"))
+    shared = sets.where("node != grp").join(parts.hint("merge"), "grp").select("grp", "node", "set", part("parts").alias("part"))
+    star = cut(shared.join(hubs.hint("merge"), ["grp", "part"]).select("grp", "node", "set", "hub").mapInArrow(compare, "grp long, node long, ok boolean"))
+    rest = sets.join(star.where("not ok").select("node").hint("merge"), "node", "left_semi")
+    todo = cut(blocks(rest, "rests").join(parts.hint("merge"), "grp"))
     known = star.where("ok").select("node", F.lit(True).alias("known"))
-    asking = rest.join(todo, "grp").select("grp", "node", "set", F.lit(False).alias("known"), F.lit(True).alias("asks"), part("rests").alias("i"), every("parts").alias("j"))
-    held = sets.join(todo, "grp").join(known, "node", "left").select("grp", "node", "set", F.coalesce("known", F.col("node") == F.col("grp")).alias("known"), F.lit(False).alias("asks"), every("rests").alias("i"), part("parts").alias("j"))
+    asking = rest.join(todo.hint("merge"), "grp").select("grp", "node", "set", F.lit(False).alias("known"), F.lit(True).alias("asks"), part("rests").alias("i"), every("parts").alias("j"))
+    held = sets.join(todo.hint("merge"), "grp").join(known.hint("merge"), "node", "left").select("grp", "node", "set", F.coalesce("known", F.col("node") == F.col("grp")).alias("known"), F.lit(False).alias("asks"), every("rests").alias("i"), part("parts").alias("j"))
     found = asking.unionByName(held).groupBy("grp", "i", "j").applyInArrow(cross, "u long, v long")
     return star.where("ok").select(F.col("grp").alias("u"), F.col("node").alias("v")).unionByName(found)
 
@@ -454,14 +454,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     entries = cut(entries.withColumn("rep", F.monotonically_increasing_id()))
     few = entries.select("rep", F.explode("few").alias("key"))
     loose = cut(components(similar_links(entries, similarity, hot, few)).select("node", F.col("component").alias("grp")))
-    asked = loose.join(entries, F.col("rep") == F.col("node")).select("grp", "node", "n", "least.doc_id", "least.text_md5")
+    asked = loose.join(entries.hint("merge"), F.col("rep") == F.col("node")).select("grp", "node", "n", "least.doc_id", "least.text_md5")
     same = F.col("a.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("a.text_md5").eqNullSafe(F.col("k.text_md5"))
-    texts = keyed.alias("k").join(asked.alias("a"), same).select("grp", "node", "n", "text")
+    texts = keyed.alias("k").join(asked.alias("a").hint("merge"), same).select("grp", "node", "n", "text")
     sets = cut(texts.mapInArrow(read, "grp long, node long, n long, set binary").dropDuplicates(["node"]))
     linked = components(exact_links(sets, similarity, min(hot, EXACT_BLOCK)))
-    groups = entries.join(linked, entries.rep == linked.node, "left").select("digest", "least", F.coalesce("component", "rep").alias("component"))
+    groups = entries.join(linked.hint("merge"), entries.rep == linked.node, "left").select("digest", "least", F.coalesce("component", "rep").alias("component"))
     firsts = groups.groupBy("component").agg(F.min("least").alias("least"))
-    return made.join(groups.select("digest", "component"), "digest").join(firsts, "component").select("doc_id", "text_md5", "least")
+    return made.join(groups.select("digest", "component").hint("merge"), "digest").join(firsts.hint("merge"), "component").select("doc_id", "text_md5", "least")
 
 
 def similar_dedup(docs: DataFrame, **how) -> DataFrame:
