@@ -99,6 +99,19 @@ def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[away], nodes[label[away]]
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (u, v) that connect what `edges` connect: each share of them becomes stars around the smallest nodes."""
+
+    def contract(batches):
+        parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+        if parts:
+            u, v = spanning_stars(*map(np.concatenate, zip(*parts)))
+            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
+
+    held = cut(edges.where("u <> v").select("u", "v"))
+    return held.repartition(max(4, -(-held.count() // CONTRACTED))).mapInArrow(contract, "u long, v long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node of `edges` (u, v; longs): node, component.
 
@@ -108,15 +121,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with very many neighbours is pre-aggregated by the minimum before the shuffle.
     """
 
-    def contract(batches):
-        parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
-        if parts:
-            u, v = spanning_stars(*map(np.concatenate, zip(*parts)))
-            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
-
-    held = cut(edges.where("u <> v").select("u", "v"))
-    shares = max(4, -(-held.count() // CONTRACTED))
-    stars = held.repartition(shares).mapInArrow(contract, "u long, v long")
+    stars = contracted(edges)
     both = cut(stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
     for _ in range(max_rounds):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut
+from .common import attach, components, contracted, cut
 from .words import SECOND_BASE, mix, pieces_of, spans, window_hashes, window_starts, word_hashes, words_of
 
 SHINGLE = 3
@@ -181,6 +181,8 @@ FEW_BITS = 160
 FEW_KEY = 1 << 62
 #: Positional bytes that a pair of one list shares at least.
 MIN_SHARED = 3
+#: Entries of a list, or of a block of a longer one, that one task compares.
+LIST = 8192
 #: Shingle hashes that a block of an exact comparison holds.
 BLOCK_HASHES = 1 << 20
 PIECE_BYTES = 1 << 20
@@ -224,12 +226,12 @@ def max_distance(similarity: float) -> int:
     return int(512 * share + 4 * math.sqrt(512 * share * (1 - share)))
 
 
-def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
+def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that connect the representatives whose fingerprints differ in no more bits than `max_distance`;
     found where three positional bytes agree, under any of 384 choices of positions. more: other keys (rep, key) of
     sets too small for the fingerprints' averages; under these, twice as far above the average is near.
 
-    A few of the choices come first, and their links' components are known groups; under the other choices only lists of
+    A few of the choices come first, and what shares of their links connect are known groups; under the other choices only lists of
     more than one group are looked at, and only for links between groups. So a group of many near copies, which meets
     under every choice, is linked once and not 384 times. A list of more than `hot` entries is cut into blocks, and its
     hub (the entry that stands in most lists) joins each: what is near the hub is linked there. The others of a block are
@@ -309,7 +311,8 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = HOT, more: D
     early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
     columns = ["key", "count", "rep", "fp", "degree"]
     first = cut(links_of(shared.where(early).join(known.hint("merge"), "rep").select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
-    groups = components(first).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    # Groups need not be whole, as links between groups are looked for anyway.
+    groups = contracted(first).groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("grp"))
     known = cut(known.join(groups.hint("merge"), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
     spread = shared.where(~early).join(known.select("rep", "grp").hint("merge"), "rep")
     mixed = cut(spread.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("key"))
@@ -419,7 +422,7 @@ def cross_links(t: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR, hot: int = LIST) -> DataFrame:
     """doc_id, text_md5 and `least`, the doc_id (nulls last) and text_md5 of the first document of its component: documents
     linked by a Jaccard value of their sets of shingle hashes of `similarity` or more.
 
