@@ -99,29 +99,35 @@ def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[away], nodes[label[away]]
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Links (u, v) that connect what `edges` connect: each share of them becomes stars around the smallest nodes."""
+def _contract(batches):
+    parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+    if parts:
+        u, v = spanning_stars(*map(np.concatenate, zip(*parts)))
+        yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
-    def contract(batches):
-        parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
-        if parts:
-            u, v = spanning_stars(*map(np.concatenate, zip(*parts)))
-            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (u, v) that connect what `edges` connect: each share of them becomes stars around the smallest nodes."""
     held = cut(edges.where("u <> v").select("u", "v"))
-    return held.repartition(max(4, -(-held.count() // CONTRACTED))).mapInArrow(contract, "u long, v long")
+    return held.repartition(max(4, -(-held.count() // CONTRACTED))).mapInArrow(_contract, "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node of `edges` (u, v; longs): node, component.
 
-    Shares of the links, of bounded size, are first contracted to stars where they are. Then each round takes the least
+    Shares of the links, of at most `CONTRACTED`, are contracted to stars where they are; if all links are one such share,
+    that is the result. Else each round takes the least
     label among a node's neighbours and follows labels twice, so the distance that a label travels more than doubles per
     round. All state stays in DataFrames; the driver reads one count per round, and no side is broadcast through it. A node
     with very many neighbours is pre-aggregated by the minimum before the shuffle.
     """
 
-    stars = contracted(edges)
+    held = cut(edges.where("u <> v").select("u", "v"))
+    shares = -(-held.count() // CONTRACTED)
+    if shares <= 1:
+        stars = cut(held.coalesce(1).mapInArrow(_contract, "u long, v long"))
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars = held.repartition(shares).mapInArrow(_contract, "u long, v long")
     both = cut(stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
     for _ in range(max_rounds):
