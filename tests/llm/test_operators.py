@@ -117,6 +117,20 @@ def test_exact_links_of_a_long_group(spark):
     assert {(x.node, x.component) for x in components(simhash.exact_links(sets, 0.8, hot=4)).collect()} == {(i, 0) for i in range(40)}
 
 
+def test_components_in_shares_and_at_once(spark, monkeypatch):
+    """Chains, stars and single links, contracted in one share or in many and then in rounds."""
+    from orewright.llm import common
+
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(9)] + [(300, 301), (301, 300), (400, 400)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(3)
+    want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(9)} | {300: 300, 301: 300}
+    for size in (500, 7):
+        monkeypatch.setattr(common, "CONTRACTED", size)
+        got = common.components(df).collect()
+        assert {x.node: x.component for x in got} == want and len(got) == len(want)
+    assert common.components(df.limit(0)).count() == 0
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
