@@ -26,8 +26,9 @@ from .common import cut
 MAX_LEN = 2048
 BUCKETS = 16
 BUDGET = 32768
+#: Pieces and tokens of a share at most, about, so that a (bucket, share) is a task of some 30 MB.
 SHARE_ROWS = 50_000
-
+SHARE_TOKENS = 4_000_000
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN,
     histogram = sorted((r.n_tokens, r["count"]) for r in counted.groupBy("n_tokens").count().collect())  # at most `max_len` rows
     lengths, counts = np.array(histogram, np.int64).reshape(-1, 2).T
     ends = boundaries(lengths, counts, buckets) or [max_len]
-    shares = max(1, -(-int(counts.sum()) // SHARE_ROWS))
+    shares = max(1, -(-int(counts.sum()) // SHARE_ROWS), -(-int(lengths @ counts) // SHARE_TOKENS))
     bucket = F.lit(len(ends) - 1)
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
