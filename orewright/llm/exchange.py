@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pack, unpack
@@ -36,9 +36,14 @@ def slice_bits(chunks: int) -> int:
     return min(MAX_SLICE_BITS, max(0, (chunks - 1).bit_length()))
 
 
+def chunk_of(chunks: int) -> Column:
+    """A row's chunk, by a hash of id and text, so equal texts, one source's rows, and rows of one id or of none spread out."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
+
+
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """doc_id, text and the chunk; rows are dealt by a hash, so equal texts and one source's rows spread out."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    """doc_id, text and the chunk."""
+    return docs.select("doc_id", "text", chunk_of(chunks))
 
 
 def sorted_chunk(rows: pa.Table) -> pa.Table:

@@ -10,7 +10,8 @@ A symbol's probability depends only on itself and the `ORDER` bytes before it, s
 (context, symbol) strings. Chunks of documents send their distinct strings with counts; the counts are added up per
 string; the trie's statistics are worked out per context, grouped by its last two bytes (all longer contexts of a
 string are in its group; shorter ones come from a table of at most 65,536 byte pairs); and each chunk gets one
-log-probability back for each string it sent. Words and their counts, for the base score, travel the same way. What is
+log-probability back for each string it sent. The strings after a frequent pair of bytes (`HOT_PAIR`) are dealt by the
+byte before the pair too, and get the pair's own counts of symbols along; such a group has 2**24 strings at most. Words and their counts, for the base score, travel the same way. What is
 gathered so grows with the corpus; nothing of it passes through the driver but the table of byte pairs.
 
 Words are counted under 63 bits of hash.
@@ -38,6 +39,9 @@ from .words import WINDOW_BASE, mix, pieces_of, spans
 ORDER = 5
 END = 0x0A
 WORDS, STRINGS = 0, 1
+#: Bytes of training texts that follow a pair beyond which the pair's strings are split by one more byte of context.
+HOT_PAIR = 1 << 24
+SPLIT = 1 << 24
 
 
 @dataclass
@@ -79,9 +83,10 @@ def strings_of(stream: Stream, order: int) -> np.ndarray:
     return out
 
 
-def log_probabilities(strings: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+def log_probabilities(strings: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, after: np.ndarray | None = None) -> np.ndarray:
     """log10 P(symbol | context) for each string (distinct, ascending), given the counts of all strings that have the
-    same last two context bytes, and the counts of all byte pairs."""
+    same last two context bytes, and the counts of all byte pairs. after: how often each byte follows these two; then the
+    strings are all that have the same last three context bytes."""
     shift, mask = np.uint64(8), lambda k: np.uint64((1 << 8 * (k + 1)) - 1)
     sym = (strings & np.uint64(255)).astype(np.int64)
     prev = (strings >> shift & np.uint64(255)).astype(np.int64)
@@ -93,7 +98,10 @@ def log_probabilities(strings: np.ndarray, counts: np.ndarray, pairs: np.ndarray
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
         seen = held > 0
         total, distinct = np.bincount(group, held, len(start)), np.bincount(group, seen, len(start))
-        if k > 2:
+        if k == 3 and after is not None:
+            lower, back, below = (codes[0] & mask(2)) >> shift << shift | np.arange(256, dtype=np.uint64), (codes & np.uint64(255)).astype(np.int64), after
+            down = below[back]
+        elif k > 2:
             lower, back = np.unique(codes & mask(k - 1), return_inverse=True)
             below = np.bincount(back, held, len(lower)).astype(np.int64)
             down = below[back]
@@ -201,21 +209,23 @@ def _from_gaps(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-SUMS = "slice int, pair int, string long, n long"
+SUMS = "slice int, grp int, string long, n long"
 
 
-def add_strings(rows: pa.Table) -> pa.Table:
-    """The distinct strings of one slice with their training counts."""
+def add_strings(rows: pa.Table, hot: np.ndarray) -> pa.Table:
+    """The distinct strings of one slice with their training counts and their group: the last two bytes of the context,
+    or the last three after the pairs that are `hot`."""
     keys = np.concatenate([_from_gaps(x) for x in rows["keys"].to_pylist()])
     n = np.concatenate([unpack(x, np.int64) for x in rows["a"].to_pylist()])
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     first = X.unique_sorted(ranked)
     strings = ranked[first]
+    pair, third = ((strings >> np.uint64(s) & np.uint64(m)).astype(np.int64) for s, m in ((8, 0xFFFF), (24, 0xFF)))
     return pa.table(
         {
             "slice": pa.array(np.full(len(first), rows["slice"][0].as_py()), pa.int32()),
-            "pair": pa.array((strings >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int32)),
+            "grp": pa.array(np.where(hot[pair], SPLIT | third << 16 | pair, pair).astype(np.int32)),
             "string": pa.array(strings.astype(np.int64)),
             "n": pa.array(np.add.reduceat(n[order], first)),
         }
@@ -225,10 +235,15 @@ def add_strings(rows: pa.Table) -> pa.Table:
 MODEL = "slice int, string long, lp double"
 
 
-def model(rows: pa.Table, pairs: np.ndarray, depth: int) -> pa.Table:
-    """Log-probabilities of all strings whose context ends in one pair of bytes."""
-    rows = rows.sort_by("string")
-    lp = log_probabilities(rows["string"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), pairs, depth)
+def model(rows: pa.Table, pairs: np.ndarray, depth: int, symbols: pa.Table | None = None) -> pa.Table:
+    """Log-probabilities of all strings of one group; symbols: the counts of what follows the pair of a split group."""
+    if not len(rows):
+        return pa.table({"slice": pa.array([], pa.int32()), "string": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
+    rows, after = rows.sort_by("string"), None
+    if symbols is not None and len(symbols):
+        after = np.zeros(256, np.int64)
+        after[symbols["symbol"].to_numpy()] = symbols["n"].to_numpy()
+    lp = log_probabilities(rows["string"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), pairs, depth, after)
     return pa.table({"slice": rows["slice"], "string": rows["string"], "lp": pa.array(lp)})
 
 
@@ -276,17 +291,28 @@ def scored(rows: pa.Table, replies: pa.Table, bits: int, depth: int) -> pa.Table
     )
 
 
-def ppm_scores(docs: DataFrame, depth: int = ORDER, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def probabilities(sums: DataFrame, pairs: np.ndarray, depth: int, split: bool) -> DataFrame:
+    """The model: one log-probability for each string of `sums`."""
+    if not split:
+        return sums.groupBy("grp").applyInArrow(lambda t: model(t, pairs, depth), MODEL)
+    hot = sums.where(F.col("grp") >= SPLIT).select(F.col("grp").bitwiseAND(0xFFFF).alias("pair"), F.col("string").bitwiseAND(255).cast("int").alias("symbol"), "n")
+    symbols = hot.groupBy("pair", "symbol").agg(F.sum("n").alias("n"))
+    every = symbols.select("symbol", "n", "pair", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("third"))
+    told = every.select(F.shiftleft("third", 16).bitwiseOR(F.col("pair")).bitwiseOR(F.lit(SPLIT)).alias("grp"), "symbol", "n")
+    return sums.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(lambda t, s: model(t, pairs, depth, s), MODEL)
+
+
+def ppm_scores(docs: DataFrame, depth: int = ORDER, chunk_bytes: int = X.CHUNK_BYTES, hot_pair: int = HOT_PAIR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each text."""
     if not 2 <= depth <= 6:
         raise ValueError("contexts have two to six bytes, so that a string fits 63 bits with a mark")
     chunks = X.chunk_count(X.text_size(docs), chunk_bytes)
     bits = X.slice_bits(chunks)
     pairs = byte_pairs(docs)
-    dealt = docs.select("doc_id", "text", learns().alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    hot = pairs.ravel() > hot_pair if depth > 2 else np.zeros(1 << 16, bool)
+    dealt = docs.select("doc_id", "text", learns().alias("train"), X.chunk_of(chunks))
     words = dealt.groupBy("chunk").applyInArrow(lambda t: ask_words(t, bits), X.ASK).groupBy("slice").applyInArrow(lambda t: add_words(t, chunks), X.REPLY)
     asked = dealt.groupBy("chunk").applyInArrow(lambda t: ask_strings(t, bits, depth), X.ASK)
-    sums = asked.groupBy("slice").applyInArrow(add_strings, SUMS)
-    probabilities = sums.groupBy("pair").applyInArrow(lambda t: model(t, pairs, depth), MODEL)
-    strings = asked.groupBy("slice").cogroup(probabilities.groupBy("slice")).applyInArrow(tell_strings, X.REPLY)
+    sums = asked.groupBy("slice").applyInArrow(lambda t: add_strings(t, hot), SUMS)
+    strings = asked.groupBy("slice").cogroup(probabilities(sums, pairs, depth, bool(hot.any())).groupBy("slice")).applyInArrow(tell_strings, X.REPLY)
     return dealt.groupBy("chunk").cogroup(words.unionByName(strings).groupBy("chunk")).applyInArrow(lambda t, r: scored(t, r, bits, depth), RESULT)

@@ -340,9 +340,19 @@ def test_ppm_score_against_plain_contexts(spark):
     """Repeated texts, nulls, long texts, and training texts in several chunks."""
     docs = DOCUMENTS[:-1] + [(900 + i, "abra cadabra ab" + "ra" * i) for i in range(9)] + [(950, "w " * 300)]
     for order in (2, 4):
-        got = {x.doc_id: x.score for x in ppm.ppm_scores(frame(spark, docs), depth=order, chunk_bytes=2000).collect()}
         want = brute.ppm(docs, order)
-        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5, abs=1e-5) for i in want)
+        for hot_pair in (ppm.HOT_PAIR, 60, -1):  # no, some and all pairs of bytes split by the byte before them
+            got = {x.doc_id: x.score for x in ppm.ppm_scores(frame(spark, docs), depth=order, chunk_bytes=2000, hot_pair=hot_pair).collect()}
+            assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5, abs=1e-5) for i in want)
+
+
+def test_rows_of_one_id_spread_over_chunks(spark):
+    """Rows without an id, or of one id, are in several chunks and give what they give in one."""
+    docs = [(None, f"{PASSAGE} {i}") for i in range(12)] + [(7, f"{PASSAGE} {i}") for i in range(12)] + [(1, "lead " + PASSAGE)]
+    one, many = ({(x.doc_id, x.n_removed, x.kept_sha256) for x in substring.substring_dedup(frame(spark, docs), chunk_bytes=n).collect()} for n in (1 << 20, 900))
+    assert one == many and {x[1] for x in one if x[0] == 7} == {60}
+    one, many = ({(x.doc_id, round(x.score, 3), x.n_known) for x in ppm.ppm_scores(frame(spark, docs), depth=3, chunk_bytes=n).collect()} for n in (1 << 20, 900))
+    assert one == many
 
 
 def vectors(spark):
