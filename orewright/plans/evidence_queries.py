@@ -323,7 +323,7 @@ WITH RECURSIVE {EDGES_SQL}, p AS (SELECT 'region:' || r_regionkey AS start, 'reg
 """
 GRAPH_SQL = """
 reg AS (SELECT 's' || s_suppkey AS doc_id, CASE WHEN s_suppkey % 3 <> 0 THEN 'n' || s_nationkey END AS coalfield FROM supplier),
-ca AS (SELECT 's' || l_suppkey AS doc_id, 'seam:p' || l_partkey AS seam, CASE WHEN l_returnflag = 'A' THEN 'ff' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey END AS fact_id, l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'N')),
+ca AS (SELECT 's' || l_suppkey AS doc_id, 'seam:p' || l_partkey AS seam, CASE WHEN l_returnflag = 'A' THEN 'f' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey END AS fact_id, l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'N')),
 bo AS (SELECT *, unnest(['b' || (l_orderkey % 50), 'b' || (l_orderkey % 7)]) AS bore FROM ca),
 ge AS (SELECT 'document:' || doc_id AS src, 'block:' || doc_id AS dst, 'DESCRIBES' AS rel, 'authoritative' AS trust_layer, NULL AS fact_id, doc_id FROM reg
        UNION ALL SELECT 'block:' || doc_id, 'coalfield:' || coalfield, 'IN_COALFIELD', 'authoritative', NULL, doc_id FROM reg WHERE coalfield IS NOT NULL
@@ -331,7 +331,6 @@ ge AS (SELECT 'document:' || doc_id AS src, 'block:' || doc_id AS dst, 'DESCRIBE
        UNION ALL SELECT DISTINCT 'borehole:' || bore, seam, 'INTERSECTS', 'validated', fact_id, doc_id FROM bo
        UNION ALL SELECT DISTINCT 'document:' || doc_id, 'fact:' || fact_id, 'SUPPORTS', 'authoritative', NULL, doc_id FROM ca WHERE fact_id IS NOT NULL)
 """
-GRAPH_SQL = GRAPH_SQL.replace("'ff' ||", "'f' ||")
 
 
 def _tokens(text: str) -> str:
