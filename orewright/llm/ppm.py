@@ -40,7 +40,7 @@ ORDER = 5
 END = 0x0A
 WORDS, STRINGS = 0, 1
 #: Bytes of training texts that follow a pair beyond which the pair's strings are split by one more byte of context.
-HOT_PAIR = 1 << 24
+HOT_PAIR = 1 << 26
 SPLIT = 1 << 24
 
 
