@@ -15,6 +15,8 @@ from .lines import REPORT_SQL, line_report
 from .packing import pack
 from .ppm import ppm_scores
 from .quality import quality_scores
+from .resample import RESAMPLE_SQL, importance_ranks
+from .secrets import secret_report, secrets_sql
 from .simhash import simhash_groups
 from .substring import substring_dedup
 from .topk import top_k
@@ -70,6 +72,15 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 TOP_K_SQL = """
 WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -110,6 +121,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_secret_scan": op12_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op10_exact_top_k": TOP_K_SQL, "op9_line_dedup": REPORT_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_near_dedup": NEAR_SQL}
+ORACLES: dict[str, str] = {"op10_exact_top_k": TOP_K_SQL, "op9_line_dedup": REPORT_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_near_dedup": NEAR_SQL, "op11_importance_resampling": RESAMPLE_SQL, "op12_secret_scan": secrets_sql()}
