@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
+from .centroids import centroid_clusters, lloyd_sql
 from .common import table
 from .embeddings import near_duplicates
 from .html import extract
@@ -81,6 +82,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 TOP_K_SQL = """
 WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -123,6 +128,15 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_secret_scan": op12_secret_scan,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op10_exact_top_k": TOP_K_SQL, "op9_line_dedup": REPORT_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_near_dedup": NEAR_SQL, "op11_importance_resampling": RESAMPLE_SQL, "op12_secret_scan": secrets_sql()}
+ORACLES: dict[str, str] = {
+    "op10_exact_top_k": TOP_K_SQL,
+    "op9_line_dedup": REPORT_SQL,
+    "op4_substring_dedup": SUBSTRING_SQL,
+    "op6_embedding_near_dedup": NEAR_SQL,
+    "op11_importance_resampling": RESAMPLE_SQL,
+    "op12_secret_scan": secrets_sql(),
+    "op13_centroid_clustering": lloyd_sql(),
+}

@@ -205,7 +205,7 @@ def secrets_sql() -> str:
     digits = " || ".join(f"substr('{ALPHABET.decode()}', CAST(crc // {62**k} % 62 AS INT) + 1, 1)" for k in range(5, -1, -1))
     return f"""
 WITH {CRC_SQL}, d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-f AS ({_spans_sql(0, 'assign', assign)} UNION ALL {_spans_sql(1, 'access', "'AKIA[A-Z0-9]{12,}'")} UNION ALL {_spans_sql(2, 'hex', "'[0-9a-f]{32,}'", '')}
+f AS ({_spans_sql(0, 'assign', assign)} UNION ALL {_spans_sql(1, 'access', "'AKIA[A-Z0-9]{12,}'")} UNION ALL {_spans_sql(2, 'hex', "'[0-9a-f]{32,}'")}
       UNION ALL {_spans_sql(3, 'code', "'gh[pousr]_[A-Za-z0-9]+'")} UNION ALL {_spans_sql(4, 'registry', "'npm_[A-Za-z0-9]+'")}),
 long AS (SELECT * FROM f WHERE CASE ord WHEN 0 THEN {value} WHEN 1 THEN true WHEN 2 THEN true ELSE length(s) = 40 END),
 ok AS (SELECT *, kind || ':' || a || ':' || (a + length(s)) AS t FROM (SELECT *, CASE WHEN ord > 2 THEN {crc_sql('substr(s, 5, 30)')} END AS crc FROM long, crc_table) WHERE ord <= 2 OR {digits} = substr(s, 35, 6))
