@@ -161,23 +161,24 @@ def _limbs(total: list[int]) -> list[list[int]]:
         total = [v >> LIMB for v in total]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_ids and x of up to `BLOCK` vectors a row; those of great components stand in rows of their own, as doubles."""
-    for batch in batches:
-        x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        big = np.abs(x).max(axis=1, initial=0) * SCALE >= room(x.shape[1]) - 1
-        ids, blobs, kinds = [], [], []
-        for wide in (False, True):
-            rows = np.flatnonzero(big == wide)
-            for i in range(0, len(rows), BLOCK):
-                part = rows[i : i + BLOCK]
-                ids.append(batch["vec_id"].take(pa.array(part)).to_pylist())
-                v = x[part] if wide else whole(x[part])
-                if not wide:
-                    v = v.astype(np.int16 if np.abs(v).max(initial=0) < 2**15 else np.int32)
-                blobs.append(pack(np.ascontiguousarray(v).ravel()))
-                kinds.append(v.dtype.str)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(kinds, pa.string())], names=["vec_ids", "x", "kind"])
+def _blocks(size: int):
+    """vec_ids and x of up to `size` vectors a row; those of great components stand in rows of their own, as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            big = np.abs(x).max(axis=1, initial=0) * SCALE >= room(x.shape[1]) - 1
+            for wide in (False, True):
+                rows = np.flatnonzero(big == wide)
+                for i in range(0, len(rows), size):
+                    part = rows[i : i + size]
+                    v = x[part] if wide else whole(x[part])
+                    if not wide:
+                        v = v.astype(np.int16 if np.abs(v).max(initial=0) < 2**15 else np.int32)
+                    ids = batch["vec_id"].take(pa.array(part)).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([pack(np.ascontiguousarray(v).ravel())], pa.binary()), pa.array([v.dtype.str])], names=["vec_ids", "x", "kind"])
+
+    return run
 
 
 def _vectors(blob: bytes, kind: str, dim: int) -> np.ndarray:
@@ -265,7 +266,7 @@ def lloyd(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dim: int = DIM,
     if not centroids:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long"), []
     folder, name = shared_folder(spark), f"vector_blocks_{uuid.uuid4().hex}"
-    blocks = rows.mapInArrow(_blocks, "vec_ids array<bigint>, x binary, kind string").withColumn("block", F.monotonically_increasing_id())
+    blocks = rows.mapInArrow(_blocks(BLOCK), "vec_ids array<bigint>, x binary, kind string").withColumn("block", F.monotonically_increasing_id())
     packed = stored(blocks)  # so that a block's number and its vectors are settled
     buckets = min(max(-(-packed.agg(F.sum(F.size("vec_ids"))).first()[0] // BUCKET), 2 * spark.sparkContext.defaultParallelism), BUCKETS)
     packed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", f"{folder}/{name}").saveAsTable(name)

@@ -38,10 +38,14 @@ def words(text: Column) -> Column:
 
 def runs(w: Column, lo: int, hi: int) -> Column:
     """All runs of lo to hi consecutive words of an array, joined by one space."""
-    if (lo, hi) == (1, 1):
-        return w
-    each = [F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in range(lo, hi + 1)]
-    return F.concat(*[F.when(F.size(w) >= n, e).otherwise(F.array().cast("array<string>")) for n, e in zip(range(lo, hi + 1), each)])
+    made, longer = [], w
+    for n in range(1, hi + 1):
+        if n > 1:  # each run of n - 1 words with the word after it: whole arrays are shifted once, not cut per run
+            shifted = F.slice(w, F.lit(n), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+            longer = F.zip_with(F.slice(longer, F.lit(1), F.size(shifted)), shifted, lambda a, b: F.concat_ws(" ", a, b))
+        if n >= lo:
+            made.append(longer)
+    return F.concat(*made)
 
 
 def bucket(run: Column, buckets: int) -> Column:

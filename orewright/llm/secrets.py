@@ -134,10 +134,11 @@ def _per_text(df: DataFrame, name: str, ddl: str, make: Callable[[pa.Array], pa.
     """`df` with one more column made from `text`; batches are cut into pieces of bounded size."""
     rest = df.drop(name)
     schema = widened(rest.drop("text").schema if drop_text else rest.schema, **{name: ddl})
+    size = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch["text"], PIECE):
+            for part in pieces_of(batch["text"], size):
                 piece = batch.slice(part.start, part.stop - part.start)
                 columns = [c for n, c in zip(piece.schema.names, piece.columns) if not drop_text or n != "text"]
                 yield pa.RecordBatch.from_arrays([*columns, make(piece["text"])], names=schema.names)
