@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_map, short_hash
+from .bitemporal import sweep
 
 
 def fact_identity() -> Column:
@@ -25,7 +26,7 @@ def publish(observed: DataFrame) -> DataFrame:
     same = F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag(unit).over(w).eqNullSafe(unit)
     seen = identified.withColumns({"__same": same, "__before": F.lag("observed_at").over(w), "__end": F.max("observed_at").over(Window.partitionBy("fact_identity"))})
     changed = seen.where("not __same").drop("__same")
-    made = changed.withColumn("fact_id", short_hash(F.concat_ws("|", "fact_identity", F.col("observed_at").cast("string"), "candidate_id"), 12, "fact_"))
+    made = changed.withColumn("fact_id", short_hash(F.concat_ws("|", "fact_identity", F.unix_micros(F.col("observed_at").cast("timestamp")).cast("string"), "candidate_id"), 12, "fact_"))
     return made.select(
         "*", F.col("observed_at").alias("valid_from"), F.lead("observed_at").over(w).alias("valid_to"),
         F.col("observed_at").alias("system_from"), F.lead("observed_at").over(w).alias("system_to"),
@@ -48,7 +49,9 @@ def publish_into(ledger: DataFrame, observed: DataFrame) -> DataFrame:
     if not late.isEmpty():
         raise LateValue(f"values before the last observation, such as of {late.first().fact_identity}")
     rest = [c for c in ledger.columns if c not in ("fact_id", "fact_identity", "valid_from", "valid_to", "system_from", "system_to", "supersedes", "version", "last_seen")]
-    again = old.select(*rest, F.col("system_from").alias("observed_at")).unionByName(observed.select(*rest, "observed_at"))
+    # An old version stands for two observations, its first and its last, so that its `last_seen` stays.
+    ends = F.explode(F.array_distinct(F.array("system_from", "last_seen"))).alias("observed_at")
+    again = old.select(*rest, ends).unionByName(observed.select(*rest, "observed_at"))
     return ledger.join(first, "fact_identity", "left_anti").select(*ledger.columns).unionByName(publish(again).select(*ledger.columns))
 
 
@@ -68,14 +71,9 @@ def as_of(ledger: DataFrame, at, **filters) -> DataFrame:
 
 
 def as_of_each(ledger: DataFrame, times: DataFrame) -> DataFrame:
-    """The ledger as of each time in `times` (at). Both sides meet by month, so that the range condition is checked only
-    against the times of months in which a version was valid."""
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    last = times.agg(F.max("at").alias("last_at"))  # one row
-    spans = ledger.crossJoin(F.broadcast(last)).where("system_from <= last_at").withColumn("until", F.least(F.coalesce("system_to", "last_at"), "last_at"))
-    spread = spans.withColumn("month", F.explode(F.sequence(month("system_from"), F.greatest(month("system_from"), month("until"))))).drop("until", "last_at")
-    met = spread.join(times.withColumn("month", month("at")), "month").where("system_from <= at and (system_to is null or system_to > at)")
-    return met.drop("month")
+    """The ledger as of each time in `times` (at): a version finds the times that it covers by its two ends, among all of
+    them in order. Only what is asked becomes a row, however long versions last."""
+    return sweep(ledger, times)
 
 
 def history(ledger: DataFrame, identity: str) -> DataFrame:
@@ -128,18 +126,31 @@ def statements(ledger: DataFrame) -> DataFrame:
     )
 
 
-def contradictions(published: DataFrame, strict_text: bool = False) -> DataFrame:
-    """Groups of statements on one fact by more than one document with more than one value, and their members.
-    Values are compared as decimals with their units and kinds; `strict_text` compares their text alone."""
-    # First the groups, by least and greatest, which meet in part before the shuffle; members of those groups only.
-    extra = [] if strict_text else ["value_kind", "unit"]
+def _torn(published: DataFrame, strict_text: bool) -> tuple[DataFrame, DataFrame, list[str], str]:
+    """Statements with the key of their group, and the groups of more than one document and value: by least and greatest,
+    which meet in part before the shuffle. A null entity or period is no fact in common."""
     value = "value_text" if strict_text else "value"
-    keys = ["metric_key", "entity_id", "period", "qualifier_key", *extra]
-    rows = published.withColumn("qualifier_key", canonical_map(F.col("qualifiers")))
+    keys = ["metric_key", "entity_id", "period", "qualifier_key", *([] if strict_text else ["value_kind", "unit"])]
+    rows = published.where("entity_id is not null").withColumn("qualifier_key", canonical_map(F.col("qualifiers")))
     ends = rows.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in ("doc_id", value) for n, f in (("lo", F.min), ("hi", F.max))])
-    torn = ends.where(F.col("__lo_doc_id") != F.col("__hi_doc_id")).where(F.col(f"__lo_{value}") != F.col(f"__hi_{value}")).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    torn = ends.where(F.col("__lo_doc_id") != F.col("__hi_doc_id")).where(F.col(f"__lo_{value}") != F.col(f"__hi_{value}"))
+    return rows, torn.select(*[F.col(k).alias(f"__{k}") for k in keys]), keys, value
+
+
+def contradiction_members(published: DataFrame, strict_text: bool = False) -> DataFrame:
+    """The statements of contradictory groups, one row each, with their group's keys."""
+    rows, torn, keys, _ = _torn(published, strict_text)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    held = rows.join(torn, same, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doc_id", "fact_id", "value_text", F.col(value).alias("v")))).alias("m"))
-    different = lambda f: F.size(F.array_distinct(F.filter(F.transform("m", f), lambda x: x.isNotNull()))).cast("long")
-    members = F.transform("m", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["fact_id"].alias("fact_id"), x["value_text"].alias("value_text")))
-    return held.select(*keys, different(lambda x: x["doc_id"]).alias("n_docs"), different(lambda x: x["v"]).alias("n_values"), members.alias("members"))
+    return rows.join(torn, same, "left_semi")
+
+
+def contradictions(published: DataFrame, strict_text: bool = False) -> DataFrame:
+    """Groups of statements on one fact by more than one document with more than one value, and how many documents, values and
+    statements they have. Values are compared as decimals with their units and kinds; `strict_text` compares their text alone."""
+    _, _, keys, value = _torn(published, strict_text)
+    members = contradiction_members(published, strict_text)
+    # Distinct documents and values by one row each, so that no group is gathered anywhere.
+    each = members.select(*keys, F.explode(F.array(F.struct(F.lit("doc").alias("what"), F.col("doc_id").alias("x")), F.struct(F.lit("value").alias("what"), F.col(value).cast("string").alias("x")))).alias("e")).select(*keys, "e.*")
+    once = each.groupBy(*keys, "what", "x").agg(F.count("*").alias("n"))
+    told = lambda what: F.count_if((F.col("what") == what) & F.col("x").isNotNull())
+    return once.groupBy(*keys).agg(told("doc").alias("n_docs"), told("value").alias("n_values"), F.sum(F.when(F.col("what") == "doc", F.col("n"))).alias("n_members"))

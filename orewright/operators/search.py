@@ -82,32 +82,28 @@ def bm25(chunks: DataFrame, query: str, text: str = "indexed_text", key: str = "
     return found.select(*chunks.columns, score.alias("score"))
 
 
-#: So many different words of questions go to every executor as one array; beyond them, words meet texts by a join.
+#: The questions go to every executor while they have so many different words at most; beyond, they meet the texts by a shuffle.
 ASKED_WORDS = 100_000
 
 
 def bm25_many(chunks: DataFrame, queries: DataFrame, text: str = "indexed_text", key: str = "chunk_id") -> DataFrame:
     """query_id, chunk_id, score for many queries (query_id, query) at once: chunks meet the queries through the
-    query's rarest term, so no chunk is compared with a query whose terms it lacks. Only the questions' own terms leave
-    the texts: while these are few, a text is intersected with them where it lies and moves no further."""
-    words = chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words")).withColumn("len", F.size("words"))
+    query's rarest term, so no chunk is compared with a query whose terms it lacks. Texts are cut into words once, and only the
+    questions' own terms leave them."""
+    words = cut(chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("words")).withColumn("len", F.size("words")))
     corpus = words.agg(F.count("*").alias("big"), F.avg("len").alias("avg"))
     asked = cut(queries.select("query_id", tokens(F.col("query")).alias("phrase")).where(F.size("phrase") > 0))
     wanted = cut(asked.select(F.explode("phrase").alias("term")).distinct())
-    few = wanted.count() <= ASKED_WORDS
+    small = (lambda df: F.broadcast(df)) if wanted.count() <= ASKED_WORDS else (lambda df: df)
+    held = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("term"))
 
-    def terms_of(own: DataFrame, *columns: str) -> DataFrame:
-        if few:
-            one = own.agg(F.collect_set("term").alias("own"))  # one row of at most ASKED_WORDS words
-            return words.crossJoin(F.broadcast(one)).select(*columns, F.explode(F.array_intersect("words", "own")).alias("term"))
-        every = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("term")).join(own, "term", "left_semi")
-        return every.join(words, "chunk_id").select(*columns, "term")
-
-    df = terms_of(wanted, "chunk_id").groupBy("term").agg(F.count("*").alias("df"))
+    df = held.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = asked.withColumn("term", F.explode(F.array_distinct("phrase"))).join(df, "term").groupBy("query_id", "phrase").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("known"))
     rare = cut(rare.where(F.col("known") == F.size(F.array_distinct("phrase"))).drop("known"))
-    held = terms_of(rare.select("term").distinct(), "chunk_id", "words", "len")
-    met = held.join(F.broadcast(rare) if few else rare, "term").withColumn("f", phrase_count(F.col("words"), F.col("phrase")).cast("double")).where("f > 0")
+    # Which chunks hold a question's rarest word: ids alone; then their words, once for each such question.
+    pairs = held.join(small(rare.select("term", "query_id")), "term").select("chunk_id", "query_id")
+    met = words.join(pairs, "chunk_id").join(small(rare.select("query_id", "phrase")), "query_id")
+    met = met.withColumn("f", phrase_count(F.col("words"), F.col("phrase")).cast("double")).where("f > 0")
     met = cut(met.select("query_id", "chunk_id", "len", "f"))
     n = met.groupBy("query_id").agg(F.count("*").alias("n"))
     scored = met.join(n, "query_id").crossJoin(F.broadcast(corpus))  # one row

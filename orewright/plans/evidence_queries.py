@@ -351,7 +351,7 @@ sc AS (SELECT m.*, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 /
 
 DOCS_SQL = "docs AS (SELECT 'd' || doc_id AS chunk_id, text AS indexed_text, ['restricted', 'internal', 'public'][doc_id % 3 + 1] AS classification FROM documents)"
 TURNS_SQL = "turns AS (SELECT DISTINCT ON (conv_id, turn) 'c:' || conv_id || ':' || turn AS chunk_id, CASE WHEN turn > 0 THEN 'c:' || conv_id || ':0' END AS parent_id, text AS indexed_text FROM conversations)"
-CURRENT_SQL = f"""{EVENTS_SQL}, cur AS (SELECT led.*, 'fact_' || substr(sha256(fact_identity || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || '|' || printf('%019d', event_id)), 1, 12) AS fact_id,
+CURRENT_SQL = f"""{EVENTS_SQL}, cur AS (SELECT led.*, 'fact_' || substr(sha256(fact_identity || '|' || epoch_us(ts) || '|' || printf('%019d', event_id)), 1, 12) AS fact_id,
     'doc:' || (event_id % 7) AS doc_id FROM led JOIN e ON e.ts = led.system_from AND e.entity_id = led.entity_id AND e.metric_key = led.metric_key WHERE system_to IS NULL)"""
 SEALED_SQL = "SELECT '%s' AS intent, %s AS kind, count(*) AS n, min(id) AS least_id FROM %s"
 ORACLES = {
@@ -366,9 +366,10 @@ ORACLES = {
         SELECT q.entity_id || '/' || q.metric_key AS question_id, CASE WHEN n > 0 THEN 'answered' ELSE 'not_covered' END AS status, CASE WHEN n.n IS NULL THEN 'NOT_DIGITISED' END AS reason, coalesce(n, 0) AS n_facts, total, CASE WHEN n > 0 THEN least(n, 20) END AS n_figures, n.n IS NOT NULL AS recorded
         FROM q LEFT JOIN n USING (entity_id, metric_key)""",
     "trace_visible": f"WITH {CURRENT_SQL} SELECT 'high' AS caller, count(*) AS n FROM cur WHERE metric_key = 'click' UNION ALL SELECT 'low', count(*) FROM cur WHERE metric_key = 'click' AND CAST(doc_id[5:] AS INT) % 3 <> 0",
-    "lineage_back": f"""WITH {LINEAGE_SQL}, s AS (SELECT fk, fi, min(ti) AS ti FROM le GROUP BY 1, 2)
+    "lineage_back": f"""WITH {LINEAGE_SQL}, a AS MATERIALIZED (SELECT fi, min(ti) AS ti FROM le WHERE fk = 'answer' GROUP BY 1),
+        p AS MATERIALIZED (SELECT fi, min(ti) AS ti FROM le WHERE fk = 'package' GROUP BY 1), f AS MATERIALIZED (SELECT fi, min(ti) AS ti FROM le WHERE fk = 'fact' GROUP BY 1)
         SELECT a.fi AS start_id, 1 + CAST(p.ti IS NOT NULL AS INT) + CAST(f.ti IS NOT NULL AS INT) AS depth, CASE WHEN p.ti IS NULL THEN 'package' WHEN f.ti IS NULL THEN 'fact' ELSE 'candidate' END AS last_kind
-        FROM s a LEFT JOIN s p ON p.fk = 'package' AND p.fi = a.ti LEFT JOIN s f ON f.fk = 'fact' AND f.fi = p.ti WHERE a.fk = 'answer'""",
+        FROM a LEFT JOIN p ON p.fi = a.ti LEFT JOIN f ON f.fi = p.ti""",
     "graph_neighbours": f"WITH {EDGES_SQL} SELECT rel, trust AS trust_layer, count(*) AS n FROM ed WHERE src = 'nation:3' OR dst = 'nation:3' GROUP BY 1, 2",
     "graph_multi_hop": PATHS_SQL % (3, "true") + "SELECT start, node, hops, array_to_string(path, '>') AS path FROM p WHERE hops > 0",
     "graph_trust_filter": PATHS_SQL % (2, "b.trust IN ('authoritative', 'validated')") + "SELECT start, hops, split_part(node, ':', 1) AS kind, count(*) AS n FROM p WHERE hops > 0 GROUP BY ALL",

@@ -57,7 +57,7 @@ def month_ends(spark, sf_dir):
 
 
 def ledger_as_of_grid(spark, sf_dir):
-    each = L.as_of_each(book(spark, sf_dir), month_ends(spark, sf_dir))
+    each = L.as_of_each(book(spark, sf_dir).select("metric_key", "value", "system_from", "system_to"), month_ends(spark, sf_dir))
     return each.groupBy(F.date_format("at", "yyyy-MM-dd").alias("at_day"), "metric_key").agg(F.count("*").alias("n_facts"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
@@ -115,7 +115,7 @@ def _claims(spark, sf_dir):
 
 
 def contradictions(spark, sf_dir):
-    return L.contradictions(_claims(spark, sf_dir)).select("entity_id", "period", F.get_json_object("qualifier_key", "$.flag").alias("flag"), "n_docs", "n_values", F.size("members").cast("long").alias("n_members"))
+    return L.contradictions(_claims(spark, sf_dir)).select("entity_id", "period", F.get_json_object("qualifier_key", "$.flag").alias("flag"), "n_docs", "n_values", "n_members")
 
 
 def statements_per_document(spark, sf_dir):

@@ -32,10 +32,24 @@ def test_versions_noop_and_as_of(spark):
 
 
 def test_publish_into_equals_publish_of_all(spark):
-    a, b = rows(spark, ("1", "m", {}, 1), ("2", "m", {}, 3)), rows(spark, ("3", "m", {}, 5))
-    key = ["version", "value_text", "system_to"]
-    step = ledger.publish_into(ledger.publish(a), b).select(*key).orderBy("version").collect()
-    assert step == ledger.publish(a.union(b)).select(*key).orderBy("version").collect()
+    """In every column, the last observation of a version that stays included."""
+    a, b = rows(spark, ("5", "m", {}, 1), ("5", "m", {}, 3), ("6", "m", {"k": "v"}, 2)), rows(spark, ("7", "m", {}, 4), ("7", "m", {}, 6))
+    told = lambda df: df.orderBy("fact_identity", "version").drop("candidate_id", "fact_id", "supersedes").collect()
+    step, whole = ledger.publish_into(ledger.publish(a), b), ledger.publish(a.union(b))
+    assert told(step.select(*whole.columns)) == told(whole)
+    assert [x.last_seen.day for x in told(step) if x.qualifiers == {}] == [3, 6]
+    again = ledger.publish_into(step, rows(spark, ("7", "m", {}, 8)))
+    assert [x.last_seen.day for x in told(again) if x.qualifiers == {}] == [3, 8]
+
+
+def test_fact_ids_do_not_depend_on_the_time_zone(spark):
+    data = rows(spark, ("5", "m", {}, 1), ("6", "m", {}, 3))
+    ids = []
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        ids.append([x.fact_id for x in ledger.publish(data).orderBy("version").collect()])
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert ids[0] == ids[1]
 
 
 def test_late_values_are_refused(spark):
@@ -51,7 +65,9 @@ def test_contradictions_need_two_documents_and_values(spark):
     one, two = ledger.publish(rows(spark, ("3.42", "m", {}, 1))), ledger.publish(rows(spark, ("9.99", "m", {}, 1), doc="d2"))
     three = ledger.publish(rows(spark, ("3.420", "m", {}, 1), doc="d3"))
     st = ledger.statements
-    assert ledger.contradictions(st(one).union(st(two))).count() == 1
+    group = ledger.contradictions(st(one).union(st(two)).union(st(two))).collect()
+    assert [(x.n_docs, x.n_values, x.n_members) for x in group] == [(2, 2, 3)]
+    assert {(x.doc_id, x.value_text) for x in ledger.contradiction_members(st(one).union(st(two))).collect()} == {("d", "3.42"), ("d2", "9.99")}
     assert ledger.contradictions(st(one).union(st(three))).count() == 0
     assert ledger.contradictions(st(one).union(st(three)), strict_text=True).count() == 1
 
