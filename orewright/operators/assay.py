@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import Pack, Rule
 from ..functions.text import fill, resolve_entity
+from ..shared import cut
 
 PASS_FLOOR = 0.85
 #: Fixed: the relations a pair rule can name, and the bounds of the last. Each tells how many second-side values break it
@@ -138,6 +140,49 @@ def merge_run(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("publishe
     return decided.unionByName(new.join(decided.select("candidate_id"), "candidate_id", "left_anti").select(*new.columns), allowMissingColumns=True)
 
 
+def _keyed(candidates: DataFrame, r: Rule, within: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """A pair rule's two sides with their keys."""
+    names = [*r.match_on, *within]
+    keys = [f"__k{i}" for i in range(len(names))]
+    return candidates.where(F.col("metric_key").isin(r.metric_a, r.metric_b)).select("*", *[key_of(k).alias(n) for k, n in zip(names, keys)]), keys
+
+
+def assay_after(judged: DataFrame, found: DataFrame, changed: DataFrame, rules: list[Rule], metrics: list[str], removed: DataFrame | None = None, within: tuple[str, ...] = (), floor: float = PASS_FLOOR) -> tuple[DataFrame, DataFrame]:
+    """The verdicts and findings after some candidates changed, came or went: equal to a whole run, but a pair rule looks only at
+    keys that one of these had or has, a range rule at them alone, and only candidates whose findings may differ are judged anew.
+
+    judged and found: the last run's `run_gates` and `findings`; changed: new versions of candidates (without verdicts), new ones
+    included; removed: candidate_ids to take out. What people decided is merged afterwards, as after any run (`merge_run`)."""
+    base = judged.select(*changed.columns)
+    gone = changed.select("candidate_id")
+    gone = cut((gone if removed is None else gone.unionByName(removed.select("candidate_id"))).distinct())
+    before = cut(base.join(gone, "candidate_id", "left_semi"))
+    after = base.join(gone, "candidate_id", "left_anti").unionByName(changed)
+    moved = before.unionByName(changed)
+
+    fresh, dropped, anew = [range_findings(changed, rules)], [], [changed.select("candidate_id")]
+    for order, r in enumerate(rules):
+        if r.type != "pair":
+            continue
+        touched, keys = _keyed(moved, r, within)
+        touched = cut(touched.select(*[F.col(k).alias(f"t{k}") for k in keys]).distinct())
+        rows, _ = _keyed(after, r, within)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"t{k}")) for k in keys], F.lit(True))
+        scope = cut(rows.join(touched, same, "left_semi").drop(*keys))
+        # The rule keeps its place among all rules, by which findings are ordered.
+        fresh.append(pair_findings(scope, [r], within).withColumn("ord", F.lit(1000 + order)))
+        dropped.append(scope.select("candidate_id", F.lit(1000 + order).alias("ord")))
+        anew.append(scope.select("candidate_id"))
+    kept = found.join(gone, "candidate_id", "left_anti")
+    if dropped:
+        kept = kept.join(reduce(DataFrame.unionByName, dropped).distinct(), ["candidate_id", "ord"], "left_anti")
+    now = cut(kept.select(*FINDING).unionByName(reduce(DataFrame.unionByName, [f.select(*FINDING) for f in fresh])))
+    again = cut(reduce(DataFrame.unionByName, anew).distinct())
+    rejudged = run_gates(after.join(again, "candidate_id", "left_semi"), now.join(again, "candidate_id", "left_semi"), metrics, floor)
+    rest = judged.join(again, "candidate_id", "left_anti").join(gone, "candidate_id", "left_anti")
+    return rest.unionByName(rejudged.select(*judged.columns)), now
+
+
 def state_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("state").agg(F.count("*").alias("n"))
 
@@ -187,3 +232,12 @@ def review_queue(candidates: DataFrame, state: str = "pending_review") -> DataFr
 def latest_per(df: DataFrame, key: str, by: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(by))
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def observed_run(judged: DataFrame) -> tuple[DataFrame, Observation]:
+    """`judged` with totals that come out of the very pass that writes it: once an action has run over it, `get` of the
+    observation tells candidates, each state and each failed gate."""
+    seen = Observation(f"run-{uuid.uuid4().hex}")
+    states = [F.count_if(F.col("state") == s).alias(f"state_{s}") for s in ("auto_passed", "pending_review", "soft_rejected", "published", "rejected")]
+    gates = [F.count_if(F.col("failed_gate") == f"G{i}").alias(f"failed_G{i}") for i in range(1, 8)]
+    return judged.observe(seen, F.count(F.lit(1)).alias("candidates"), *states, *gates), seen

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import cut
-from ..sources.registry import overwrite_documents
+from ..sources.registry import exists, overwrite_documents
 from .ledger import current_facts
 
 STATES = ("auto_passed", "pending_review", "published")
@@ -141,3 +141,73 @@ class GraphStore:
 
     def multi_hop(self, starts: DataFrame, **how) -> DataFrame:
         return multi_hop(self.edges(), starts, **how)
+
+
+def derived(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What each document alone gives: the different `keys` of its rows."""
+    return rows.select(*keys, "doc_id").distinct()
+
+
+def revise_counts(counts: DataFrame, old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """`counts` (keys, n_docs: how many documents a node or edge rests on) after documents were replaced: `old` and `new` are what
+    these gave before and give now (see `derived`). What no document gives any more is gone."""
+    signed = old.select(*keys, F.lit(-1).alias("n_docs")).unionByName(new.select(*keys, F.lit(1).alias("n_docs")))
+    delta = signed.groupBy(*keys).agg(F.sum("n_docs").alias("n_docs")).where("n_docs <> 0")
+    return counts.select(*keys, "n_docs").unionByName(delta).groupBy(*keys).agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+
+
+class CountedGraph:
+    """Nodes and edges kept with the number of documents they rest on. What each document gave is kept by document, and counts by
+    buckets of their keys: replacing documents reads theirs, and rewrites only the buckets of what they gave or give.
+
+    A put writes the buckets' new counts beside the old ones under the next version, then the documents, then the version's
+    row, which makes it visible; a bucket is read at its last visible version. What a failed put left is written over."""
+
+    NODE, LINK, BUCKETS = ["node_id", "label"], ["src", "dst", "rel", "trust_layer"], 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, name: str, ddl: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        return self.spark.read.schema(ddl).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], ddl)
+
+    def _version(self) -> int:
+        return self._read("versions", "version int").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    @staticmethod
+    def _ddl(keys: list[str]) -> str:
+        return ", ".join(f"{k} string" for k in keys)
+
+    def _last(self, name: str, keys: list[str], part: str, more: str) -> DataFrame:
+        """Rows of each `part` (a bucket or document) at its last visible version. A marker row without keys stands for an empty one."""
+        ddl = f"{self._ddl(keys)}, {more}version int, {part} {'int' if part == 'bucket' else 'string'}"
+        rows = self._read(name, ddl).where(F.col("version") <= self._version())
+        last = rows.groupBy(part).agg(F.max("version").alias("version"))
+        return rows.join(last, [part, "version"], "left_semi")
+
+    def _counts(self, name: str, keys: list[str]) -> DataFrame:
+        return self._last(f"{name}_counts", keys, "bucket", "n_docs long, ")
+
+    def put(self, nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> None:
+        """Replaces what `documents` (doc_id) gave by the rows of `nodes` and `edges` that are theirs; a document with none is taken out."""
+        version = self._version() + 1
+        docs = cut(documents.select("doc_id").distinct())
+        for name, keys, rows in (("node", self.NODE, nodes), ("edge", self.LINK, edges)):
+            new = cut(derived(rows.join(docs, "doc_id", "left_semi"), keys))
+            kept = self._last(f"{name}_docs", keys, "doc_id", "").join(docs, "doc_id", "left_semi").where(F.col(keys[0]).isNotNull())
+            old = cut(kept.select(*keys, "doc_id"))
+            bucket = F.pmod(F.xxhash64(*keys), F.lit(self.BUCKETS)).cast("int")
+            touched = cut(old.unionByName(new).select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows
+            before = self._counts(name, keys).join(F.broadcast(touched), "bucket", "left_semi").where(F.col(keys[0]).isNotNull())
+            after = revise_counts(before, old, new, keys).withColumn("bucket", bucket)
+            marker = lambda df, *part: df.select(*[F.lit(None).cast("string").alias(k) for k in keys], *part)  # noqa: B023,E731
+            after.unionByName(marker(touched, F.lit(None).cast("long").alias("n_docs"), "bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}_counts/version={version}")
+            new.unionByName(marker(docs, "doc_id")).write.mode("overwrite").parquet(f"{self.path}/{name}_docs/version={version}")
+        self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+
+    def nodes(self) -> DataFrame:
+        return self._counts("node", self.NODE).where("node_id is not null").select(*self.NODE, "n_docs")
+
+    def edges(self) -> DataFrame:
+        return self._counts("edge", self.LINK).where("src is not null").select(*self.LINK, "n_docs")

@@ -147,25 +147,84 @@ def best_of_block(held: pa.Table, asking: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
 
 
+def units(df: DataFrame, name: str, column: str) -> DataFrame:
+    """`name`, dim and the vector of length one; vectors that are null, empty or zero, or hold nulls, are left out."""
+    x = F.transform(column, lambda c: c.cast("double"))
+    made = df.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), x.alias("x"), F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c)).alias("norm")).where("norm > 0 and norm < double('Infinity')")
+    return cut(made.select(name, F.size("x").alias("dim"), F.transform("x", lambda c: c / F.col("norm")).alias("unit")))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, vec_id, similarity (to twelve digits), rank: the k most similar vectors of each query (query_id, q).
 
     Vectors are normalised once and dealt into blocks, queries too; each two blocks are one task and one matrix product,
     which keeps k per query. Vectors that are null, empty or zero, or hold nulls, and those of another length are no one's neighbours.
     """
-    def unit(df: DataFrame, name: str, column: str) -> DataFrame:
-        x = F.transform(column, lambda c: c.cast("double"))
-        made = df.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), x.alias("x"), F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c)).alias("norm")).where("norm > 0 and norm < double('Infinity')")
-        return cut(made.select(name, F.size("x").alias("dim"), F.transform("x", lambda c: c / F.col("norm")).alias("unit")))
-
-    held, asking = unit(vectors, "vec_id", "embedding"), unit(queries, "query_id", "q")
+    held, asking = units(vectors, "vec_id", "embedding"), units(queries, "query_id", "q")
     i, j = max(1, -(-held.count() // HELD)), max(1, -(-asking.count() // ASKING))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     one = held.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(i)).cast("int").alias("i"), every(j).alias("j"))
     two = asking.select("*", every(i).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(j)).cast("int").alias("j"))
-    found = one.groupBy("dim", "i", "j").cogroup(two.groupBy("dim", "i", "j")).applyInArrow(lambda h, a: best_of_block(h, a, k), "query_id long, vec_id long, similarity double")
+    return _best(one, two, ["dim", "i", "j"], k)
+
+
+def _best(held: DataFrame, asking: DataFrame, key: list[str], k: int) -> DataFrame:
+    """The k most similar vectors of each query among those that it meets by `key`; who meet twice count once."""
+    found = held.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(lambda h, a: best_of_block(h, a, k), "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Hyperplane tables, the buckets that a query visits in each, and vectors of a bucket in mean.
+PLANE_TABLES, PROBES, BUCKET = 8, 8, 256
+
+
+def _codes(name: str, tables: int, bits: int, probes: int, seed: int):
+    """name, dim, unit, table and code of each vector: one code per table, or for a query the `probes` likeliest, which differ
+    from its own in the bits that its vector hardly decides."""
+    near = min(4, bits)
+    flips = np.array([[f >> b & 1 for b in range(near)] for f in range(1 << near)], float)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                own = batch.take(pa.array(rows))
+                x = own["unit"].flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+                planes = np.random.default_rng([seed, dim]).normal(size=(dim, tables * bits))
+                side = (x @ planes).reshape(len(rows), tables, bits)
+                weight = 1 << np.arange(bits)
+                code = ((side > 0) * weight).sum(2)
+                loose = np.argsort(np.abs(side), axis=2)[:, :, :near]
+                cost = np.take_along_axis(np.abs(side), loose, 2) @ flips.T
+                best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+                change = ((1 << loose) @ flips.T.astype(np.int64))
+                codes = code[:, :, None] ^ np.take_along_axis(change, best, 2)
+                n = codes.shape[1] * codes.shape[2]
+                taken = own.take(pa.array(np.repeat(np.arange(len(rows)), n)))
+                table = np.tile(np.repeat(np.arange(tables), codes.shape[2]), len(rows))
+                yield pa.RecordBatch.from_arrays([taken[name], taken["dim"], taken["unit"], pa.array(table, pa.int32()), pa.array(codes.reshape(-1), pa.int64())], names=[name, "dim", "unit", "table", "code"])
+
+    return run
+
+
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = PLANE_TABLES, probes: int = PROBES, bucket: int = BUCKET, seed: int = 7) -> DataFrame:
+    """As `knn`, but a query meets only vectors on its side of random hyperplanes: `tables` times as many planes as put some
+    `bucket` vectors in one bucket, with the `probes` likeliest buckets of each table. Every vector is in every table; a
+    bucket of more than `HELD` vectors is dealt in parts that all its visitors meet, so none is left out for its size."""
+    held, asking = units(vectors, "vec_id", "embedding"), units(queries, "query_id", "q")
+    bits = min(40, max(1, int(np.ceil(np.log2(max(held.count() / bucket, 1)))) + 1))
+    made = lambda df, name, n: df.mapInArrow(_codes(name, tables, bits, n, seed), f"{name} long, dim int, unit array<double>, table int, code long")
+    key = ["dim", "table", "code"]
+    one, two = made(held, "vec_id", 1), made(asking, "query_id", probes)
+    sizes = one.groupBy(*key).agg(F.ceil(F.count("*") / HELD).cast("int").alias("parts")).where("parts > 1")
+    sizes = cut(sizes)  # large buckets only
+    one = one.join(sizes, key, "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    two = two.join(sizes, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return _best(one, two, [*key, "part"], k)
 
 
 def upsert_vectors(store: DataFrame, fresh: DataFrame) -> DataFrame:

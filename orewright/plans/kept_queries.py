@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import assay as A
 from ..operators import bitemporal as T
+from ..operators import graph as G
+from ..operators import lineage as X
+from ..operators import search as S
 from ..operators.ledger import fact_identity
 from ..operators.textindex import TextIndex
-from ..shared import shared_folder
+from ..shared import cut, shared_folder
+from . import assay_queries
 from .base import as_micros, table
-from .evidence_queries import _bm25_sql, _count, _documents, _tokens
+from .evidence_queries import GRAPH_SQL, LINEAGE_SQL, ORACLES as EVIDENCE, _answers, _bm25_sql, _count, _documents, _graph_input, _lineage, _tokens
 from .ledger_queries import observed
 
 #: How long after it holds a value is recorded: every fifth comes 40 days late, every seventh 3 days.
@@ -96,7 +101,70 @@ def text_index_questions(spark, sf_dir):
     return best.select(F.col("query_id").cast("long").alias("item_id"), "n", "best")
 
 
-QUERIES = {f.__name__: f for f in (bitemporal_tiles, bitemporal_grid, bitemporal_corrections, text_index_phrase, text_index_questions)}
+def vector_lsh_recall(spark, sf_dir):
+    """Five neighbours of every twentieth vector by hyperplanes, against the exact ones: how many questions, and whether nine of
+    ten of the exact neighbours are found."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact, near = cut(S.knn(e, q, 5)), S.approximate_knn(e, q, 5)
+    found = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_ok"))
+
+
+def lineage_reach(spark, sf_dir):
+    """How much rests on each fact, by sketches of distinct counts handed along the edges."""
+    reach = X.reach_counts(_lineage(spark, sf_dir), forward=True)
+    return reach.where("kind = 'fact'").select(F.col("id").alias("fact_id"), F.round("reach").cast("long").alias("n"))
+
+
+def lineage_upkeep(spark, sf_dir):
+    """The closure of a third of the edges, brought up to date by a second and a third batch: as from all edges at once."""
+    edges = _lineage(spark, sf_dir).withColumn("batch", F.pmod(F.crc32(F.concat_ws("|", "from_id", "to_id").cast("binary")), F.lit(3)))
+    part = lambda n: edges.where(F.col("batch") == n)
+    pairs = X.closure(part(0), _answers(spark, sf_dir))
+    pairs = X.extend_closure(pairs, part(0), part(1))
+    pairs = X.extend_closure(pairs, edges.where("batch <= 1"), part(2))
+    return pairs.groupBy("start_id", "kind", "depth").agg(F.count("*").alias("n"))
+
+
+def graph_upkeep(spark, sf_dir):
+    """A graph put whole; then every third document again without its open lines, and every seventh taken out."""
+    registry, c, facts = _graph_input(spark, sf_dir)
+    key = F.substring("doc_id", 2, 20).cast("long")
+    edges = lambda r, rows: G.build_edges(r, rows, facts).select(*G.CountedGraph.LINK, "doc_id")
+    nodes = lambda e: e.select(F.explode(F.array("src", "dst")).alias("node_id"), "doc_id").withColumn("label", F.substring_index("node_id", ":", 1))
+    store = G.CountedGraph(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    whole = cut(edges(registry, c))
+    store.put(nodes(whole), whole, registry)
+    stays = registry.where((key % 7 != 0) & (key % 3 == 0))
+    fewer = cut(edges(stays, c.where((key % 7 != 0) & (key % 3 == 0)).where("state = 'auto_passed'")))
+    store.put(nodes(fewer), fewer, registry.where((key % 3 == 0) | (key % 7 == 0)))
+    told = lambda df, what: df.groupBy(F.col(what).alias("what")).agg(F.count("*").alias("n"), F.sum("n_docs").alias("n_docs"))
+    return told(store.nodes(), "label").unionByName(told(store.edges(), "rel"))
+
+
+def assay_upkeep(spark, sf_dir):
+    """A run over older values without every thirteenth order, then what came and changed: as a whole run over all."""
+    c = cut(assay_queries.candidates(spark, sf_dir))
+    order = F.split("candidate_id", ":")[0].cast("long")
+    older = c.where(order % 13 != 0).withColumn("value", F.when(order % 5 == 0, F.col("value") + 1).otherwise(F.col("value")).cast("decimal(38,18)"))
+    found = cut(A.findings(older, assay_queries.RULES))
+    before = cut(A.run_gates(older, found, assay_queries.METRICS))
+    after, _ = A.assay_after(before, found, c.where((order % 5 == 0) | (order % 13 == 0)), assay_queries.RULES, assay_queries.METRICS)
+    return after.select("candidate_id", "state", "failed_gate", F.col("confidence").cast("double").alias("confidence"), F.size("gate_results").cast("long").alias("n_gates"))
+
+
+def assay_observed(spark, sf_dir):
+    """The totals of a run, out of the pass that writes its verdicts."""
+    rows, seen = A.observed_run(assay_queries.judged(spark, sf_dir))
+    rows.select("candidate_id", "state", "failed_gate").write.parquet(f"{shared_folder(spark)}/verdicts-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(k, v) for k, v in seen.get.items() if v], "what string, n long")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (bitemporal_tiles, bitemporal_grid, bitemporal_corrections, text_index_phrase, text_index_questions, vector_lsh_recall, lineage_reach, lineage_upkeep, graph_upkeep, assay_upkeep, assay_observed)
+}
 
 ORACLES = {
     "bitemporal_tiles": TILES_SQL + "SELECT f AS fact_identity, tiles.claim_id, value, epoch_us(tiles.v) AS valid_from, epoch_us(after) AS valid_to, epoch_us(tiles.s) AS system_from, epoch_us(until) AS system_to FROM tiles JOIN (SELECT claim_id, value FROM cl) USING (claim_id)",
@@ -109,4 +177,15 @@ ORACLES = {
         m AS (SELECT item_id, chunk_id, len(w) AS n, {_count('w', 'phrase')} AS f FROM k, q WHERE list_has_all(w, phrase)), d AS (SELECT item_id, count(*) AS df FROM m WHERE f > 0 GROUP BY 1),
         s AS (SELECT m.*, df, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av)) AS score FROM m JOIN d USING (item_id), g WHERE f > 0)
         SELECT item_id, any_value(df) AS n, arg_min(chunk_id, (-round(score, 9), chunk_id)) AS best FROM s GROUP BY 1""",
+    "vector_lsh_recall": "SELECT count(*) FILTER (vec_id % 20 = 0) AS n_queries, count(*) FILTER (vec_id % 20 = 0) * least(5, count(*)) AS n_exact, true AS recall_ok FROM embeddings",
+    "lineage_reach": f"""WITH {LINEAGE_SQL}, p AS (SELECT DISTINCT ti AS fact_id, fi AS pack FROM le WHERE fk = 'package'), a AS (SELECT DISTINCT fact_id, fi FROM p JOIN le ON fk = 'answer' AND ti = pack)
+        SELECT fact_id, n + coalesce(m, 0) AS n FROM (SELECT fact_id, count(*) AS n FROM p GROUP BY 1) LEFT JOIN (SELECT fact_id, count(*) AS m FROM a GROUP BY 1) USING (fact_id)""",
+    "lineage_upkeep": EVIDENCE["lineage_full"],
+    "graph_upkeep": f"""WITH {GRAPH_SQL.replace("FROM supplier)", "FROM supplier WHERE s_suppkey % 7 <> 0)").replace("WHERE l_returnflag IN ('A', 'N')", "WHERE l_suppkey % 7 <> 0 AND (l_returnflag = 'A' OR (l_returnflag = 'N' AND l_suppkey % 3 <> 0))")},
+        d AS (SELECT DISTINCT src, dst, rel, doc_id FROM ge), n AS (SELECT src AS id, doc_id FROM d UNION SELECT dst, doc_id FROM d)
+        SELECT rel AS what, count(*) AS n, CAST(sum(c) AS BIGINT) AS n_docs FROM (SELECT src, dst, rel, count(*) AS c FROM d GROUP BY 1, 2, 3) GROUP BY 1
+        UNION ALL SELECT split_part(id, ':', 1), count(*), CAST(sum(c) AS BIGINT) FROM (SELECT id, count(*) AS c FROM n GROUP BY 1) GROUP BY 1""",
+    "assay_upkeep": assay_queries.ORACLES["gates_verdict"],
+    "assay_observed": f"""WITH {assay_queries.CAND_SQL} SELECT 'candidates' AS what, count(*) AS n FROM s UNION ALL SELECT 'state_' || state, count(*) FROM s GROUP BY state
+        UNION ALL SELECT 'failed_' || failed_gate, count(*) FROM s WHERE failed_gate IS NOT NULL GROUP BY failed_gate""",
 }

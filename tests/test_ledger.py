@@ -67,7 +67,7 @@ def test_contradictions_need_two_documents_and_values(spark):
     st = ledger.statements
     group = ledger.contradictions(st(one).union(st(two)).union(st(two))).collect()
     assert [(x.n_docs, x.n_values, x.n_members) for x in group] == [(2, 2, 3)]
-    assert {(x.doc_id, x.value_text) for x in ledger.contradiction_members(st(one).union(st(two))).collect()} == {("d", "3.42"), ("d2", "9.99")}
+    assert {(x.doc_id, x.value_text) for x in ledger.contradiction_members(st(one).union(st(two))).collect()} == {("d1", "3.42"), ("d2", "9.99")}
     assert ledger.contradictions(st(one).union(st(three))).count() == 0
     assert ledger.contradictions(st(one).union(st(three)), strict_text=True).count() == 1
 
