@@ -3,12 +3,18 @@
 A page becomes a sequence of words and tags. Words score positive or negative and tags negative, by where they stand
 (inside a link, a heading, a list, an article or main element, or outside of these on a page that has them); the weights
 are log-odds counted over labelled pages. One linear scan finds the contiguous region with the greatest sum, and its
-blocks are the text. Elements that are never content (menus, forms, scripts, adverts, reader comments and so on) cost a
-region a little and give no text. A name such as "sidebar" marks such an element only if that does not hold most of the page.
+blocks are the text.
 
-The labelled pages are the table's own pages that name their content with an `article` or `main` element (at most
+Some elements are never content, whatever their size and wherever they stand: by their role (menus, forms, scripts, asides,
+footers, headers outside of an article or main element), by a class or id that as a whole names nothing but such a part ("ad",
+"cookie-notice", but not "notice-board"), and reader comments: what is named so as a whole, and blocks that repeat side by
+side, each with an author and a date but no heading. A name is no such sign on an element that holds the page's article, main
+or first heading. Inside an article these elements cost a region nothing, so text on both sides of them stays together.
+
+The labelled pages are the table's own pages that mark their content with an `article` or `main` element (at most
 `SAMPLE` of them, chosen by a hash of page_id), together with the built-in ones of `LAYOUTS`, which cover pages without
-such elements and text outside of them.
+such elements and text outside of them. A page marks its content if its first h1 stands in such an element; without any h1, if it
+has a main element or only one article.
 
 Results for odd input: null and empty html give the empty text; broken markup (tags left open, stray ends, a missing
 end of the page) is read as far as it goes; very long pages are read whole; rows that repeat a page_id get a row each;
@@ -29,8 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 500
-#: Article and main elements are taken for the page's content if they hold more than this share of its words.
-MARKED_SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -55,21 +59,32 @@ _ENDED_BY = {
     "option": ({"option", "optgroup"}, {"select", "datalist"}),
 }
 _NEVER = {
-    "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "menu", "dialog", "script", "style", "head", "title",
-    "noscript", "template", "iframe", "textarea", "svg", "canvas", "audio", "video", "object", "embed", "map", "datalist", "fieldset", "math",
+    "nav", "footer", "aside", "form", "button", "select", "option", "input", "menu", "dialog", "script", "style", "head", "title",
+    "noscript", "template", "iframe", "textarea", "svg", "canvas", "audio", "video", "object", "embed", "map", "datalist", "fieldset",
     "xmp", "noembed", "noframes",
 }
 _NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar", "button", "tablist"}
-#: Parts of class names and ids that mark what is not the article.
-_NEVER_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "sponsor", "sponsored", "promo",
-    "promoted", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidenav", "side", "aside", "footer", "foot",
-    "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay",
-    "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment",
-    "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion", "pagination", "pager", "search", "searchbox", "skip", "widget", "tags", "tagcloud",
-    "legal", "copyright", "disclaimer", "paywall", "outbrain", "taboola", "feedback", "rating", "cta",
+# Words that name a part of a page that is not its article, words that only say which or what kind of box, and
+# whole names of reader comments. A name counts if all its words are of the first two kinds and one is of the first.
+_PART_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "nav", "navbar",
+    "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidenav", "footer", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent",
+    "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social",
+    "related", "recommended", "recommendations", "pagination", "pager", "searchbox", "paywall", "outbrain", "taboola", "copyright",
+}
+_BOX_WORDS = {
+    "box", "block", "container", "wrapper", "wrap", "inner", "outer", "area", "section", "left", "right", "top", "bottom", "bar", "row", "column", "col", "list",
+    "links", "link", "buttons", "button", "icons", "slot", "unit", "widget", "site", "page", "global", "primary", "secondary", "main", "posts", "articles", "stories",
+    "items", "item", "form", "panel", "module", "region", "header", "text", "content", "body", "this", "media",
+}
+_COMMENT_NAMES = {
+    "comment", "comments", "comment list", "commentlist", "comment section", "comments section", "comments area", "comment area", "comments list", "comment thread",
+    "comments thread", "comment body", "comment wrapper", "comments wrapper", "comments container", "comment item", "reader comments", "user comments", "disqus",
+    "disqus thread", "respond", "replies", "reply list", "responses",
 }
 _CONTENT_NAMES = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+_AUTHOR_NAMES = {"author", "username", "user name", "user", "commenter", "poster", "comment author", "fn", "by"}
+_DATE_NAMES = {"date", "time", "timestamp", "posted", "ago", "comment date", "comment meta", "datetime"}
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -77,11 +92,18 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Element:
     tag: str
     never: bool = False
-    denied: tuple = ()  # numbers of the elements around whose names say that they are no content
+    named: tuple = ()  # numbers of the elements around whose names say that they are no content
+    around: tuple = ()  # numbers of the blocks around
+    number: int = 0
     landmark: str = ""
     link: bool = False
     heading: bool = False
     list: bool = False
+    # What stands in it so far, and its blocks that have an author and a date but no heading, by tag.
+    author: bool = False
+    date: bool = False
+    headed: bool = False
+    posts: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -92,7 +114,8 @@ class Run:
     words: int
     where: tuple
     never: bool
-    denied: tuple
+    named: tuple
+    around: tuple
 
     @property
     def content(self) -> bool:
@@ -103,6 +126,10 @@ class Run:
 class Page:
     items: list = field(default_factory=list)  # Run, or ("tag", name, starts a block)
     labelled: bool = False
+    released: set = field(default_factory=set)  # elements that hold the article, whatever their names
+    posts: set = field(default_factory=set)  # blocks that repeat with author and date
+    first_h1: str | None = None  # the landmark around it
+    marks: list = field(default_factory=list)  # outermost article and main elements
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -112,22 +139,37 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _names(found: dict[str, str]) -> set[str]:
+    """An element's classes and id, each as its words in lower case."""
+    whole = [*found.get("class", "").split(), found.get("id", "")]
+    return {" ".join(x.lower() for x in _NAME_PART.findall(name)) for name in whole} - {""}
+
+
+def _is_part(name: str) -> bool:
+    words = set(name.split())
+    return bool(words & _PART_NAMES) and words <= _PART_NAMES | _BOX_WORDS
+
+
 def _element(tag: str, attributes: str, inside: Element, number: int) -> Element:
-    e = Element(tag, inside.never, inside.denied, inside.landmark, inside.link or tag == "a", inside.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), inside.list or tag in ("ul", "ol", "menu"))
+    e = Element(tag, inside.never, inside.named, inside.around, number, inside.landmark, inside.link or tag == "a", inside.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), inside.list or tag in ("ul", "ol", "menu"))
     found = _attributes(attributes) if attributes.strip() else {}
     role = found.get("role", "").lower()
-    names = {x.lower() for x in _NAME_PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    names = _names(found)
+    e.author = bool(names & _AUTHOR_NAMES) or tag == "cite" or found.get("rel", "").lower() == "author" or found.get("itemprop", "").lower() == "author"
+    e.date = bool(names & _DATE_NAMES) or tag == "time"
+    e.headed = e.heading and not inside.heading
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
-    if tag in _NEVER or role in _NEVER_ROLES or hidden:
-        e.never = True
-    elif tag not in ("html", "body", "main") and names & _NEVER_NAMES and not (tag == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "promo", "related", "sponsored"}):
-        e.denied = (*e.denied, number)
-    if tag == "header" and "article" not in inside.landmark:
+    comments = tag not in ("html", "body", "main") and (names & _COMMENT_NAMES or found.get("itemprop", "").lower() == "comment" or found.get("itemtype", "").lower().endswith("schema.org/comment"))
+    if tag in _NEVER or role in _NEVER_ROLES or hidden or comments or (tag == "header" and not inside.landmark):
         e.never = True
+    elif tag not in ("html", "body", "main") and any(map(_is_part, names)):
+        e.named = (*e.named, number)
+    if tag in ("li", "div", "article", "section", "dd", "tr"):
+        e.around = (*e.around, number)
     if not e.never:
         if tag == "article" or tag == "main" or role in ("article", "main"):
             e.landmark = "article" if tag == "article" or role == "article" else inside.landmark or "main"
-        elif not e.landmark and names & _CONTENT_NAMES and tag in ("div", "section", "td"):
+        elif not e.landmark and names & _CONTENT_NAMES | {w for n in names for w in n.split()} & _CONTENT_NAMES and tag in ("div", "section", "td"):
             e.landmark = "named"
     return e
 
@@ -141,12 +183,23 @@ def read(page: str | None) -> Page:
             top = stack[-1]
             plain = references.unescape(raw[a:b])
             where = (top.landmark, top.link, top.heading, top.list)
-            out.items.append(Run(plain, 0 if top.tag in _RAW else len(plain.split()), where, top.never, top.denied))
+            out.items.append(Run(plain, 0 if top.tag in _RAW else len(plain.split()), where, top.never, top.named, top.around))
+
+    def end_from(k: int) -> None:
+        """Ends the elements of the stack from the k-th on, telling each one's surroundings what it held."""
+        while len(stack) > k:
+            e, above = stack.pop(), stack[-1]
+            if e.author and e.date and not e.headed and e.around != above.around:
+                own = above.posts.setdefault(e.tag, [])
+                own.append(e.number)
+                if len(own) > 1:
+                    out.posts.update(own)
+            above.author, above.date, above.headed = above.author or e.author, above.date or e.date, above.headed or e.headed
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
-                del stack[k:]
+                end_from(k)
                 return
             if stack[k].tag in ("td", "th", "table", "article", "main", "nav", "aside", "footer", "section") and tag not in _BLOCK:
                 return
@@ -168,34 +221,42 @@ def read(page: str | None) -> Page:
             open_tag = stack[k].tag
             by, fence = _ENDED_BY.get(open_tag, ((), ()))
             if tag in by:
-                del stack[k:]
+                end_from(k)
             elif open_tag in ("td", "th", "table", "ul", "ol", "dl", "button", "article", "section", "div", "nav", "aside", "footer", "main", "select", "body"):
                 break
         element = _element(tag, attributes, stack[-1], len(out.items))
+        if not element.never:
+            if tag == "h1" and out.first_h1 is None:
+                out.first_h1 = element.landmark
+                out.released.update(element.named)
+            if element.landmark in ("article", "main") and stack[-1].landmark not in ("article", "main"):
+                out.marks.append(element.landmark)
+                out.released.update(element.named)
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b", re.I).search(raw, at)
             at = stop.start() if stop else len(raw)
         if tag not in _VOID and not (attributes.rstrip().endswith("/") and tag not in _BLOCK and tag not in _RAW):
             stack.append(element)
     text(at, len(raw))
+    end_from(1)
     settle(out)
     return out
 
 
 def settle(page: Page) -> None:
-    """Judge by the whole page: names of elements that hold most of it deny nothing, and where article and main elements
-    hold a good part of its words, other places are outside of these."""
-    runs = [x for x in page.items if isinstance(x, Run) and not x.never]
-    total, held, marked = sum(x.words for x in runs), Counter(), Counter()
-    for x in runs:
-        for k in x.denied:
-            held[k] += x.words
-            marked[k] += x.words * x.content
-    wide = {k for k, n in held.items() if n > 0.9 * total or (n > 0.5 * total and marked[k] > 0.5 * n)}
-    for x in runs:
-        x.never = not wide.issuperset(x.denied)
-    left = [x for x in runs if not x.never]
-    page.labelled = sum(x.words for x in left if x.content) > MARKED_SHARE * sum(x.words for x in left)
+    """Judge by the whole page: names on what holds the article deny nothing, repeated posts are comments unless there is nothing
+    else, and where the page marks its content, other places are outside of it."""
+    left = []
+    for x in page.items:
+        if isinstance(x, Run) and not x.never:
+            x.never = not page.released.issuperset(x.named)
+            left += [] if x.never else [x]
+    if any(x.words and page.posts.isdisjoint(x.around) for x in left):
+        for x in left:
+            x.never = not page.posts.isdisjoint(x.around)
+        left = [x for x in left if not x.never]
+    page.labelled = page.first_h1 in ("article", "main") if page.first_h1 is not None else "main" in page.marks or len(page.marks) == 1
+    page.labelled = page.labelled and any(x.words and x.content for x in left)
     if page.labelled:
         for x in left:
             if not x.content:
@@ -227,7 +288,8 @@ def tally(pages: list[Page], own: bool) -> tuple[Counter, Counter]:
     return inside, outside
 
 
-#: A word that is never content, and a tag: small, so that a region can pass over a figure's markup or an inner advert.
+#: A word that is never content (outside of an article; inside one it costs nothing), and a tag: small, so that a region can
+#: pass over a figure's markup or an inner advert.
 NEVER_WEIGHT, BLOCK_WEIGHT, INLINE_WEIGHT = -0.6, -0.3, -0.1
 
 
@@ -256,7 +318,7 @@ def scores_of(items: list, weights: dict) -> list[float]:
             w = weights.get(item.where)
             if w is None:
                 w = weights.get((item.where[0], item.where[1], False, False), -0.5 if item.where[1] else 0.5)
-            out.append(item.words * (NEVER_WEIGHT if item.never else w))
+            out.append(item.words * (w if not item.never else 0.0 if item.where[0] in ("article", "main", "named") else NEVER_WEIGHT))
         else:
             out.append(BLOCK_WEIGHT if item[2] else INLINE_WEIGHT)
     return out

@@ -316,6 +316,35 @@ def test_html_odd_input_against_brute_force(spark):
         assert html.main_text(page, weights) == brute_text(page, weights)
 
 
+LONG = "me too " * 60
+ARTICLE = "<h1>T</h1><p>" + "one two three four five six seven eight " * 5 + "</p>"
+TEXT = "T\n" + ("one two three four five six seven eight " * 5).strip()
+POST = "<li><span class='author'>Ann</span> <time>1 May</time> <p>" + "so true " * 40 + "</p></li>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Reader comments longer than the article: by name, inside and after it, and by authors and dates alone.
+        (f"<body><article>{ARTICLE}<div id='comments'>{LONG}</div></article></body>", TEXT),
+        (f"<body><article>{ARTICLE}</article><section class='comment-list'>{LONG}</section></body>", TEXT),
+        (f"<body><div class='post-content'>{ARTICLE}</div><ol class='x9'>{POST * 5}</ol></body>", TEXT),
+        (f"<body><main>{ARTICLE}<article class='comment'>{LONG}</article><article class='comment'>{LONG}</article></main></body>", TEXT),
+        # Names that hold such a word but mean something else.
+        *[(f"<body><article>{ARTICLE}<section {name}><h2>More</h2><p>results of it all</p></section></article></body>", TEXT + "\nMore\nresults of it all") for name in ("class='discussion'", "class='side-by-side'", "class='notice-board'", "id='search-results'", "id='credit-rating'", "class='commentary'")],
+        # Names of other parts, inside the article too, at any size; names on what holds the article.
+        *[(f"<body><article>{ARTICLE}<div {name}>{LONG}</div><p>the end</p></article></body>", TEXT + "\nthe end") for name in ("class='ad'", "class='cookie-notice'", "id='relatedPosts'", "class='share-buttons'", "class='x newsletter-signup'")],
+        (f"<body><div class='banner-section'><article>{ARTICLE}</article></div><footer>f f f</footer></body>", TEXT),
+        (f"<body><article>{ARTICLE}<p>where <math><mi>x</mi>=<mn>2</mn></math> and <label>more</label> words</p></article></body>", TEXT + "\nwhere x=2 and more words"),
+        (f"<body><header><p>{LONG}</p></header><main><header><h1>Head</h1></header><article><header><h2>Sub</h2></header>{ARTICLE}</article></main></body>", "Head\nSub\n" + TEXT),
+        (f"<body><article>{ARTICLE}<aside>{LONG * 9}</aside><p>the end of it</p></article></body>", TEXT + "\nthe end of it"),
+    ],
+)
+def test_html_contract(spark, page, text):
+    weights = html.learn(*html.tally([html.read(x) for x in html.LAYOUTS], own=False))
+    assert html.main_text(page, weights) == text
+
+
 def test_ppm_is_a_distribution_and_base_is_exact(spark):
     texts = ["abab abba", "abba baba", "ab"]
     all_ = ppm.strings_of(ppm.stream_of(texts, 3), 3)
