@@ -188,15 +188,3 @@ def test_manifest_isolates_failures_and_registering_is_idempotent(spark):
     more = spark.createDataFrame([("a", "h2", at(2)), ("b", "h3", at(2))], reg.schema)
     once = register(reg, more)
     assert {(r.doc_id, r.artifact_id) for r in once.collect()} == {("a", "h2"), ("b", "h3")} == {(r.doc_id, r.artifact_id) for r in register(once, more).collect()}
-
-
-def test_ledger_stream(spark, tmp_path):
-    from orewright.streaming.ledger import ledger_stream
-
-    data = [("f", "1", "m", at(1)), ("f", "1", "m", at(2)), ("f", "2", "m", at(3))]
-    spark.createDataFrame(data, "fact_identity string, value string, unit string, observed_at timestamp").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("fact_identity string, value string, unit string, observed_at timestamp").parquet(str(tmp_path / "in"))
-    q = ledger_stream(stream).writeStream.format("memory").queryName("versions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("versions").toPandas().sort_values("version")
-    assert got.value.tolist() == ["1", "2"] and got.version.tolist() == [1, 2] and isinstance(got, pd.DataFrame)
