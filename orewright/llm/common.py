@@ -56,6 +56,19 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], spread: str, row_by
     return salted.join(every, [*on, "__salt"]).drop("__salt")
 
 
+def split_off(rows: DataFrame, heavy: DataFrame, on: list[str], spread: str) -> tuple[DataFrame, DataFrame | None]:
+    """`rows` whose key is not in `heavy` (a row per key), and those whose key is (None if there are no such keys). As in
+    `attach`, the rows of one key are met where they lie or dealt over `SALTS` tasks."""
+    n = heavy.count()
+    if not n:
+        return rows, None
+    if n * 64 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(heavy), on, "left_anti"), rows.join(F.broadcast(heavy), on, "left_semi")
+    every = heavy.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return tuple(salted.join(every, [*on, "__salt"], how).drop("__salt") for how in ("left_anti", "left_semi"))
+
+
 def widened(schema: StructType, **columns: str) -> StructType:
     """A schema with more columns at its end: names and types."""
     return StructType([*schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in columns.items())])

@@ -7,8 +7,8 @@ posting list for each three positional bytes of a half (eight keys per fingerpri
 positional bytes are tallied, pairs below the minimum are dropped, and the rest are verified by their differing bits.
 
 A posting list longer than `HOT` is split by two more shared positional bytes (a pair that qualifies shares at least
-two of the five left), which leaves at most 2**24 different fingerprints in a list whatever the data. Equal
-fingerprints are one entry of the index. A list's links come out as a spanning forest, not as pairs: a component needs
+two of the five left), and what is longer still by half bytes, which leaves at most 4096 different fingerprints in a list
+whatever the data. Equal fingerprints are one entry of the index. A list's links come out as a spanning forest, not as pairs: a component needs
 no more, and a group of m near copies makes fewer than m rows per list.
 
 Results for odd input: null and empty texts have the fingerprint zero and link to each other; texts of fewer words
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, contracted, cut
+from .common import attach, components, contracted, cut, split_off
 from .words import SECOND_BASE, mix, pieces_of, spans, window_hashes, window_starts, word_hashes, words_of
 
 SHINGLE = 3
@@ -87,22 +88,53 @@ def _joined(positions: tuple[int, ...], number: int) -> Column:
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
+def _thirds() -> Column:
+    """For every three of the six half bytes at the positions that `t` and `pair` leave: their number and their values, as 12 bits."""
+    left = []
+    for triple in TRIPLES:
+        rest = [p for p in range(8) if p not in triple]
+        left.append([[p for p in rest if p not in pair] for pair in combinations(rest, 2)])
+    bits = F.expr(f"element_at(element_at({_sql_array(left)}, t + 1), pair + 1)")
+    halves = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda c: F.call_function("shiftrightunsigned", F.col("fp"), 8 * F.element_at(bits, (F.floor(c / 2) + 1).cast("int")) + 4 * (c % 2)).bitwiseAND(F.lit(15).cast("long")))
+    half = lambda h, i: F.element_at(h, i)
+    choices = F.expr(_sql_array([[i + 1 for i in c] for c in combinations(range(6), 3)]))
+    joined = lambda h, c: F.shiftleft(F.shiftleft(half(h, c[0]), 4).bitwiseOR(half(h, c[1])), 4).bitwiseOR(half(h, c[2]))
+    made = lambda h: F.transform(choices, lambda c, i: F.struct(i.alias("three"), joined(h, c).alias("more")))
+    return F.get(F.transform(F.array(halves), made), F.lit(0))  # the half bytes are a lambda's variable, so worked out once
+
+
+def _sql_array(x) -> str:
+    return f"array({', '.join(map(_sql_array, x))})" if isinstance(x, list) else str(x)
+
+
 def posting_lists(entries: DataFrame, hot: int = HOT) -> DataFrame:
-    """Lists of (rep, fp) that share enough positional bytes to hold every qualifying pair; only lists of two or more."""
+    """Lists of (rep, fp) that share enough positional bytes to hold every qualifying pair; only lists of two or more.
+
+    A list of more than `hot` entries is split by two more of the bytes that a qualifying pair shares. What is longer still has five
+    bytes in common; of the six half bytes left at most three differ in a pair, so it is split by every three of them. Then
+    twelve bits are left free, so no list of different fingerprints has more than 4096 entries, whatever the input."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), _joined(t, i).alias("key")) for i, t in enumerate(TRIPLES)]))
-    keyed = entries.select("rep", "fp", keys.alias("k")).select("rep", "fp", "k.t", "k.key")
-    sizes = keyed.groupBy("key").count()
-    shared = keyed.join(sizes.where("count > 1"), "key")
-    cold = shared.where(F.col("count") <= hot).select("rep", "fp", F.struct(F.lit(-1).alias("pair"), "key").alias("list"))
-    finer = []
-    for i, triple in enumerate(TRIPLES):
-        rest = [p for p in range(8) if p not in triple]
-        finer.append(F.array(*[F.struct(F.lit(j).alias("pair"), _joined(p, 0).alias("more")) for j, p in enumerate(combinations(rest, 2))]))
-    by_triple = F.element_at(F.array(*finer), F.col("t") + 1)
-    split = shared.where(F.col("count") > hot).select("rep", "fp", "key", F.explode(by_triple).alias("s"))
-    split = split.select("rep", "fp", F.struct(F.col("s.pair").alias("pair"), F.shiftleft("key", 16).bitwiseOR(F.col("s.more")).alias("key")).alias("list"))
-    lists = cold.unionByName(split).groupBy("list").agg(F.collect_list(F.struct("rep", "fp")).alias("entries"))
-    return lists.where(F.size("entries") > 1).select("entries")
+    keyed = entries.select("rep", "fp", keys.alias("k")).select("rep", "fp", "k.t", "k.key", F.lit(-1).alias("pair"), F.lit(-1).alias("three"))
+    at, columns = ["pair", "three", "key"], ["rep", "fp", "t", "key", "pair", "three"]
+
+    def heavy(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        return split_off(rows, cut(rows.groupBy(*at).count().where(F.col("count") > hot).select(*at)), at, "rep")
+
+    cold, long = heavy(keyed)
+    lists = [cold.select(*columns)]
+    if long is not None:
+        finer = []
+        for triple in TRIPLES:
+            rest = [p for p in range(8) if p not in triple]
+            finer.append(F.array(*[F.struct(F.lit(j).alias("pair"), _joined(p, 0).alias("more")) for j, p in enumerate(combinations(rest, 2))]))
+        split = long.select("rep", "fp", "t", "key", "three", F.explode(F.element_at(F.array(*finer), F.col("t") + 1)).alias("s"))
+        cold, long = heavy(split.select("rep", "fp", "t", F.shiftleft("key", 16).bitwiseOR(F.col("s.more")).alias("key"), "s.pair", "three"))
+        lists.append(cold.select(*columns))
+    if long is not None:
+        split = long.select("rep", "fp", "t", "key", "pair", F.explode(_thirds()).alias("s"))
+        lists.append(split.select("rep", "fp", "t", F.shiftleft("key", 12).bitwiseOR(F.col("s.more")).alias("key"), "pair", "s.three").select(*columns))
+    every = reduce(DataFrame.unionByName, lists).groupBy(*at).agg(F.collect_list(F.struct("rep", "fp")).alias("entries"))
+    return every.where(F.size("entries") > 1).select("entries")
 
 
 def forest(rep: np.ndarray, fp: np.ndarray, max_bits: int, min_bytes: int) -> list[tuple[int, int]]:

@@ -60,6 +60,28 @@ def test_simhash(spark):
     assert 4 in ids and not ids & {6, 8} and 3 in ids
 
 
+@pytest.mark.parametrize("hot", [2, 40, 2048])
+def test_near_links_of_hot_lists_are_whole(spark, hot):
+    """Fingerprints that share five bytes, so that lists are split twice: what is linked is what all pairs link."""
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 1 << 24, 150, np.uint64)
+    near = low[:60] ^ np.array([sum(1 << int(b) for b in rng.choice(24, rng.integers(1, 4), False)) for _ in range(60)], np.uint64)
+    fps = np.unique(np.concatenate([(np.uint64(0xABCDEF0123) << np.uint64(24)) | np.concatenate([low, near]), rng.integers(0, 1 << 62, 30, np.uint64)]))
+    entries = spark.createDataFrame([(i, int(x.view(np.int64))) for i, x in enumerate(fps)], "rep long, fp long").repartition(3)
+    from orewright.llm.common import components
+
+    got = {(x.node, x.component) for x in components(simhash.near_links(entries, hot=hot)).collect()}
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(int(fps[i]) ^ int(fps[j])).count("1") <= 3 and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert got == {(i, x) for i, x in enumerate(label) if label.count(x) > 1} and len(got) > 100
+    longest = max(len(x.entries) for x in simhash.posting_lists(entries, 2).collect())
+    assert longest < 40
+
+
 def test_similar_links_of_hot_lists_are_whole(spark):
     """Every pair of a long list is compared, however long a list may be before it is cut."""
     rng = np.random.default_rng(5)
