@@ -221,6 +221,8 @@ PIECE_BYTES = 1 << 20
 #: Kinds of lists: whole ones, blocks of long ones with their hub, and entries that ask with a block of entries.
 COLD, BLOCK, MEET = 0, 1, 2
 NO_KEY = -1
+#: One of so many entries tells which keys look frequent.
+SAMPLE_OF = 64
 #: One of so many choices of positions comes first.
 EARLY = 16
 #: Rows of a block of an exact comparison.
@@ -335,10 +337,22 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more:
         met = linked(asking.unionByName(held), MEET, "part", "block")
         return cold.unionByName(found.where(F.col("key") == NO_KEY).select("u", "v")).unionByName(met.select("u", "v")).where("u <> v")
 
-    keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long")
-    if more is not None:
-        keyed = keyed.unionByName(more)
-    shared = cut(keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"))
+    def keyed(some: Column | None = None) -> DataFrame:
+        own, few = entries.select("rep", "fp"), more
+        if some is not None:
+            own, few = own.where(some), more if more is None else more.where(some)
+        made = own.mapInArrow(keys, "rep long, key long")
+        return made if few is None else made.unionByName(few)
+
+    # Keys that look frequent among a part of the entries are counted where they lie, and their rows stay spread; a frequent key that is
+    # not noticed there is counted with the rest, with the same result.
+    part = F.pmod(F.xxhash64("rep"), F.lit(SAMPLE_OF)) == 0
+    likely = cut(keyed(part).groupBy("key").count().where(F.col("count") >= max(1, hot // (4 * SAMPLE_OF))).select("key"))
+    _, rows = split_off(keyed(), likely, ["key"], "rep")
+    heavy = None if rows is None else cut(rows.groupBy("key").agg(F.count("*").alias("count")).where(F.col("count") > hot))
+    rest, frequent = (keyed(), None) if heavy is None else split_off(keyed(), heavy.select("key"), ["key"], "rep")
+    shared = rest.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
+    shared = cut(shared if frequent is None else shared.unionByName(attach(frequent, heavy, ["key"], "rep", 32)))
     known = cut(shared.groupBy("rep").agg(F.count("*").alias("degree")).join(entries.select("rep", "fp").hint("merge"), "rep"))
     early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
     columns = ["key", "count", "rep", "fp", "degree"]
