@@ -44,8 +44,6 @@ class Principal:
 
 
 PUBLIC = Principal("anyone", ("public",))
-INTERNAL = Principal("staff", ("public", "restricted"))
-SURVEYOR = Principal("surveyor", ("public", "restricted"))
 
 
 def office(doc_ids: Iterable[str]) -> Principal:
@@ -114,6 +112,16 @@ def coverage_members(coverage: DataFrame) -> DataFrame:
     return coverage.select("request", F.lit("coverage").alias("kind"), F.concat_ws("|", "metric_key", "entity_id").alias("member_id"), body.alias("body"))
 
 
+def audit_calls(calls: DataFrame, principals: DataFrame) -> DataFrame:
+    """The decisions on a log of calls (ts, subject, tool), as audit_log rows: what `Broker` decides call by call. principals:
+    subject and scopes (the tools it may call), a row per subject; a caller without one may call nothing."""
+    known = calls.join(principals.select("subject", "scopes"), "subject", "left")
+    is_tool = F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False))
+    allowed = is_tool & F.coalesce(F.array_contains("scopes", F.col("tool")), F.lit(False))
+    reason = F.when(allowed, F.lit(None).cast("string")).when(~is_tool, "unknown tool").when(F.col("scopes").isNull(), "unknown caller").otherwise("not in scope")
+    return known.select("ts", "subject", "tool", allowed.alias("allowed"), reason.alias("reason"))
+
+
 EDGE = "from_kind string, from_id string, to_kind string, to_id string, activity string, agent string"
 
 
@@ -152,6 +160,12 @@ class Broker:
     def audit_log(self) -> DataFrame:
         return self.spark.createDataFrame(self.audit, schema("audit_log"))
 
+    def flush_audit(self, path: str) -> None:
+        """Appends the decisions made since the last flush to the log under a path; they leave the driver."""
+        if self.audit:
+            self.audit_log().coalesce(1).write.mode("append").parquet(path)
+            self.audit.clear()
+
     def visible_tools(self) -> list[str]:
         return sorted(t for t in TOOLS if t in self.principal.scopes)
 

@@ -273,16 +273,6 @@ def retrieval_ablation(spark, sf_dir):
     return S.ablation(turns, asked)
 
 
-def audit_counts(spark, sf_dir):
-    b = _broker(spark, sf_dir, Principal("narrow", ("public",), frozenset({"get_fact"})))
-    for tool in ("get_fact", "get_fact", "replay", "drop_tables"):
-        try:
-            b.call(tool, **({"metric_key": "click"} if tool == "get_fact" else {"package_id": "x"} if tool == "replay" else {}))
-        except AccessDenied:
-            pass
-    return b.audit_log().groupBy("tool", "allowed").agg(F.count("*").alias("n"))
-
-
 def entailment_check(spark, sf_dir):
     """The first half of each document as a claim, the rest as the evidence."""
     d = table(spark, sf_dir, "documents")
@@ -315,7 +305,7 @@ def admission(spark, sf_dir):
     return R.admission(planned, 8.0, 0.0, 16.0, 0.0).select("admitted", "reason")
 
 
-QUERIES = {f.__name__: f for f in (graph_neighbours, graph_multi_hop, graph_trust_filter, graph_build, graph_nodes, lineage_full, lineage_back, lineage_forward, revision_impact, bm25_phrase, bm25_classified, bm25_parent, postings_top, hit_at_k, vector_knn, upserted_vectors, rls_classification, rls_scope, export_guard, seal_package, merge_packages, replay_check, agent_answers, trace_visible, retrieval_ablation, audit_counts, entailment_check, narrative_template, corpus_dashboard, admission)}
+QUERIES = {f.__name__: f for f in (graph_neighbours, graph_multi_hop, graph_trust_filter, graph_build, graph_nodes, lineage_full, lineage_back, lineage_forward, revision_impact, bm25_phrase, bm25_classified, bm25_parent, postings_top, hit_at_k, vector_knn, upserted_vectors, rls_classification, rls_scope, export_guard, seal_package, merge_packages, replay_check, agent_answers, trace_visible, retrieval_ablation, entailment_check, narrative_template, corpus_dashboard, admission)}
 
 PATHS_SQL = f"""
 WITH RECURSIVE {EDGES_SQL}, p AS (SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS node, 0 AS hops, ['region:' || r_regionkey] AS path FROM region
@@ -403,7 +393,6 @@ ORACLES = {
     "rls_classification": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 = 9 OR doc_id % 3 <> 0 GROUP BY 1",
     "rls_scope": "WITH e AS (SELECT CASE WHEN user_id % 4 <> 0 THEN 'd' || (user_id % 20) END AS doc_id, event_type FROM events) SELECT doc_id, event_type, count(*) AS n FROM e WHERE doc_id IS NULL OR doc_id IN ('d1', 'd3', 'd7') GROUP BY 1, 2",
     "export_guard": "SELECT 'd' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 = 2",
-    "audit_counts": "SELECT tool, allowed, n FROM (VALUES ('get_fact', true, 2), ('replay', false, 1), ('drop_tables', false, 1)) v(tool, allowed, n)",
     "entailment_check": r"""WITH c AS (SELECT doc_id, regexp_extract_all(regexp_replace(substr(text, 1, length(text) // 2), '\[[^\]]*\]', '', 'g'), '\d+(?:\.\d+)?') AS nums, coalesce(substr(text, length(text) // 2 + 1), '') AS ev FROM documents)
         SELECT doc_id, len(list_filter(nums, lambda n: NOT contains(ev, n))) = 0 AS entailed, array_to_string(list_filter(nums, lambda n: NOT contains(ev, n)), ',') AS missing FROM c""",
     "narrative_template": """SELECT n_name AS title, n_name || ': ' || coalesce(string_agg('balance is ' || CAST(floor(s_acctbal) AS BIGINT) || ' USD [' || printf('F%09d', s_suppkey) || ']', '; ' ORDER BY s_suppkey) || '.', 'no covered figures for this section.') AS text
