@@ -12,13 +12,15 @@ from . import ledger as L
 from .broker import Broker, coverage_members, fact_members
 from .language import entailed
 
+#: Figures of one page of an answer.
 SHOWN = 20
 
 
 def answer_questions(broker: Broker, questions: DataFrame, shown: int = SHOWN) -> DataFrame:
     """questions: question_id, title, metric_key, entity_id (null: any). Evidence is sealed, coverage looked up, the metric
-    computed, its figures narrated (the first `shown`, by fact_id, of which each needs its own fact to hold its numbers)
-    and the answer recorded in the lineage. question_id, status (answered, not_covered, not_entailed), reason, n_facts,
+    computed, its figures narrated in pages of `shown`, by fact_id, and the answer recorded in the lineage. Every figure, on whatever
+    page, must follow from its own fact. All pages are rows of the broker's table `answer_page` (question_id, page, n_figures,
+    text), of which the answer shows the first. question_id, status (answered, not_covered, not_entailed), reason, n_facts,
     total, text and package_id; an answer that does not follow from its evidence has no text and is not recorded.
     """
     for tool in ("seal_evidence_package", "check_coverage", "compute_metric", "get_provenance", "record_answer"):
@@ -38,14 +40,17 @@ def answer_questions(broker: Broker, questions: DataFrame, shown: int = SHOWN) -
     packages = broker.seal_members(members, asked.select(F.col("question_id").alias("request"), F.col("title").alias("intent")))
 
     totals = evidence.groupBy("question_id").agg(F.count("*").alias("n_facts"), F.sum("value").alias("total"))
-    first = evidence.withColumn("nth", F.row_number().over(Window.partitionBy("question_id").orderBy("fact_id"))).where(F.col("nth") <= shown)
     figure = F.concat(F.col("metric_key"), F.lit(" is "), F.concat_ws(" ", "value_text", "unit"), F.lit(" ["), F.col("fact_id"), F.lit("]"))
-    told = first.select("question_id", "fact_id", figure.alias("figure"), entailed(figure, F.concat_ws(" ", "metric_key", "value_text", "unit")).alias("ok"))
-    drafts = told.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_id", "figure"))), lambda x: x["figure"]), "; ").alias("figures"), F.bool_and("ok").alias("ok"))
+    told = evidence.select("question_id", "fact_id", figure.alias("figure"), entailed(figure, F.concat_ws(" ", "metric_key", "value_text", "unit")).alias("ok"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("fact_id")) - 1
+    paged = told.withColumn("page", F.floor(place / shown) + 1).groupBy("question_id", "page")
+    pages = cut(paged.agg(F.count("*").alias("n_figures"), F.bool_and("ok").alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_id", "figure"))), lambda x: x["figure"]), "; ").alias("text")))
+    drafts = pages.groupBy("question_id").agg(F.bool_and("ok").alias("ok"), F.max(F.when(F.col("page") == 1, F.col("text"))).alias("figures"))
     joined = reduce(lambda a, b: a.join(b, "question_id", "left"), [totals, drafts, packages.withColumnRenamed("request", "question_id")], covered)
     status = F.when(~F.col("covered"), "not_covered").when(F.coalesce("ok", F.lit(False)), "answered").otherwise("not_entailed")
     text = F.when(F.col("status") == "answered", F.concat(F.col("title"), F.lit(": "), F.col("figures"), F.lit(".")))
     answers = cut(joined.withColumn("status", status).select("question_id", "status", "reason", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "total", text.alias("text"), "package_id"))
     recorded = answers.where("status = 'answered'")
+    broker.tables["answer_page"] = pages.join(recorded.select("question_id"), "question_id", "left_semi").select("question_id", "page", "n_figures", "text")
     broker._add_edges(recorded.select(F.lit("answer").alias("from_kind"), F.col("question_id").alias("from_id"), F.lit("package").alias("to_kind"), F.col("package_id").alias("to_id"), F.lit("answered_from").alias("activity"), F.lit(broker.principal.subject).alias("agent")))
     return answers

@@ -252,6 +252,14 @@ def agent_answers(spark, sf_dir):
     return answers.join(recorded, "question_id", "left").select("question_id", "status", "reason", "n_facts", F.col("total").cast("long").alias("total"), F.size(F.split("text", "; ")).cast("long").alias("n_figures"), F.coalesce("recorded", F.lit(False)).alias("recorded"))
 
 
+def agent_pages(spark, sf_dir):
+    """All figures of each event type, over all users, told in pages of twenty."""
+    asked = table(spark, sf_dir, "events").select(F.col("event_type").alias("question_id"), F.col("event_type").alias("title"), F.col("event_type").alias("metric_key"), F.lit(None).cast("string").alias("entity_id")).distinct()
+    b = _broker(spark, sf_dir)
+    answer_questions(b, asked)
+    return b.tables["answer_page"].select("question_id", F.col("page").cast("long").alias("page"), "n_figures", F.sha2("text", 256).alias("text_sha256"))
+
+
 def trace_visible(spark, sf_dir):
     """What a caller of the lowest class reaches from answers, when the documents of every third fact are restricted."""
     facts = book(spark, sf_dir)
@@ -305,7 +313,7 @@ def admission(spark, sf_dir):
     return R.admission(planned, 8.0, 0.0, 16.0, 0.0).select("admitted", "reason")
 
 
-QUERIES = {f.__name__: f for f in (graph_neighbours, graph_multi_hop, graph_trust_filter, graph_build, graph_nodes, lineage_full, lineage_back, lineage_forward, revision_impact, bm25_phrase, bm25_classified, bm25_parent, postings_top, hit_at_k, vector_knn, upserted_vectors, rls_classification, rls_scope, export_guard, seal_package, merge_packages, replay_check, agent_answers, trace_visible, retrieval_ablation, entailment_check, narrative_template, corpus_dashboard, admission)}
+QUERIES = {f.__name__: f for f in (graph_neighbours, graph_multi_hop, graph_trust_filter, graph_build, graph_nodes, lineage_full, lineage_back, lineage_forward, revision_impact, bm25_phrase, bm25_classified, bm25_parent, postings_top, hit_at_k, vector_knn, upserted_vectors, rls_classification, rls_scope, export_guard, seal_package, merge_packages, replay_check, agent_answers, agent_pages, trace_visible, retrieval_ablation, entailment_check, narrative_template, corpus_dashboard, admission)}
 
 PATHS_SQL = f"""
 WITH RECURSIVE {EDGES_SQL}, p AS (SELECT 'region:' || r_regionkey AS start, 'region:' || r_regionkey AS node, 0 AS hops, ['region:' || r_regionkey] AS path FROM region
@@ -339,6 +347,19 @@ sc AS (SELECT m.*, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 /
 """
 
 
+def _arm_sql(arm: str, text: str, rerank: bool = False, parents: bool = False) -> str:
+    """One arm of the ablation: each question's best chunks, shown as they are or by their parent, and whether one is right."""
+    shown = f"coalesce(p.{text}, t.{text})" if parents else f"t.{text}"
+    again = "ORDER BY len(list_intersect(phrase, w2)) DESC, len(w2), r" if rerank else "ORDER BY r"
+    return f"""(WITH k AS (SELECT *, {_tokens(text)} AS w FROM tu), g AS (SELECT count(*) AS big, avg(len(w)) AS av FROM k),
+        m AS (SELECT query_id, phrase, expected, chunk_id, len(w) AS n, {_count('w', 'phrase')} AS f FROM k, q WHERE len(phrase) > 0 AND list_has_all(w, phrase)), d AS (SELECT query_id, count(*) AS df FROM m WHERE f > 0 GROUP BY 1),
+        s AS (SELECT m.*, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av)) AS score FROM m JOIN d USING (query_id), g WHERE f > 0),
+        a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s QUALIFY r <= {20 if rerank else 5}),
+        b AS (SELECT a.*, {shown} AS shown, {_tokens(shown)} AS w2 FROM a JOIN tu t USING (chunk_id) LEFT JOIN tu p ON p.chunk_id = t.parent_id),
+        c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id {again}) <= 5), h AS (SELECT query_id, count(*) AS c, bool_or(contains(shown, expected)) AS found FROM c GROUP BY 1)
+        SELECT '{arm}' AS arm, count(*) FILTER (CASE WHEN expected IS NULL THEN c IS NULL ELSE coalesce(found, false) END) AS hits, count(*) AS questions FROM q LEFT JOIN h USING (query_id))"""
+
+
 DOCS_SQL = "docs AS (SELECT 'd' || doc_id AS chunk_id, text AS indexed_text, ['restricted', 'internal', 'public'][doc_id % 3 + 1] AS classification FROM documents)"
 TURNS_SQL = "turns AS (SELECT DISTINCT ON (conv_id, turn) 'c:' || conv_id || ':' || turn AS chunk_id, CASE WHEN turn > 0 THEN 'c:' || conv_id || ':0' END AS parent_id, text AS indexed_text FROM conversations)"
 CURRENT_SQL = f"""{EVENTS_SQL}, cur AS (SELECT led.*, 'fact_' || substr(sha256(fact_identity || '|' || epoch_us(ts) || '|' || printf('%019d', event_id)), 1, 12) AS fact_id,
@@ -355,6 +376,8 @@ ORACLES = {
     "agent_answers": f"""WITH {CURRENT_SQL}, q AS (SELECT DISTINCT 'user:' || user_id AS entity_id, event_type AS metric_key FROM events UNION ALL SELECT 'user:none', 'click'), n AS (SELECT entity_id, metric_key, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM cur GROUP BY 1, 2)
         SELECT q.entity_id || '/' || q.metric_key AS question_id, CASE WHEN n > 0 THEN 'answered' ELSE 'not_covered' END AS status, CASE WHEN n.n IS NULL THEN 'NOT_DIGITISED' END AS reason, coalesce(n, 0) AS n_facts, total, CASE WHEN n > 0 THEN least(n, 20) END AS n_figures, n.n IS NOT NULL AS recorded
         FROM q LEFT JOIN n USING (entity_id, metric_key)""",
+    "agent_pages": f"""WITH {CURRENT_SQL}, p AS (SELECT *, (row_number() OVER (PARTITION BY metric_key ORDER BY fact_id) - 1) // 20 + 1 AS page FROM cur)
+        SELECT metric_key AS question_id, page, count(*) AS n_figures, sha256(string_agg(metric_key || ' is ' || value || ' [' || fact_id || ']', '; ' ORDER BY fact_id)) AS text_sha256 FROM p GROUP BY 1, 2""",
     "trace_visible": f"WITH {CURRENT_SQL} SELECT 'high' AS caller, count(*) AS n FROM cur WHERE metric_key = 'click' UNION ALL SELECT 'low', count(*) FROM cur WHERE metric_key = 'click' AND CAST(doc_id[5:] AS INT) % 3 <> 0",
     "lineage_back": f"""WITH {LINEAGE_SQL}, a AS MATERIALIZED (SELECT fi, min(ti) AS ti FROM le WHERE fk = 'answer' GROUP BY 1),
         p AS MATERIALIZED (SELECT fi, min(ti) AS ti FROM le WHERE fk = 'package' GROUP BY 1), f AS MATERIALIZED (SELECT fi, min(ti) AS ti FROM le WHERE fk = 'fact' GROUP BY 1)
@@ -387,6 +410,9 @@ ORACLES = {
         s AS (SELECT m.*, greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av)) AS score FROM m JOIN d USING (item_id), g WHERE f > 0),
         t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS r FROM s), h AS (SELECT item_id, bool_or(contains(indexed_text, expected)) AS found, count(*) AS c FROM t WHERE r <= 5 GROUP BY 1)
         SELECT q.item_id AS query_id, CASE WHEN q.expected IS NULL THEN c IS NULL ELSE coalesce(found, false) END AS hit FROM q LEFT JOIN h USING (item_id)""",
+    "retrieval_ablation": f"""WITH {TURNS_SQL}, tu AS (SELECT *, indexed_text AS raw_text, 'speech ' || coalesce(indexed_text, '') AS full_text FROM turns), o AS (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1),
+        q AS (SELECT conv_id AS query_id, {_tokens("array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')")} AS phrase, CASE WHEN conv_id % 9 <> 0 THEN array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') END AS expected FROM o)
+        {_arm_sql('lexical', 'raw_text')} UNION ALL {_arm_sql('rerank', 'raw_text', rerank=True)} UNION ALL {_arm_sql('prefix', 'full_text')} UNION ALL {_arm_sql('parent', 'full_text', parents=True)}""",
     "vector_knn": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""",
     "upserted_vectors": "SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END), 6) AS total FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0",

@@ -88,7 +88,7 @@ TREE = "struct<schema_name: string, version: string, doc_id: string, texts: arra
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """Document trees, one JSON file each: doc_id, ast_hash (of the text) and the parsed tree."""
     raw = spark.read.text(path, wholetext=True)
-    tree = F.from_json("value", TREE[7:-1])
+    tree = F.from_json("value", TREE)
     return raw.select(tree.alias("tree"), F.sha2("value", 256).alias("ast_hash")).select("tree.doc_id", "ast_hash", "tree")
 
 
