@@ -178,10 +178,10 @@ def _registry(spark, sf_dir):
 
 
 def upserted_vectors(spark, sf_dir):
-    """Half of the vectors, then every third anew with its parts doubled: how many there are, and what they add up to."""
+    """All vectors, then every third anew with its parts doubled: how many there are, and what they add up to."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     more = e.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2).cast("float")))
-    store = S.upsert_vectors(e.where("vec_id % 2 = 0"), more)
+    store = S.upsert_vectors(e, more)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return store.agg(F.count("*").alias("n"), F.round(F.sum(total), 6).alias("total"))
 
@@ -291,7 +291,7 @@ def entailment_check(spark, sf_dir):
 
 def narrative_template(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    figures = n.join(s.where("s_acctbal > 3000"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
+    figures = n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
         F.col("n_name").alias("title"), F.lit("balance").alias("metric_key"), F.floor("s_acctbal").cast("string").alias("value_text"), F.lit("USD").alias("unit"), F.format_string("F%09d", "s_suppkey").alias("figure_id"), "s_suppkey"
     )
     figures = figures.withColumn("figure_id", F.when(F.col("s_suppkey").isNotNull(), F.col("figure_id")))
@@ -415,14 +415,14 @@ ORACLES = {
         {_arm_sql('lexical', 'raw_text')} UNION ALL {_arm_sql('rerank', 'raw_text', rerank=True)} UNION ALL {_arm_sql('prefix', 'full_text')} UNION ALL {_arm_sql('parent', 'full_text', parents=True)}""",
     "vector_knn": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""",
-    "upserted_vectors": "SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END), 6) AS total FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0",
+    "upserted_vectors": "SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END), 6) AS total FROM embeddings",
     "rls_classification": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 = 9 OR doc_id % 3 <> 0 GROUP BY 1",
     "rls_scope": "WITH e AS (SELECT CASE WHEN user_id % 4 <> 0 THEN 'd' || (user_id % 20) END AS doc_id, event_type FROM events) SELECT doc_id, event_type, count(*) AS n FROM e WHERE doc_id IS NULL OR doc_id IN ('d1', 'd3', 'd7') GROUP BY 1, 2",
     "export_guard": "SELECT 'd' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 = 2",
     "entailment_check": r"""WITH c AS (SELECT doc_id, regexp_extract_all(regexp_replace(substr(text, 1, length(text) // 2), '\[[^\]]*\]', '', 'g'), '\d+(?:\.\d+)?') AS nums, coalesce(substr(text, length(text) // 2 + 1), '') AS ev FROM documents)
         SELECT doc_id, len(list_filter(nums, lambda n: NOT contains(ev, n))) = 0 AS entailed, array_to_string(list_filter(nums, lambda n: NOT contains(ev, n)), ',') AS missing FROM c""",
     "narrative_template": """SELECT n_name AS title, n_name || ': ' || coalesce(string_agg('balance is ' || CAST(floor(s_acctbal) AS BIGINT) || ' USD [' || printf('F%09d', s_suppkey) || ']', '; ' ORDER BY s_suppkey) || '.', 'no covered figures for this section.') AS text
-        FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 3000 GROUP BY n_name""",
+        FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
     "corpus_dashboard": """SELECT c_custkey AS doc_id, c_mktsegment AS publisher, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS table_count, r.o_orderstatus AS tier_counts, r.o_totalprice AS duration_s, coalesce(q.n, 0) AS n_review FROM customer
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) r ON r.o_custkey = c_custkey AND r.rn = 1
         LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) q ON q.o_custkey = c_custkey""",
