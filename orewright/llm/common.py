@@ -34,13 +34,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df`, written as Parquet to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """`df`, written as Parquet to the shared folder (or to `path`) and read again."""
+    path = path or fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: A table goes to every executor only up to this size, which is worked out from its row count.
 BROADCAST_BYTES = 16 << 20
 SALTS = 64

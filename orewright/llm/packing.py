@@ -11,7 +11,8 @@ tokens (such as the ids of `bpe_encode`), and a piece holds its part of the arra
 order, hold all its tokens. Lengths are counted first; the contents move once, to the batch's task.
 
 Results for odd input: texts without tokens (null, empty, blank; null or empty arrays) have no piece; very long texts have
-many pieces and lose nothing; rows that repeat a doc_id are packed each; a null doc_id is packed as any other; an empty
+many pieces and lose nothing; rows that repeat a doc_id, or have none, are packed each and dealt by their contents (rows
+alike in id and contents share a task); an empty
 table gives an empty result; other columns, whatever their names, are left out.
 """
 
@@ -66,22 +67,29 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return ends[::-1]
 
 
+def row_hash(tokens: Column | None) -> Column:
+    """`row`: a hash of the id and of what is packed, so that rows of one id, or of none, are told apart by their contents."""
+    return F.xxhash64(F.col("doc_id"), F.col("text") if tokens is None else tokens).alias("row")
+
+
 def pieces(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN) -> DataFrame:
-    """doc_id, piece (from 0), n_tokens and the contents of each piece: `text` of words, or `tokens`."""
+    """doc_id, piece (from 0), n_tokens, `spread` (a hash of the row and the piece) and the contents of each piece: `text` of
+    words, or `tokens`."""
     found = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)) if tokens is None else tokens
-    made = docs.select("doc_id", found.alias("all")).where(F.size("all") > 0)
+    made = docs.select("doc_id", row_hash(tokens), found.alias("all")).where(F.size("all") > 0)
     parts = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(all) - 1) div {max_len} as int)")), lambda i: F.slice("all", i * max_len + 1, max_len))
-    cut_up = made.select("doc_id", F.posexplode(parts).alias("piece", "tokens"))
+    cut_up = made.select("doc_id", "row", F.posexplode(parts).alias("piece", "tokens"))
     body = F.array_join("tokens", " ").alias("text") if tokens is None else F.col("tokens")
-    return cut_up.select("doc_id", "piece", F.size("tokens").alias("n_tokens"), body)
+    return cut_up.select("doc_id", "piece", F.size("tokens").alias("n_tokens"), F.xxhash64("row", "piece").alias("spread"), body)
 
 
 def piece_lengths(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN) -> DataFrame:
-    """doc_id, piece and n_tokens of the same pieces, without their contents."""
+    """doc_id, piece, n_tokens and `spread` of the same pieces, without their contents."""
     n = (word_count() if tokens is None else F.coalesce(F.size(tokens), F.lit(0))).cast("long")
-    cutting = docs.select("doc_id", n.alias("n")).where("n > 0")
-    numbered = cutting.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {max_len} as int)"))).alias("piece"))
-    return numbered.select("doc_id", "piece", F.least(F.lit(max_len), F.col("n") - F.col("piece") * max_len).cast("int").alias("n_tokens"))
+    cutting = docs.select("doc_id", row_hash(tokens), n.alias("n")).where("n > 0")
+    numbered = cutting.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {max_len} as int)"))).alias("piece"))
+    length = F.least(F.lit(max_len), F.col("n") - F.col("piece") * max_len).cast("int").alias("n_tokens")
+    return numbered.select("doc_id", "piece", length, F.xxhash64("row", "piece").alias("spread"))
 
 
 def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -97,7 +105,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN,
     bucket = F.lit(len(ends) - 1)
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int")
+    share = F.pmod("spread", F.lit(shares)).cast("int")
     upto = Window.partitionBy("bucket").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     begin = counted.groupBy(bucket.alias("bucket"), share.alias("share")).count().select("bucket", "share", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("begin"))
     whole = pieces(docs, tokens, max_len)

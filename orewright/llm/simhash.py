@@ -175,20 +175,19 @@ def near_links(entries: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) ->
     return posting_lists(entries, hot).mapInArrow(run, "u long, v long")
 
 
-NO_ID = (1 << 63) - 1
-
-
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable by links."""
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable by links.
+
+    What is linked are fingerprints, so texts that share an id, or have none, are told apart; component_id is null only
+    where no text of a component has an id."""
     made = cut(fingerprints(docs, shingle))
-    entries = cut(made.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")))
-    linked = components(near_links(entries, max_bits, hot))
-    groups = entries.join(linked.hint("merge"), entries.rep == linked.node, "left").select(
-        "fp", F.nullif(F.coalesce("component", "rep"), F.lit(NO_ID)).alias("component_id")
-    )
-    return made.join(groups, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    entries = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = cut(components(near_links(entries.select(F.col("fp").alias("rep"), "fp"), max_bits, hot)))
+    own = F.col("fp") == F.col("node")
+    firsts = cut(linked.join(entries.hint("merge"), own).groupBy("component").agg(F.min("least").alias("first")))
+    reached = attach(linked, firsts, ["component"], "node", 32).select("node", "first")
+    groups = entries.join(reached.hint("merge"), own, "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    return made.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, **how) -> DataFrame:
