@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orewright.llm.common import stored, table
+from orewright.llm.common import dropped, fresh_path, stored, table
 from orewright.llm.lines import line_dedup
 from orewright.llm.packing import pack
 from orewright.llm.quality import quality_filter
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    """The rows of the last stage. A stage's table is removed once the next one's is written; that of the last but one stays."""
+    docs, written = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        before, written = written, fresh_path(spark)
+        docs = stored(stage(spark, docs, sf_dir), written)
+        if before:
+            dropped(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
