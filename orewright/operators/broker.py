@@ -228,8 +228,13 @@ class Broker:
 
     def check_coverage(self, metric_key: str, entity_id: str | None = None) -> DataFrame:
         self._authorize("check_coverage")
-        wanted = self.spark.createDataFrame([(metric_key, entity_id)], "metric_key string, entity_id string")
-        return L.coverage(wanted, self.visible_candidates(), self._facts())
+        return self._coverage([(metric_key, entity_id)])
+
+    def _coverage(self, asked: list[tuple[str, str | None]]) -> DataFrame:
+        """Coverage of several metrics and entities in one pass, over the candidates and facts of those metrics alone."""
+        wanted = self.spark.createDataFrame(asked, "metric_key string, entity_id string")
+        theirs = F.col("metric_key").isin(*{metric for metric, _ in asked})
+        return L.coverage(wanted, self.visible_candidates().where(theirs), self._facts().where(theirs))
 
     def _start(self, kind: str, node_id: str) -> DataFrame:
         return self.spark.createDataFrame([(kind, node_id)], "kind string, id string")
@@ -256,7 +261,10 @@ class Broker:
         parts = [facts]
         if query:
             parts.append(self.search_evidence(query, k).select(F.lit("0").alias("request"), F.lit("passage").alias("kind"), F.col("chunk_id").alias("member_id"), "text").select("request", "kind", "member_id", F.to_json(F.struct(F.col("member_id").alias("chunk_id"), "text")).alias("body")))
-        parts += [coverage_members(self.check_coverage(m).withColumn("request", F.lit("0"))) for m in keys]
+        for _ in keys:
+            self._authorize("check_coverage")
+        if keys:
+            parts.append(coverage_members(self._coverage([(m, None) for m in keys]).withColumn("request", F.lit("0"))))
         request = self.spark.createDataFrame([("0", intent)], "request string, intent string")
         return self.seal_members(reduce(DataFrame.unionByName, parts), request).first().package_id
 

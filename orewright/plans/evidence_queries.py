@@ -11,6 +11,7 @@ from ..operators import reports as R
 from ..operators import search as S
 from ..operators.agents import answer_questions
 from ..operators.broker import PUBLIC, AccessDenied, Broker, Principal, exportable, office, visible
+from ..shared import cut
 from .base import table
 from .ledger_queries import EVENTS_SQL, book
 
@@ -202,7 +203,8 @@ def export_guard(spark, sf_dir):
 
 
 def _broker(spark, sf_dir, who=PUBLIC):
-    return Broker(spark, who, {"fact": book(spark, sf_dir), "chunk": _documents(spark, sf_dir)})
+    """Over a stored ledger, as several tools read it."""
+    return Broker(spark, who, {"fact": cut(book(spark, sf_dir)), "chunk": _documents(spark, sf_dir)})
 
 
 def _contents(b):

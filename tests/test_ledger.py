@@ -1,10 +1,12 @@
 """The ledger, statements, graph, lineage and the broker."""
 
+import json
 from datetime import datetime, timezone
 from decimal import Decimal
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from orewright.operators import graph, ledger, lineage
 from orewright.operators.broker import PUBLIC, AccessDenied, Broker, Principal, assert_exportable
@@ -188,3 +190,19 @@ def test_manifest_isolates_failures_and_registering_is_idempotent(spark):
     more = spark.createDataFrame([("a", "h2", at(2)), ("b", "h3", at(2))], reg.schema)
     once = register(reg, more)
     assert {(r.doc_id, r.artifact_id) for r in once.collect()} == {("a", "h2"), ("b", "h3")} == {(r.doc_id, r.artifact_id) for r in register(once, more).collect()}
+
+
+def test_a_package_tells_the_coverage_of_each_metric(spark):
+    """One pass for all metrics asked for, repeated ones once; each is a decision of its own in the log."""
+    one = rows(spark, ("1", None, {}, 1))
+    held = ledger.publish(one.unionByName(one.withColumn("metric_key", F.lit("n"))))
+    b = Broker(spark, PUBLIC, {"fact": held, "chunk": chunks(spark)})
+    package = b.seal_evidence_package("both", None, ["m", "none", "n", "m"])
+    told = [json.loads(x.body) for x in b.replay(package).where("kind = 'coverage'").collect()]
+    assert sorted((x["metric_key"], x["covered"], x["fact_count"], x.get("reason")) for x in told) == [("m", True, 1, None), ("n", True, 1, None), ("none", False, 0, "NOT_DIGITISED")]
+    assert [r.tool for r in b.audit_log().collect()].count("check_coverage") == 4
+    empty = b.seal_evidence_package("nothing", None, [])
+    assert b.replay(empty).collect()[0].kind is None
+    narrow = Broker(spark, Principal("s", ("public",), scopes=frozenset({"seal_evidence_package"})), b.tables)
+    with pytest.raises(AccessDenied):
+        narrow.seal_evidence_package("both", None, ["m"])
