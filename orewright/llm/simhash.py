@@ -217,6 +217,10 @@ LIST = 8192
 #: Shingle hashes that a block of an exact comparison holds.
 BLOCK_HASHES = 1 << 20
 PIECE_BYTES = 1 << 20
+#: Words of a fingerprint of which the first that a key does not touch (it touches three at most) is the mark of the key's rows.
+MARKS = (0, 4, 2, 6)
+#: Fingerprints of which the keys are made at once.
+KEYED = 2048
 #: Kinds of lists: whole ones, blocks of long ones with their hub, and entries that ask with a block of entries.
 COLD, BLOCK, MEET = 0, 1, 2
 NO_KEY = -1
@@ -257,6 +261,12 @@ def max_distance(similarity: float) -> int:
     return int(512 * share + 4 * math.sqrt(512 * share * (1 - share)))
 
 
+def mark_distance(similarity: float) -> int:
+    """Differing bits that marks of sets at this Jaccard similarity all but never pass: their average and five deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
+
+
 def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that connect the representatives whose fingerprints differ in no more bits than `max_distance`;
     found where three positional bytes agree, under any of 384 choices of positions. more: other keys (rep, key) of
@@ -268,18 +278,6 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more:
     hub (the entry that stands in most lists) joins each: what is near the hub is linked there. The others of a block are
     linked among themselves and then meet every entry of the list, block against block.
     """
-    size = 8 * WORDS64
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(-1, size).astype(np.int64)
-            made = []
-            for k, (a, b) in enumerate(KEY_SHAPES):
-                first = np.arange(size)
-                made.append(fp | fp[:, (first + a) % size] << 8 | fp[:, (first + b) % size] << 16 | (k * size + first) << 24)
-            made = np.concatenate(made, axis=1)
-            yield pa.record_batch({"rep": pa.array(np.repeat(batch["rep"].to_numpy(), made.shape[1])), "key": pa.array(made.ravel())})
-
     most = max_distance(similarity)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,10 +332,7 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more:
         met = linked(asking.unionByName(held), MEET, "part", "block")
         return cold.unionByName(found.where(F.col("key") == NO_KEY).select("u", "v")).unionByName(met.select("u", "v")).where("u <> v")
 
-    keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long")
-    if more is not None:
-        keyed = keyed.unionByName(more)
-    shared = cut(keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"))
+    shared = cut(met_keys(entries, similarity, more))
     known = cut(shared.groupBy("rep").agg(F.count("*").alias("degree")).join(entries.select("rep", "fp").hint("merge"), "rep"))
     early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
     columns = ["key", "count", "rep", "fp", "degree"]
@@ -352,6 +347,33 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more:
     return first.unionByName(late).distinct()
 
 
+def met_keys(entries: DataFrame, similarity: float, more: DataFrame | None = None) -> DataFrame:
+    """rep, key and count of the keys that several entries have, less the pairs whose marks are too far apart.
+
+    Three bytes also agree by chance, mostly in lists of two, and such lists grow with the square of the table. Marks that
+    met by chance differ in half of their 64 bits; of pairs at 0.8 fewer than one in 100,000 has marks over the bound."""
+    size = 8 * WORDS64
+    first = np.arange(size)
+    at = np.concatenate([np.stack([first, (first + a) % size, (first + b) % size]) for a, b in KEY_SHAPES], axis=1)
+    word = np.array([next(w for w in MARKS if w not in touched) for touched in (at // 8).T.tolist()])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(begin, KEYED) for begin in range(0, len(batch), KEYED)):
+                raw = np.frombuffer(b"".join(part["fp"].to_pylist()), np.uint8).reshape(-1, size)
+                fp = raw.astype(np.int64)
+                made = fp[:, at[0]] | fp[:, at[1]] << 8 | fp[:, at[2]] << 16 | np.arange(len(word)) << 24
+                marks = raw.view(np.int64)[:, word]
+                yield pa.record_batch({"rep": pa.array(np.repeat(part["rep"].to_numpy(), len(word))), "key": pa.array(made.ravel()), "mark": pa.array(marks.ravel())})
+
+    keyed = entries.select("rep", "fp").mapInArrow(keys, "rep long, key long, mark long")
+    if more is not None:
+        keyed = keyed.unionByName(more.withColumn("mark", F.lit(0).cast("long")))
+    own = Window.partitionBy("key")
+    counted = keyed.withColumn("count", F.count("*").over(own)).withColumn("apart", F.bit_count(F.bit_xor("mark").over(own)))
+    return counted.where(f"count > 2 or count = 2 and apart <= {mark_distance(similarity)}").select("rep", "key", "count")
+
+
 def wide_forest(rep: np.ndarray, fp: np.ndarray, most: int, min_bytes: int, grp: np.ndarray, asks: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int]]:
     """Links that connect the groups of one list of which some fingerprints share `min_bytes` positional bytes and differ
     in `most` bits at most, as stars around the first of each component; and the entries that are neither near the list's

@@ -96,6 +96,36 @@ def test_similar_links_of_hot_lists_are_whole(spark):
     assert {tuple(sorted(x)) for x in links} == {(i, i + 1) for i in range(0, 120, 2)}
 
 
+def test_keys_met_by_chance_are_left_out(spark):
+    """Fingerprints of which each byte is one of 16 (four bits apart at least), so that keys often agree by chance; of such lists of two few stay, of
+    near pairs' lists all do."""
+    rng = np.random.default_rng(11)
+    code = np.array([x for x in range(256) if all(bin(x & m).count("1") % 2 == 0 for m in (0x0F, 0x33, 0x55, 0xFF))], np.uint8)
+    assert len(code) == 16
+    far = code[rng.integers(0, 16, (400, 64))]
+    near = far[:60].copy()
+    flips = rng.integers(0, 512, (60, 50))  # at most 50 bits
+    for i, x in enumerate(flips):
+        near[i] ^= np.packbits(np.isin(np.arange(512), x))
+    fps = np.concatenate([far, near])
+    entries = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(fps)], "rep long, fp binary")
+    lists = {}
+    for k, (a, b) in enumerate(simhash.KEY_SHAPES):
+        for first in range(64):
+            for i, x in enumerate(fps):
+                lists.setdefault((k, first, x[first], x[(first + a) % 64], x[(first + b) % 64]), []).append(i)
+    two = [x for x in lists.values() if len(x) == 2]
+    planted = [x for x in two if x[1] == x[0] + 400]
+    got = {}
+    for x in simhash.met_keys(entries, 0.8).collect():
+        got.setdefault(x.key, []).append(x.rep)
+    kept = [sorted(x) for x in got.values() if len(x) == 2]
+    chance = [x for x in kept if x[1] != x[0] + 400]
+    assert len(planted) > 1500 and sum(x[1] == x[0] + 400 for x in kept) == len(planted)
+    assert len(two) - len(planted) > 5000 and len(chance) < 0.1 * (len(two) - len(planted))
+    assert sorted(map(sorted, (x for x in got.values() if len(x) > 2))) == sorted(x for x in lists.values() if len(x) > 2)
+
+
 def test_similar_dedup_is_by_exact_jaccard(spark):
     """Documents of 4 to 112 shingles, each with a partner just at 0.8 or just under it. Pairs under 0.8 are never linked,
     pairs of few shingles at 0.8 always, others but for what the fingerprints' index misses there (some 2%)."""
