@@ -332,17 +332,20 @@ def similar_links(entries: DataFrame, similarity: float, hot: int = LIST, more:
         met = linked(asking.unionByName(held), MEET, "part", "block")
         return cold.unionByName(found.where(F.col("key") == NO_KEY).select("u", "v")).unionByName(met.select("u", "v")).where("u <> v")
 
-    shared = cut(met_keys(entries, similarity, more))
-    known = cut(shared.groupBy("rep").agg(F.count("*").alias("degree")).join(entries.select("rep", "fp").hint("merge"), "rep"))
-    early = F.pmod(F.shiftright("key", 24), F.lit(EARLY)) == 0
+    # A fingerprint's keys stay with it in one row, so that no join has a row for each key.
+    met = met_keys(entries, similarity, more).groupBy("rep").agg(F.collect_list(F.struct("key", "count")).alias("keys"))
+    held = cut(met.select("rep", F.size("keys").cast("long").alias("degree"), "keys").join(entries.select("rep", "fp").hint("merge"), "rep"))
+    early = lambda x: F.pmod(F.shiftright(x.key, 24), F.lit(EARLY)) == 0
     columns = ["key", "count", "rep", "fp", "degree"]
-    first = cut(links_of(shared.where(early).join(known.hint("merge"), "rep").select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
+    now = held.select("rep", "fp", "degree", F.explode(F.filter("keys", early)).alias("k")).select("k.*", "rep", "fp", "degree")
+    first = cut(links_of(now.select(*columns, F.col("rep").alias("grp"), F.lit(True).alias("asks"))).distinct())
     # Groups need not be whole, as links between groups are looked for anyway.
     groups = contracted(first).groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("grp"))
-    known = cut(known.join(groups.hint("merge"), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
-    spread = shared.where(~early).join(known.select("rep", "grp").hint("merge"), "rep")
+    known = cut(held.select("rep", "fp", "degree").join(groups.hint("merge"), "rep", "left").withColumn("grp", F.coalesce("grp", "rep")))
+    later = held.select("rep", F.filter("keys", lambda x: ~early(x)).alias("keys")).join(known.select("rep", "grp").hint("merge"), "rep")
+    spread = later.select("rep", "grp", F.explode("keys").alias("k")).select("k.*", "rep", "grp")
     mixed = cut(spread.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("key"))
-    open_ = attach(shared.where(~early), mixed, ["key"], "rep", 32)
+    open_ = attach(spread.select("key", "count", "rep"), mixed, ["key"], "rep", 32)
     late = links_of(open_.join(known.hint("merge"), "rep").select(*columns, "grp", F.lit(True).alias("asks")))
     return first.unionByName(late).distinct()
 
