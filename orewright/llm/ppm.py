@@ -47,13 +47,12 @@ SPLIT = 1 << 24
 @dataclass
 class Stream:
     """A chunk's texts as one stream: `order` line ends before each text, one after it; scored[i] is the place of a
-    scored byte, doc[i] its text."""
+    scored byte, doc[i] its text, of `docs` texts."""
 
     bytes: np.ndarray
     scored: np.ndarray
     doc: np.ndarray
-    tokens: np.ndarray
-    token_doc: np.ndarray
+    docs: int
 
 
 def stream_of(texts: list[str | None], order: int) -> Stream:
@@ -65,22 +64,29 @@ def stream_of(texts: list[str | None], order: int) -> Stream:
     doc = np.repeat(np.arange(len(bodies)), sizes + 1)
     first = np.concatenate([[0], np.cumsum(sizes + 1)])
     scored = np.arange(first[-1]) + np.repeat(begin - first[:-1], sizes + 1)
-    # Tokens end at a space or at the text's end; the text's end is a token of its own besides.
-    stop = np.flatnonzero((raw[scored] == 0x20) | (raw[scored] == END))
+    return Stream(raw, scored, doc, len(bodies))
+
+
+def tokens_of(stream: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and the text of each. Tokens end at a space or at the text's end; the text's end is a token
+    of its own besides."""
+    text = stream.bytes[stream.scored]
+    stop = np.flatnonzero((text == 0x20) | (text == END))
     start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
     real = stop > start
-    hashes = spans(raw[scored].astype(np.uint64) + np.uint64(1), start[real], stop[real], WINDOW_BASE)
-    ends = np.full(len(bodies), mix(np.array([END], np.uint64))[0])
+    hashes = spans(text.astype(np.uint64) + np.uint64(1), start[real], stop[real], WINDOW_BASE)
+    ends = np.full(stream.docs, mix(np.array([END], np.uint64))[0])
     tokens = np.concatenate([hashes, ends]) >> np.uint64(1) << np.uint64(1)
-    return Stream(raw, scored, doc, tokens, np.concatenate([doc[stop[real]], np.arange(len(bodies))]))
+    return tokens, np.concatenate([stream.doc[stop[real]], np.arange(stream.docs)])
 
 
 def strings_of(stream: Stream, order: int) -> np.ndarray:
     """Context and symbol at each scored place, as one number: the symbol is its last byte."""
-    out = np.zeros(len(stream.scored), np.uint64)
-    for back in range(order, -1, -1):
-        out = out << np.uint64(8) | stream.bytes[stream.scored - back]
-    return out
+    whole = np.zeros(max(len(stream.bytes) - order, 0), np.uint64)  # of every place that has `order` bytes before it
+    for begin in range(order + 1):
+        whole <<= np.uint64(8)
+        whole |= stream.bytes[begin : begin + len(whole)]
+    return whole[stream.scored - order]
 
 
 def log_probabilities(strings: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, after: np.ndarray | None = None) -> np.ndarray:
@@ -169,7 +175,8 @@ def _stream(rows: pa.Table, order: int) -> tuple[pa.Table, Stream, np.ndarray]:
 
 def ask_words(rows: pa.Table, bits: int) -> pa.Table:
     rows, stream, train = _stream(rows, 0)
-    keys, n = _counted(stream.tokens, train[stream.token_doc])
+    tokens, text = tokens_of(stream)
+    keys, n = _counted(tokens, train[text])
     return X.ask_table(X.asks(WORDS, rows["chunk"][0].as_py(), bits, keys, n.astype(np.int64)))
 
 
@@ -266,7 +273,8 @@ def scored(rows: pa.Table, replies: pa.Table, bits: int, depth: int) -> pa.Table
     docs = len(rows)
     totals = replies.filter(pa.array(replies["kind"].to_numpy() == WORDS))
     n, v = int(totals["total"].to_numpy().sum()), int(totals["distinct"].to_numpy().sum())
-    keys, back = np.unique(stream.tokens, return_inverse=True)
+    tokens, text = tokens_of(stream)
+    _, back = np.unique(tokens, return_inverse=True)
     known = X.answered(replies, WORDS, np.int64)[back]
     base = np.log10((known + 0.5) / (n + 0.5 * (v + 1)))
 
@@ -282,10 +290,10 @@ def scored(rows: pa.Table, replies: pa.Table, bits: int, depth: int) -> pa.Table
         {
             "doc_id": rows["doc_id"].cast(pa.int64()),
             "held_out": pa.array(~train),
-            "n_tokens": pa.array(np.bincount(stream.token_doc, minlength=docs), pa.int64()),
-            "n_known": pa.array(np.bincount(stream.token_doc, known > 0, docs).astype(np.int64)),
+            "n_tokens": pa.array(np.bincount(text, minlength=docs), pa.int64()),
+            "n_known": pa.array(np.bincount(text, known > 0, docs).astype(np.int64)),
             "train_tokens": pa.array(np.full(docs, n), pa.int64()),
-            "base_score": pa.array(np.bincount(stream.token_doc, base, docs)),
+            "base_score": pa.array(np.bincount(text, base, docs)),
             "score": pa.array(score),
         }
     )

@@ -82,6 +82,24 @@ def test_near_links_of_hot_lists_are_whole(spark, hot):
     assert longest < 40
 
 
+def test_ppm_hashes_tokens_only_where_they_are_asked_for(monkeypatch):
+    """The strings of contexts and symbols come from the bytes alone."""
+    calls = []
+    plain = ppm.spans
+    monkeypatch.setattr(ppm, "spans", lambda *a: calls.append(1) or plain(*a))
+    for order in (0, 1, 5):
+        for texts in ([], [None], ["", "Ab  c", "d\n\u00e9"]):
+            stream = ppm.stream_of(texts, order)
+            want = []
+            for x in texts:
+                body = b"\n" * order + b" ".join((x or "").encode().lower().split()) + b"\n"
+                want += [int.from_bytes(body[i - order : i + 1], "big") for i in range(order, len(body))]
+            assert ppm.strings_of(stream, order).tolist() == want
+    assert not calls
+    tokens, text = ppm.tokens_of(stream)
+    assert calls and sorted(text.tolist()) == [0, 1, 1, 1, 2, 2, 2] and len(tokens) == 7
+
+
 def test_similar_links_of_hot_lists_are_whole(spark):
     """Every pair of a long list is compared, however long a list may be before it is cut."""
     rng = np.random.default_rng(5)
