@@ -144,3 +144,13 @@ def test_approximate_neighbours(spark, monkeypatch):
     assert len(set(exact) & set(near)) >= 0.9 * len(exact)
     assert {k: near[k] for k in exact if k[0] == 2010} == {k: v for k, v in exact.items() if k[0] == 2010}
     assert S.approximate_knn(held.limit(0), asked, 5).count() == 0
+
+
+def test_approximate_neighbours_without_clusters(spark):
+    """Vectors of no structure, whose neighbours are hardly nearer than others: planes and probes are fitted to them."""
+    x = np.random.default_rng(4).normal(size=(6000, 64))
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = held.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = lambda df: {(q.query_id, q.vec_id) for q in df.select("query_id", "vec_id").collect()}
+    exact = pairs(S.knn(held, asked, 5))
+    assert len(exact & pairs(S.approximate_knn(held, asked, 5, bucket=16))) >= 0.9 * len(exact)
