@@ -14,7 +14,7 @@ from ..operators import lineage as X
 from ..operators import search as S
 from ..operators.ledger import fact_identity
 from ..operators.textindex import TextIndex
-from ..shared import cut, shared_folder
+from ..shared import cut, shared_folder, stored
 from . import assay_queries
 from .base import as_micros, table
 from .evidence_queries import GRAPH_SQL, LINEAGE_SQL, ORACLES as EVIDENCE, _answers, _bm25_sql, _count, _documents, _graph_input, _lineage, _tokens
@@ -119,7 +119,8 @@ def lineage_reach(spark, sf_dir):
 
 def lineage_upkeep(spark, sf_dir):
     """The closure of a third of the edges, brought up to date by a second and a third batch: as from all edges at once."""
-    edges = _lineage(spark, sf_dir).withColumn("batch", F.pmod(F.crc32(F.concat_ws("|", "from_id", "to_id").cast("binary")), F.lit(3)))
+    ends = _lineage(spark, sf_dir).select("from_kind", "from_id", "to_kind", "to_id")
+    edges = stored(ends.withColumn("batch", F.pmod(F.crc32(F.concat_ws("|", "from_id", "to_id").cast("binary")), F.lit(3))))
     part = lambda n: edges.where(F.col("batch") == n)
     pairs = X.closure(part(0), _answers(spark, sf_dir))
     pairs = X.extend_closure(pairs, part(0), part(1))

@@ -1,5 +1,6 @@
 """What is brought up to date equals what is made from scratch: closures, sketches, counted graphs, the assay, neighbours."""
 
+import os
 import random
 import tempfile
 from decimal import Decimal
@@ -13,6 +14,7 @@ from orewright.operators import assay as A
 from orewright.operators import graph as G
 from orewright.operators import lineage as X
 from orewright.operators import search as S
+from orewright.shared import shared_folder
 
 KINDS = ["answer", "package", "fact", "candidate"]
 
@@ -52,6 +54,29 @@ def test_reach_counts(spark):
     assert X.reach_counts(edges(spark, [])).count() == 0
 
 
+def layers(spark):
+    """100 answers, 1,000 packages and 10,000 facts of 1,000 candidates; 12,100 pairs of answer and node, 21,000 edges."""
+    text = lambda c: F.expr(c).cast("string")
+    made = lambda n, a, b, to, what: X.edge_rows(spark.range(n), a, text("id" if a != "answer" else "id % 100"), b, text(to), what)
+    e = made(1000, "answer", "package", "id", "answered_from").unionByName(X.edge_rows(spark.range(10000), "package", text("id % 1000"), "fact", text("id"), "cites"))
+    return e.unionByName(made(10000, "fact", "candidate", "id % 1000", "published"))
+
+
+def written(spark):
+    """Bytes in the folder that driver and executors share."""
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared_folder(spark).removeprefix("file:")) for f in files)
+
+
+def test_closure_brought_up_to_date_writes_little(spark):
+    """Some bytes for a pair, not a whole row for each round that it is looked at."""
+    edges = layers(spark)
+    starts = spark.range(100).select(F.lit("answer").alias("kind"), F.col("id").cast("string").alias("id"))
+    late = F.crc32(F.concat_ws("|", "from_id", "to_id").cast("binary")) % 3 == 0
+    pairs, before = X.closure(edges.where(~late), starts), written(spark)
+    pairs = X.extend_closure(pairs, edges.where(~late), edges.where(late))
+    assert pairs.count() == 12100 and written(spark) - before < 300_000
+
+
 EDGE = "src string, dst string, rel string, trust_layer string, doc_id string"
 
 
