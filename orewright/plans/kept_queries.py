@@ -113,8 +113,8 @@ def vector_lsh_recall(spark, sf_dir):
 
 def lineage_reach(spark, sf_dir):
     """How much rests on each fact, by sketches of distinct counts handed along the edges."""
-    reach = X.reach_counts(_lineage(spark, sf_dir), forward=True)
-    return reach.where("kind = 'fact'").select(F.col("id").alias("fact_id"), F.round("reach").cast("long").alias("n"))
+    reach = X.reach_counts(_lineage(spark, sf_dir), forward=True, kinds=("fact",))
+    return reach.select(F.col("id").alias("fact_id"), F.round("reach").cast("long").alias("n"))
 
 
 def lineage_upkeep(spark, sf_dir):

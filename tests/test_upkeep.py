@@ -77,6 +77,14 @@ def test_closure_brought_up_to_date_writes_little(spark):
     assert pairs.count() == 12100 and written(spark) - before < 300_000
 
 
+def test_reach_writes_little(spark):
+    before = written(spark)
+    got = X.reach_counts(layers(spark), forward=True, kinds=("fact",))
+    assert (got.count(), got.where("round(reach) <> 2").count()) == (10000, 0) and written(spark) - before < 500_000
+    everything = X.reach_counts(layers(spark), forward=True)
+    assert sorted(map(tuple, everything.where("kind = 'fact'").collect())) == sorted(map(tuple, got.collect()))
+
+
 EDGE = "src string, dst string, rel string, trust_layer string, doc_id string"
 
 
