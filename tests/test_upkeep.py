@@ -85,6 +85,13 @@ def test_reach_writes_little(spark):
     assert sorted(map(tuple, everything.where("kind = 'fact'").collect())) == sorted(map(tuple, got.collect()))
 
 
+def test_revision_impact_writes_little(spark):
+    facts = spark.range(10000).select(F.col("id").cast("string").alias("fact_id"), F.lit("1").alias("value"))
+    before = written(spark)
+    got = X.revision_impact(facts, facts.select("fact_id", F.lit("2").alias("new_value")), layers(spark))
+    assert got.where("n_affected = 2 and verdict = 'material'").count() == 10000 and written(spark) - before < 200_000
+
+
 EDGE = "src string, dst string, rel string, trust_layer string, doc_id string"
 
 
