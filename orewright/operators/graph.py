@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, dropped, fresh_path, stored
 from ..sources.registry import exists, overwrite_documents
 from .ledger import current_facts
 
@@ -21,9 +21,14 @@ def _props(**values: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
 
 
-def _edge(df: DataFrame, src: Column, dst: Column, rel: str, trust: str, props: Column | None = None, fact: Column | None = None) -> DataFrame:
+def _one(src: Column, dst: Column, rel: str, trust: str, props: Column | None = None, fact: Column | None = None) -> Column:
+    """An edge without its document, as a struct."""
     fact = F.lit(None).cast("string") if fact is None else fact
-    return df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), F.lit(trust).alias("trust_layer"), (_props() if props is None else props).alias("props"), fact.alias("fact_id"), "doc_id")
+    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), F.lit(trust).alias("trust_layer"), (_props() if props is None else props).alias("props"), fact.alias("fact_id"))
+
+
+def _edge(df: DataFrame, src: Column, dst: Column, rel: str, trust: str) -> DataFrame:
+    return df.select(_one(src, dst, rel, trust).alias("e"), "doc_id").select("e.*", "doc_id")
 
 
 def _id(kind: str, value: Column) -> Column:
@@ -43,16 +48,18 @@ def build_edges(registry: DataFrame, candidates: DataFrame, ledger: DataFrame, b
     """Edges of all documents. As a set unless `bag`, which keeps one per candidate."""
     doc, block = _id("document", F.col("doc_id")), _id("block", F.col("doc_id"))
     links = seam_links(candidates).join(current_facts(ledger).select("candidate_id", "fact_id"), "candidate_id", "left")
-    bore = links.withColumn("bore", F.explode("boreholes"))
     about = _props(metric_key=F.col("metric_key"), value_kind=F.col("value_kind"))
+    seam, fact = _id("seam", F.col("seam")), F.col("fact_id")
+    # A candidate's edges out of one row, so that candidates meet facts once.
+    own = [_one(seam, block, "IN_BLOCK", "validated"), F.when(fact.isNotNull(), _one(doc, _id("fact", fact), "SUPPORTS", "authoritative"))]
+    bores = F.transform("boreholes", lambda b: _one(_id("borehole", b), seam, "INTERSECTS", "validated", about, fact))
+    spread = links.select("doc_id", F.explode(F.concat(F.filter(F.array(*own), lambda e: e.isNotNull()), bores)).alias("e"))
     edges = reduce(
         DataFrame.unionByName,
         [
             _edge(registry, doc, block, "DESCRIBES", "authoritative"),
             _edge(registry.where("coalfield is not null"), block, _id("coalfield", F.col("coalfield")), "IN_COALFIELD", "authoritative"),
-            _edge(links, _id("seam", F.col("seam")), block, "IN_BLOCK", "validated"),
-            _edge(bore, _id("borehole", F.col("bore")), _id("seam", F.col("seam")), "INTERSECTS", "validated", about, F.col("fact_id")),
-            _edge(links.where("fact_id is not null"), doc, _id("fact", F.col("fact_id")), "SUPPORTS", "authoritative"),
+            spread.select("e.*", "doc_id"),
         ],
     )
     if bag:
@@ -152,16 +159,16 @@ def revise_counts(counts: DataFrame, old: DataFrame, new: DataFrame, keys: list[
     """`counts` (keys, n_docs: how many documents a node or edge rests on) after documents were replaced: `old` and `new` are what
     these gave before and give now (see `derived`). What no document gives any more is gone."""
     signed = old.select(*keys, F.lit(-1).alias("n_docs")).unionByName(new.select(*keys, F.lit(1).alias("n_docs")))
-    delta = signed.groupBy(*keys).agg(F.sum("n_docs").alias("n_docs")).where("n_docs <> 0")
-    return counts.select(*keys, "n_docs").unionByName(delta).groupBy(*keys).agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+    return counts.select(*keys, "n_docs").unionByName(signed).groupBy(*keys).agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
 
 
 class CountedGraph:
     """Nodes and edges kept with the number of documents they rest on. What each document gave is kept by document, and counts by
     buckets of their keys: replacing documents reads theirs, and rewrites only the buckets of what they gave or give.
 
-    A put writes the buckets' new counts beside the old ones under the next version, then the documents, then the version's
-    row, which makes it visible; a bucket is read at its last visible version. What a failed put left is written over."""
+    A put writes what its documents give and the buckets' new counts beside the old ones under the next version, then the
+    version's row, which makes both visible; a bucket or document is read at its last visible version. What a failed put left is
+    written over."""
 
     NODE, LINK, BUCKETS = ["node_id", "label"], ["src", "dst", "rel", "trust_layer"], 64
 
@@ -179,35 +186,45 @@ class CountedGraph:
     def _ddl(keys: list[str]) -> str:
         return ", ".join(f"{k} string" for k in keys)
 
-    def _last(self, name: str, keys: list[str], part: str, more: str) -> DataFrame:
-        """Rows of each `part` (a bucket or document) at its last visible version. A marker row without keys stands for an empty one."""
+    def _visible(self, name: str, keys: list[str], part: str, more: str) -> tuple[DataFrame, DataFrame]:
+        """All visible rows, and the last version of each `part` (a bucket or document): every version of it has a marker row
+        without keys."""
         ddl = f"{self._ddl(keys)}, {more}version int, {part} {'int' if part == 'bucket' else 'string'}"
-        rows = self._read(name, ddl).where(F.col("version") <= self._version())
-        last = rows.groupBy(part).agg(F.max("version").alias("version"))
-        return rows.join(last, [part, "version"], "left_semi")
+        rows, marker = self._read(name, ddl).where(F.col("version") <= self._version()), F.col(keys[0]).isNull()
+        return rows.where(~marker), rows.where(marker).groupBy(part).agg(F.max("version").alias("version"))
 
     def _counts(self, name: str, keys: list[str]) -> DataFrame:
-        return self._last(f"{name}_counts", keys, "bucket", "n_docs long, ")
+        rows, last = self._visible(f"{name}_counts", keys, "bucket", "n_docs long, ")
+        return rows.join(F.broadcast(last), ["bucket", "version"], "left_semi")  # at most BUCKETS rows
 
     def put(self, nodes: DataFrame, edges: DataFrame, documents: DataFrame) -> None:
         """Replaces what `documents` (doc_id) gave by the rows of `nodes` and `edges` that are theirs; a document with none is taken out."""
-        version = self._version() + 1
-        docs = cut(documents.select("doc_id").distinct())
+        version, paths = self._version() + 1, []
+
+        def kept(df: DataFrame) -> DataFrame:
+            paths.append(fresh_path(self.spark))
+            return stored(df, paths[-1])
+
+        docs = kept(documents.select("doc_id").distinct())
         for name, keys, rows in (("node", self.NODE, nodes), ("edge", self.LINK, edges)):
-            new = cut(derived(rows.join(docs, "doc_id", "left_semi"), keys))
-            kept = self._last(f"{name}_docs", keys, "doc_id", "").join(docs, "doc_id", "left_semi").where(F.col(keys[0]).isNotNull())
-            old = cut(kept.select(*keys, "doc_id"))
+            given, last = self._visible(f"{name}_docs", keys, "doc_id", "")
+            last = kept(last.join(docs, "doc_id", "left_semi"))
+            old = kept(given.join(last, ["doc_id", "version"], "left_semi").select(*keys, "doc_id"))
+            marker = lambda df, *part: df.select(*[F.lit(None).cast("string").alias(k) for k in keys], *part)  # noqa: B023,E731
+            own = derived(rows.where(F.col(keys[0]).isNotNull()).join(docs, "doc_id", "left_semi"), keys).unionByName(marker(docs, "doc_id"))
+            own.write.mode("overwrite").option("compression", "zstd").parquet(path := f"{self.path}/{name}_docs/version={version}")
+            new = self.spark.read.schema(f"{self._ddl(keys)}, doc_id string").parquet(path).where(F.col(keys[0]).isNotNull())
             bucket = F.pmod(F.xxhash64(*keys), F.lit(self.BUCKETS)).cast("int")
             touched = cut(old.unionByName(new).select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows
-            before = self._counts(name, keys).join(F.broadcast(touched), "bucket", "left_semi").where(F.col(keys[0]).isNotNull())
+            before = self._counts(name, keys).join(F.broadcast(touched), "bucket", "left_semi")
             after = revise_counts(before, old, new, keys).withColumn("bucket", bucket)
-            marker = lambda df, *part: df.select(*[F.lit(None).cast("string").alias(k) for k in keys], *part)  # noqa: B023,E731
-            after.unionByName(marker(touched, F.lit(None).cast("long").alias("n_docs"), "bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}_counts/version={version}")
-            new.unionByName(marker(docs, "doc_id")).write.mode("overwrite").parquet(f"{self.path}/{name}_docs/version={version}")
+            after.unionByName(marker(touched, F.lit(None).cast("long").alias("n_docs"), "bucket")).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}_counts/version={version}")
         self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        for path in paths:
+            dropped(self.spark, path)
 
     def nodes(self) -> DataFrame:
-        return self._counts("node", self.NODE).where("node_id is not null").select(*self.NODE, "n_docs")
+        return self._counts("node", self.NODE).select(*self.NODE, "n_docs")
 
     def edges(self) -> DataFrame:
-        return self._counts("edge", self.LINK).where("src is not null").select(*self.LINK, "n_docs")
+        return self._counts("edge", self.LINK).select(*self.LINK, "n_docs")

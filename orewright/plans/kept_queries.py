@@ -14,7 +14,7 @@ from ..operators import lineage as X
 from ..operators import search as S
 from ..operators.ledger import fact_identity
 from ..operators.textindex import TextIndex
-from ..shared import cut, shared_folder, stored
+from ..shared import cut, dropped, fresh_path, shared_folder, stored
 from . import assay_queries
 from .base import as_micros, table
 from .evidence_queries import GRAPH_SQL, LINEAGE_SQL, ORACLES as EVIDENCE, _answers, _bm25_sql, _count, _documents, _graph_input, _lineage, _tokens
@@ -132,13 +132,14 @@ def graph_upkeep(spark, sf_dir):
     """A graph put whole; then every third document again without its open lines, and every seventh taken out."""
     registry, c, facts = _graph_input(spark, sf_dir)
     key = F.substring("doc_id", 2, 20).cast("long")
-    edges = lambda r, rows: G.build_edges(r, rows, facts).select(*G.CountedGraph.LINK, "doc_id")
+    edges = lambda r, rows: G.build_edges(r, rows, facts, bag=True).select(*G.CountedGraph.LINK, "doc_id")
     nodes = lambda e: e.select(F.explode(F.array("src", "dst")).alias("node_id"), "doc_id").withColumn("label", F.substring_index("node_id", ":", 1))
     store = G.CountedGraph(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
-    whole = cut(edges(registry, c))
+    whole = stored(edges(registry, c), path := fresh_path(spark))
     store.put(nodes(whole), whole, registry)
+    dropped(spark, path)
     stays = registry.where((key % 7 != 0) & (key % 3 == 0))
-    fewer = cut(edges(stays, c.where((key % 7 != 0) & (key % 3 == 0)).where("state = 'auto_passed'")))
+    fewer = stored(edges(stays, c.where((key % 7 != 0) & (key % 3 == 0)).where("state = 'auto_passed'")))
     store.put(nodes(fewer), fewer, registry.where((key % 3 == 0) | (key % 7 == 0)))
     told = lambda df, what: df.groupBy(F.col(what).alias("what")).agg(F.count("*").alias("n"), F.sum("n_docs").alias("n_docs"))
     return told(store.nodes(), "label").unionByName(told(store.edges(), "rel"))

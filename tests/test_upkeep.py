@@ -120,6 +120,16 @@ def test_counted_graph_equals_a_rebuild(spark):
     assert store.nodes().count() == 0 and store.edges().count() == 0
 
 
+def test_counted_graph_writes_little(spark):
+    """Rows are kept by columns, and nothing that a put made on the way stays."""
+    rows = spark.range(20000).selectExpr("'n' || id AS src", "'m' || id % 50 AS dst", "'R' AS rel", "'validated' AS trust_layer", "'d' || id % 40 AS doc_id")
+    nodes = rows.selectExpr("src AS node_id", "'N' AS label", "doc_id")
+    store, docs, before = G.CountedGraph(spark, tempfile.mkdtemp(prefix="graph-") + "/g"), rows.select("doc_id").distinct(), written(spark)
+    store.put(nodes, rows, docs)
+    store.put(nodes.where("doc_id = 'd1'"), rows.where("doc_id = 'd1'"), docs.where("doc_id < 'd2'"))
+    assert store.edges().count() == store.nodes().count() == 14500 and written(spark) - before < 100_000
+
+
 RULES = [
     Rule("r", "range", "block", "{value} out", applies_to=("a",), min=0, max=8),
     Rule("p", "pair", "block", "{a_value} over {b_value}", metric_a="a", metric_b="b", relation="le", match_on=("entity_id", "qualifiers.k")),
