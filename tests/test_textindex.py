@@ -72,3 +72,22 @@ def test_a_put_that_did_not_finish_is_not_seen(spark):
     with pytest.raises(RuntimeError):
         index.put(frame(spark, chunks(10, "b", 3)))
     assert scores(TextIndex(spark, path).search_many(asked(spark))) == before
+
+
+def test_many_questions_score_as_each_alone(spark, monkeypatch):
+    """Single words, runs of two with themselves, longer and empty questions, those alike; the ablation searches each text once."""
+    from orewright.operators import search as S
+
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["a", "b", "c", "the"]) for _ in range(r.randrange(8))) for _ in range(60)] + [None, "", "a", "the the the the"]
+    chunks = spark.createDataFrame([(f"c{i}", None, t, t) for i, t in enumerate(texts)], "chunk_id string, parent_id string, raw_text string, indexed_text string")
+    asked = ["a", "The the", "a b", "a, B", "b a c", "the the the", "c a b a", "a z", "", "z"]
+    q = spark.createDataFrame([(i, t, None if i == 9 else t) for i, t in enumerate(asked)], "query_id int, query string, expected string")
+    key = lambda rows: sorted((x.chunk_id, round(x.score, 9)) for x in rows)
+    many = S.bm25_many(chunks, q).collect()
+    for i, t in enumerate(asked):
+        assert key(x for x in many if x.query_id == i) == (key(S.bm25(chunks, t).collect()) if t else [])
+    one, calls = S.bm25_many, []
+    monkeypatch.setattr(S, "bm25_many", lambda *a: calls.append(a) or one(*a))
+    rows = {x.arm: (x.hits, x.questions) for x in S.ablation(chunks, q).collect()}
+    assert len(calls) == 2 and set(rows) == {"lexical", "rerank", "prefix", "parent"} and rows["lexical"] == rows["prefix"]
