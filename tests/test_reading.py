@@ -165,3 +165,15 @@ entity_patterns:
 def test_pages_and_accents(spark):
     assert parse_page_range("14-19") == (14, 19) and parse_page_range("7") == (7, 7)
     assert spark.range(1).select(strip_accents(F.lit("Éclair ñ")).alias("x")).first().x == "Eclair n"
+
+
+def test_questions_meet_facts_by_metric_and_entity(spark):
+    """Not by metric alone, which is as many pairs as questions times facts; questions on any entity meet all of their metric."""
+    from orewright.operators.agents import evidence_of
+
+    facts = spark.createDataFrame([("f1", "m", "e1", 1), ("f2", "m", "e2", 2), ("f3", "n", "e1", 3), ("f4", "m", None, 4), ("f5", None, "e1", 5)], "fact_id string, metric_key string, entity_id string, value int")
+    facts = facts.selectExpr("*", "string(value) AS value_text", "'u' AS unit", "'p' AS period")
+    asked = spark.createDataFrame([("q1", "m", "e1"), ("q2", "m", None), ("q3", "n", "e2"), ("q4", "n", None), ("q5", None, "e1")], "question_id string, metric_key string, entity_id string").withColumn("title", F.lit("t"))
+    found = evidence_of(asked, facts)
+    assert sorted((x.question_id, x.fact_id, x.entity_id) for x in found.collect()) == [("q1", "f1", "e1"), ("q2", "f1", "e1"), ("q2", "f2", "e2"), ("q2", "f4", None), ("q4", "f3", "e1")]
+    assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()
